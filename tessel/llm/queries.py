@@ -6,6 +6,7 @@ from tessel.llm.ngram_join import op8_count_rtree
 from tessel.llm.pii import op5_boosted_pii
 from tessel.llm.quality_rules import op6_line_frequency
 from tessel.llm.sharding import op9_virtual_slots
+from tessel.llm.toxicity import op2_attention_gru
 
-QUERIES = {f.__name__: f for f in (op5_boosted_pii, op6_line_frequency, op8_count_rtree, op9_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op2_attention_gru, op5_boosted_pii, op6_line_frequency, op8_count_rtree, op9_virtual_slots)}
 ORACLE_SQL: dict[str, str] = {}
