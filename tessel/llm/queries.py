@@ -7,8 +7,9 @@ from tessel.llm.ngram_join import op8_count_rtree
 from tessel.llm.packing import op10_hilbert
 from tessel.llm.pii import op5_boosted_pii
 from tessel.llm.quality_rules import op6_line_frequency
+from tessel.llm.run_index import op4_run_length_index
 from tessel.llm.sharding import op9_virtual_slots
 from tessel.llm.toxicity import op2_attention_gru
 
-QUERIES = {f.__name__: f for f in (op2_attention_gru, op5_boosted_pii, op6_line_frequency, op7_cgk_lsh, op8_count_rtree, op9_virtual_slots, op10_hilbert)}
+QUERIES = {f.__name__: f for f in (op2_attention_gru, op4_run_length_index, op5_boosted_pii, op6_line_frequency, op7_cgk_lsh, op8_count_rtree, op9_virtual_slots, op10_hilbert)}
 ORACLE_SQL: dict[str, str] = {}
