@@ -23,9 +23,11 @@ from tessel.llm.common import blocks, documents, mix, string_buffers, text_only,
 
 WINDOW, STRIDE, HIDDEN = 64, 32, 8
 WORD_ROWS, CHAR_ROWS, DIMS = 1 << 16, 1 << 17, 4
-TRAIN_ROWS, EPOCHS, BATCH, RATE, SEED = 1200, 6, 64, 0.02, 11
+TRAIN_ROWS, EPOCHS, BATCH, RATE, SEED = 2000, 6, 64, 0.02, 11
 #: Words whose gate inputs a worker keeps between batches, and windows that it reads at a time.
-CACHE, TOGETHER = 300_000, 4096
+CACHE, TOGETHER = 300_000, 2048
+#: Words whose n-grams are made at a time.
+SOME = 20_000
 _HOLD = 60.0
 
 
@@ -51,7 +53,7 @@ def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
             owner.append(word[full])
     rows, owner = np.concatenate(rows), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return rows[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
+    return rows[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(size) + 1))
 
 
 class Texts:
@@ -64,8 +66,11 @@ class Texts:
         self.text, self.start, self.end = text, start[at], end[at]
         self.rows = (self.hash & np.uint64(WORD_ROWS - 1)).astype(np.int64)
 
-    def grams(self, pick: np.ndarray):
-        return _char_rows(self.text, self.start[pick], self.end[pick])
+    def grams(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-gram rows of some words, and each word's first entry; SOME words at a time."""
+        made = [_char_rows(self.text, self.start[p], self.end[p]) for p in np.split(pick, range(SOME, len(pick), SOME))]
+        base = np.cumsum([0, *(len(r) for r, _ in made)])
+        return np.concatenate([r for r, _ in made]), np.concatenate([*(f[:-1] + b for (_, f), b in zip(made, base, strict=False)), base[-1:]])
 
     def windows(self, pad: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all windows (WINDOW columns, padded), and each text's first window."""
@@ -74,7 +79,7 @@ class Texts:
         begin = np.cumsum(count) - count
         doc = np.repeat(np.arange(len(n)), count)
         at = (self.first[:-1][doc] + (np.arange(len(doc)) - begin[doc]) * STRIDE)[:, None] + np.arange(WINDOW)
-        out = np.full(at.shape, pad, np.int64)
+        out = np.full(at.shape, pad, np.int32)
         inside = at < self.first[1:][doc][:, None]
         out[inside] = self.word[at[inside]]
         return out, np.append(begin, len(doc))
@@ -82,7 +87,11 @@ class Texts:
 
 def _mean(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Means of table rows by word; every word has a gram, as its edges count."""
-    return np.add.reduceat(table[rows], first[:-1], axis=0) / np.diff(first)[:, None].astype(np.float32)
+    out = np.empty((len(first) - 1, table.shape[1]), np.float32)
+    for i in range(0, len(out), SOME):
+        cut = first[i : i + SOME + 1]
+        out[i : i + SOME] = np.add.reduceat(table[rows[cut[0] : cut[-1]]], cut[:-1] - cut[0], axis=0) / np.diff(cut)[:, None].astype(np.float32)
+    return out
 
 
 def _sigmoid(x):
@@ -191,11 +200,12 @@ def _step(model: dict, texts: Texts, grams, chosen: np.ndarray, y: np.ndarray) -
     return out
 
 
-def _odds(rows: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed log odds of table rows over the texts that have them, in units of 1 about."""
-    pair = np.unique(np.stack((rows, doc), 1), axis=0)
-    hit = y[pair[:, 1]]
-    pos, neg = np.bincount(pair[hit == 1, 0], minlength=n), np.bincount(pair[hit == 0, 0], minlength=n)
+def _odds(tables: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+    """Smoothed log odds of table rows (distinct, by text), in units of 1 about."""
+    count = np.zeros((2, n), np.int64)
+    for rows, hit in zip(tables, y.astype(int), strict=True):
+        count[hit, rows] += 1
+    neg, pos = count
     return (np.log((pos + 2) / (y.sum() + 4)) - np.log((neg + 2) / ((1 - y).sum() + 4))).astype(np.float32).clip(-4, 4) / 2
 
 
@@ -207,16 +217,14 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
     y = labels.astype(np.float32)
     pad = len(t.hash)
     grams = t.grams(np.arange(pad))
-    doc = np.repeat(np.arange(len(texts)), np.diff(t.first))
+    distinct = [np.unique(t.word[a:b]) for a, b in zip(t.first[:-1], t.first[1:], strict=True)]
     normal = lambda *shape: (rng.normal(size=shape) * 0.3).astype(np.float32)
     model = {"word": normal(WORD_ROWS, DIMS) / 10, "char": normal(CHAR_ROWS, DIMS) / 10, "attend": normal(2 * HIDDEN), "out": normal(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
     for way in "fb":
         model |= {f"in_{way}": normal(2 * DIMS, 3 * HIDDEN), f"b_{way}": np.zeros(3 * HIDDEN, np.float32), f"u_{way}": normal(HIDDEN, 3 * HIDDEN)}
-    model["word"][:, 0] = _odds(t.rows[t.word], doc, y, WORD_ROWS)
-    word_doc = np.unique(np.stack((t.word, doc), 1), axis=0)
-    size = np.diff(grams[1])[word_doc[:, 0]]
-    every = np.concatenate([grams[0][grams[1][i] : grams[1][i + 1]] for i in word_doc[:, 0]]) if len(word_doc) else grams[0][:0]
-    model["char"][:, 0] = _odds(every, np.repeat(word_doc[:, 1], size), y, CHAR_ROWS)
+    model["word"][:, 0] = _odds([np.unique(t.rows[w]) for w in distinct], y, WORD_ROWS)
+    in_words = [np.unique(np.concatenate([grams[0][grams[1][i] : grams[1][i + 1]] for i in w])) if len(w) else w for w in distinct]
+    model["char"][:, 0] = _odds(in_words, y, CHAR_ROWS)
     windows, first = t.windows(pad)
     inputs = lambda: np.concatenate((model["word"][t.rows], _mean(model["char"], *grams)), 1)
     prior = np.append(np.maximum(*inputs()[:, [0, DIMS]].T), 0)[windows].max(1)
