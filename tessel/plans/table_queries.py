@@ -305,6 +305,14 @@ ORACLE_SQL = {
     "taxonomy_counts": "SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{t}'" for p, t in TOPICS) + " ELSE 'other' END AS topic, count(*) AS n FROM documents GROUP BY 1",
     "suspicious_scan": f"SELECT page_id, array_to_string(list_sort({_FOUND}), ',') AS findings, len({_FOUND}) AS n FROM pages",
     "identifier_types": f"WITH v AS (SELECT trim(p_name) AS t FROM part UNION ALL SELECT trim(url) FROM pages UNION ALL SELECT 'CHEMBL' || o_orderkey FROM orders UNION ALL SELECT c_custkey::VARCHAR FROM customer UNION ALL SELECT 'DB' || lpad(s_suppkey::VARCHAR, 5, '0') FROM supplier) SELECT CASE WHEN t = '' THEN 'name' {_IDENT} ELSE 'name' END AS type, count(*) AS n FROM v GROUP BY 1",
+    "layer_diff": """WITH p AS (SELECT page_id, list_filter(list_slice(string_split('x/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/'), 2, 1000), lambda x: x <> '') AS parts FROM pages),
+      e AS (SELECT page_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM p),
+      k AS (SELECT page_id, i, CASE WHEN regexp_matches(substr(part, 1, 1), '[A-Z0-9]') THEN 'formula' ELSE substr(part, 1, 1) END AS layer, CASE WHEN regexp_matches(substr(part, 1, 1), '[A-Z0-9]') THEN part ELSE substr(part, 2) END AS v FROM e),
+      l AS (SELECT page_id, layer, arg_max(v, i) AS v FROM k GROUP BY 1, 2),
+      ids AS (SELECT (page_id // 2)::BIGINT AS pair FROM pages GROUP BY 1 HAVING count(*) = 2),
+      a AS (SELECT (page_id // 2)::BIGINT AS pair, layer, v FROM l WHERE page_id % 2 = 0), b AS (SELECT ((page_id - 1) // 2)::BIGINT AS pair, layer, v FROM l WHERE page_id % 2 = 1),
+      f AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.layer, b.layer) AS layer, a.v AS x, b.v AS y FROM a FULL JOIN b ON a.pair = b.pair AND a.layer = b.layer)
+      SELECT f.pair, layer, coalesce(x, '') AS left_value, coalesce(y, '') AS right_value, x IS NOT DISTINCT FROM y AS same FROM f JOIN ids USING (pair)""",
     "numeric_columns": "SELECT name, round(avg((try_cast(v AS DOUBLE) IS NOT NULL)::INT), 6) AS share, avg((try_cast(v AS DOUBLE) IS NOT NULL)::INT) > 0.8 AS numeric FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {n}::VARCHAR AS v FROM part" for n in ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + ") WHERE v IS NOT NULL AND v <> '' GROUP BY 1",
     "cross_source_compare": "WITH v AS (SELECT c_nationkey AS nation, max(c_mktsegment) AS value FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, max(s_name) FROM supplier GROUP BY 1 UNION ALL SELECT n_nationkey, n_name FROM nation) SELECT nation, count(value) AS sources, CASE WHEN count(value) < 2 THEN 'no_data' WHEN count(DISTINCT value) = 1 THEN 'consistent' WHEN count(DISTINCT substr(value, 1, 1)) = 1 THEN 'minor' ELSE 'major' END AS verdict FROM v GROUP BY 1",
     "rate_limit_windows": "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2",
