@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessel.functions import scoring, text
+from tessel.functions import scoring, structures, text
 from tessel.operators import audit, checks, dedup, funnel, pairs, stats, view
 
 
@@ -89,3 +89,24 @@ def test_pages_and_index_lists(spark):
     got = view.page(df, F.col("s"), "i", 1, 3, True).collect()
     assert [r["i"] for r in got] == [6, 4, 5] and got[0]["pages"] == 3 and got[0]["total"] == 7
     assert rows(spark, [("0, 1,x,5",), ("x",)], "t string").select(view.parsed_indices(F.col("t"))).collect()[0][0] == [0, 1, 5]
+
+
+def test_structures_by_notation(spark):
+    cases = [
+        ("CC(=O)Oc1ccccc1C(=O)O", 1, 13, 0, True, True),
+        ("CC(=O)[O-].[Na+]", 2, 5, 0, True, True),
+        ("[NH4+].[Cl-]", 2, 2, 0, False, True),
+        ("C1CC", 1, 3, 0, True, False),
+        ("[2H]C([2H])O", 1, 2, 0, True, True),
+        ("[Fe+2]", 1, 1, 2, False, True),
+        ("[O--]", 1, 1, -2, False, True),
+        ("ClCBr", 1, 3, 0, True, True),
+        ("*CC", 1, 2, 0, True, True),
+    ]
+    s = F.col("smiles")
+    df = rows(spark, [(c[0],) for c in cases], "smiles string")
+    got = df.select("smiles", F.size(structures.fragments(s)), structures.heavy_atoms(s), structures.formal_charge(s), structures.has_carbon(s), structures.ring_closures_paired(s)).collect()
+    assert [tuple(r) for r in got] == cases
+    assert rows(spark, [("CC(=O)[O-].[Na+]",)], "smiles string").select(structures.parent(s)).first()[0] == "CC(=O)[O-]"
+    failed = {(r["smiles"], r["name"]) for r in checks.issues(checks.checked(df, structures.checks()), "smiles").collect()}
+    assert ("C1CC", "parsability") in failed and ("[NH4+].[Cl-]", "inorganic_filter") in failed and ("[2H]C([2H])O", "isotope_label_detection") in failed and ("CC(=O)Oc1ccccc1C(=O)O", "parsability") not in failed
