@@ -15,7 +15,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from itertools import chain
 
@@ -24,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import documents, mix, text_only
+from tessel.llm.common import blocks, documents, mix, string_buffers, text_only
+from tessel.llm.common import words as word_spans
 
 LENGTH, END_ID, DIMS, BITS, TIE_BITS = 2048, 1, 4, 12, 15
-SAMPLE_ROWS, SEED = 20_000, 3
-#: Words that a task remembers, and three times as many parts of words.
-CACHE = 400_000
+SAMPLE_ROWS, SEED = 8_000, 3
+#: Words that a worker remembers (a quarter as many parts of words), and bytes of text that it works on at a time.
+CACHE, TOGETHER = 1_200_000, 2 << 20
 SYMBOLS = ".,;:!?|&*$%#"
 LAYOUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -64,47 +64,97 @@ def token_signs(rows: int) -> np.ndarray:
     return np.stack([((bits >> np.uint64(8 * d)) & np.uint64(1)).astype(np.float32) * 2 - 1 for d in range(DIMS)], 1)
 
 
+def byte_letters() -> str:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(spare)) for b in range(256))
+
+
 class Words:
-    """Token ids of texts: by words met before, else by a word's letters and the symbols after them, else by the encoder."""
+    """Token ids of texts, word by word. Ids of words met before lie in one pool, found by the word's hash; a new word's
+    letters go through the vocabulary's merges, and its other parts, or a word of other make-up, through the encoder."""
 
     def __init__(self, path: str | None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.encoder.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.vocabulary = self.encoder.get_vocab_size(True)
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """A word's letters and the symbols after them, which the tokenizer never joins; else the word."""
+        self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
+        self._forget()
+
+    def _forget(self):
+        self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
+
+    def _piece(self, text: str, letters: bool) -> tuple[int, ...]:
+        got = self.pieces.get(text)
+        if got is None:
+            if letters:
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(self.letters)
+                got = tuple([t.id for t in self.model.tokenize(text)])
+            else:
+                got = tuple(self.encoder.encode(text, add_special_tokens=False).ids)
+            if len(self.pieces) >= CACHE // 4:
+                self.pieces.clear()
+            self.pieces[text] = got
+        return got
+
+    def ids(self, word: str) -> tuple[int, ...]:
         core = word.rstrip(SYMBOLS)
-        if not core or not core[-1].isalpha() or core.isascii() and not core.isalpha():
-            return (word,)
-        core_ = core.lower() if core.isascii() else core
-        return (core_, word[len(core) :]) if len(core) < len(word) else (core_,)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        each = [self.split(t) for t in texts]
-        new = set(chain.from_iterable(each)).difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = set(chain.from_iterable(each))
-        cut = {w: self.parts(w) for w in new}
-        fresh = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
-        if len(self.pieces) + len(fresh) > 3 * CACHE:
-            self.pieces.clear()
-            fresh = list(set(chain.from_iterable(cut.values())))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[w] = np.array(e.ids, np.uint32).tobytes()
-        for w, ps in cut.items():
-            self.words[w] = b"".join(map(self.pieces.__getitem__, ps))
-        end = np.array([END_ID], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)) + end, np.uint32) for ws in each]
+        if core.isalpha() and (core.isascii() or max(core) < "\u0180" and "\u0130" not in core):
+            got = self._piece(core.lower(), True)
+            return got + self._piece(word[len(core) :], False) if len(core) < len(word) else got
+        return self._piece(word, False)
+
+    def _learn(self, hashed: np.ndarray, found: list[str]):
+        if len(self.hash) + len(hashed) > CACHE and len(self.hash):
+            self._forget()
+        made = [self.ids(w) for w in found]
+        size = np.array([len(m) for m in made], np.int64)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(made), self.kind, int(size.sum()))))
+        both = np.concatenate((self.hash, hashed))
+        order = np.argsort(both, kind="stable")
+        self.hash, self.at, self.size = both[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        start, end, hashed, first = word_spans(raw, off, False)
+        text = raw[off[0] : off[-1]]
+        own, at, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+
+        def place():
+            where = np.minimum(np.searchsorted(self.hash, own), max(0, len(self.hash) - 1))
+            return where, (self.hash[where] == own) if len(self.hash) else np.zeros(len(own), bool)
+
+        where, met = place()
+        if not met.all():
+            if len(self.hash) + (~met).sum() > CACHE:
+                self._forget()
+                met[:] = False
+            new = at[~met]
+            self._learn(own[~met], [text[a:b].tobytes().decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            where, met = place()
+        begin, size = self.at[where][inverse], self.size[where][inverse]
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        edge = np.append(0, stop)[first]
+        return [np.append(ids[a:b], self.kind(END_ID)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+#: A worker's words by tokenizer, kept from task to task.
+_WORDS: dict[str | None, Words] = {}
+
+
+def worker_words(path: str | None) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def keyed(ids: list[np.ndarray], tie: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -121,22 +171,22 @@ def keyed(ids: list[np.ndarray], tie: np.ndarray, signs: np.ndarray) -> np.ndarr
 
 
 def encoder(path: str | None, bounds: list[int] | None):
-    """Rows of (key) for a sample, or of (part, key, tie, doc_id, ids) with the range of each document."""
+    """Rows of (key) for a sample, or of (part, key, tie, doc_id, tokens, ids) with the range of each document."""
 
     def encoded(batches):
-        words, signs = Words(path), None
+        words, signs = worker_words(path), None
         for batch in batches:
             signs = token_signs(words.vocabulary) if signs is None else signs
-            for i in range(0, len(batch), 500):
-                rows = batch.slice(i, 500)
-                ids = words(rows.column("text").to_pylist())
+            raw, off = string_buffers(batch.column("text"))
+            for i, j in blocks(off, TOGETHER):
+                rows, ids = batch.slice(i, j - i), words(raw, off[i : j + 1])
                 tie = mix(rows.column("tie").to_numpy().view(np.uint64))
                 key = keyed(ids, tie, signs)
                 if bounds is None:
                     yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
                 else:
                     part = np.searchsorted(np.array(bounds, np.int64), key, "right").astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), rows.column("tie"), rows.column("doc_id"), pa.array([x.astype(np.uint16).tobytes() if words.vocabulary <= 1 << 16 else x.tobytes() for x in ids], pa.binary())], ["part", "key", "tie", "doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), rows.column("tie"), rows.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "key", "tie", "doc_id", "tokens", "ids"])
 
     return encoded
 
@@ -181,19 +231,19 @@ class Stream:
             yield from self._close(mine)
 
 
-def packer(length: int, wide: bool):
+def packer(length: int):
     names = [x.split()[0] for x in LAYOUT.split(", ")]
 
     def packed(batches):
         stream, part = None, None
         for batch in batches:
             out = []
-            for p, doc, body in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            for p, doc, n, body in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 if p != part:
                     if stream:
                         out.extend(stream.finish())
                     stream, part = Stream(p, length), p
-                out.extend(stream.add(doc, np.frombuffer(body.as_py(), np.uint32 if wide else np.uint16)))
+                out.extend(stream.add(doc, np.frombuffer(body, np.uint16 if len(body) == 2 * n else np.uint32)))
             yield _table(out, names)
         if stream:
             yield _table(list(stream.finish()), names)
@@ -215,9 +265,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, pa
     share = min(1.0, SAMPLE_ROWS / 2 / max(1, docs.count()))
     sample = np.sort([r[0] for r in rows.sample(share, SEED).mapInArrow(encoder(tokenizer, None), "key long").limit(SAMPLE_ROWS).collect()]).astype(np.int64)
     bounds = np.unique(sample[[len(sample) * i // parts for i in range(1, parts)]]).tolist() if len(sample) else []
-    ranged = rows.mapInArrow(encoder(tokenizer, bounds), "part int, key long, tie long, doc_id long, ids binary")
-    wide = Words(tokenizer).vocabulary > 1 << 16
-    return ranged.repartition(parts, "part").sortWithinPartitions("part", "key", "tie", "doc_id").mapInArrow(packer(length, wide), LAYOUT)
+    ranged = rows.mapInArrow(encoder(tokenizer, bounds), "part int, key long, tie long, doc_id long, tokens long, ids binary")
+    return ranged.repartition(parts, "part").sortWithinPartitions("part", "key", "tie", "doc_id").mapInArrow(packer(length), LAYOUT)
 
 
 def op10_hilbert(spark, sf_dir):
