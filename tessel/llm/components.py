@@ -1,32 +1,73 @@
-"""Connected components by repeated star contraction, each round a join and two aggregations on the links."""
+"""Connected components by compacting links within partitions and contracting stars across them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import staged
 
+#: Links that a task compacts at a time.
+TOGETHER = 1 << 20
 
-def _stamp(df: DataFrame):
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+def compacted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One tie (node, least node it reaches) for each node that the ties a-b connect to a lesser one."""
+    if not len(a):
+        return np.zeros((0, 2), np.int64)
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    away = root != np.arange(len(node))
+    return np.stack((node[away], node[root[away]]), 1)
+
+
+def compact(batches):
+    """The same connections as a partition's links, as ties to the least node of each group."""
+
+    def ties():
+        got = compacted(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += len(batch)
+        if n >= TOGETHER:
+            yield ties()
+            held, n = [], 0
+    if held:
+        yield ties()
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link to a root that has none: then the links are the answer."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty()
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp) for each node of links (a, b: long): comp is the smallest node that links reach.
 
-    A round ties every neighbour of a node, and the node, to the smallest of them; rounds end when nothing changes,
-    about the logarithm of the longest path later. The links never outgrow twice their first number.
+    A round compacts the links of each partition and then ties every neighbour of a node, and the node, to the smallest
+    of them. The links never outgrow twice their first number.
     """
-    links = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    seen = _stamp(links)
-    while seen[0]:
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = staged(links.where("a != b").mapInArrow(compact, "a long, b long").distinct(), label)
+    while not _settled(links):
+        near = links.mapInArrow(compact, "a long, b long")
+        both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         tied = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         links = staged(tied.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-        now = _stamp(links)
-        if now == seen:
-            break
-        seen = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(links.select(F.col("b"), F.col("b")).distinct())

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import blocks, documents, mix, shingles, small_enough, staged, string_buffers, text_only, words
-from tessel.llm.components import components
+from tessel.llm.common import added, blocks, documents, free_name, mix, shingles, small_enough, staged, string_buffers, text_only, words
+from tessel.llm.components import compacted, components
 
 #: Points in a block, and in a page of it; further pairs of a point, after its best, that a round proposes.
 BLOCK, PAGE, MORE = 256, 32, 6
-#: Meeting points that a map task gathers before it passes them on.
+#: Meeting points that a map task gathers before it passes them on; a part holds four times as many.
 GATHER = 1 << 20
 #: Rows of document ids that may be broadcast (16 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -49,6 +49,15 @@ def class_parts(low: int, percent: int) -> int:
     return 2 * high * (100 - percent) // (100 + percent) + 1
 
 
+def points_of(size: int, percent: int) -> int:
+    """Meeting points of a set of that size."""
+    if not size:
+        return 0
+    _, low = part_count(size, percent)
+    both = class_parts(low, percent), class_parts(low * 100 // percent + 1, percent)
+    return sum(n for n in both if n > 1)
+
+
 def meeting_points(items: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the parts of a set (sorted distinct uint64), for its own size class and the next."""
     k, low = part_count(len(items), percent)
@@ -90,73 +99,89 @@ def describer(k: int, percent: int):
                     size.append(len(items))
                     sid.append(set_id(items))
                     points.append(point(items).tobytes() if len(items) else b"")
-                    meets.append(meeting_points(items, percent).tobytes() if len(items) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(points, pa.binary()), pa.array(meets, pa.binary())], ["doc_id", "n", "sid", "point", "meets"])
+                    meets.append(points_of(len(items), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(points, pa.binary()), pa.array(meets, pa.int64())], ["doc_id", "n", "sid", "point", "meets"])
 
     return described
 
 
 def _stars(point_: np.ndarray, sid: np.ndarray):
-    """Ties of each set to the smallest that meets it, and one (point, set) for each point."""
+    """Ties of each set to the smallest that meets it, and where one set of each point stands."""
     order = np.lexsort((sid, point_))
     p, s = point_[order], sid[order]
     new = np.append(True, p[1:] != p[:-1])
     hub = s[np.flatnonzero(new)][np.cumsum(new) - 1]
     away = s != hub
-    return np.unique(np.stack((s[away], hub[away]), 1), axis=0), p[new], s[new]
+    return compacted(s[away], hub[away]), order[new]
+
 
+MET = "part int, points binary, who binary, sids binary, ties binary"
 
-def gatherer(parts: int):
-    """Rows of (part, ties, meeting points) as packed bytes: ties made here have part -1."""
 
-    def flush(point_, sid):
-        ties, p, s = _stars(np.concatenate(point_), np.concatenate(sid))
-        slot = (p % np.uint64(parts)).astype(np.int64)
+def gatherer(k: int, percent: int, parts: int):
+    """Meeting points of texts by part of the hash space, with the set of each (its place in sids), and ties made here."""
+
+    def flush(points, sids):
+        point_, sid = np.concatenate(points), np.array(sids, np.int64)
+        who = np.repeat(np.arange(len(sid)), [len(x) for x in points])
+        ties, one = _stars(point_, sid[who])
+        point_, who = point_[one], who[one]
+        slot = (point_ % np.uint64(parts)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         cut = np.searchsorted(slot[order], np.arange(parts + 1))
-        body = [(int(i), np.concatenate((p[order[a:b]].view(np.int64), s[order[a:b]])).tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        body = []
+        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                used, at = np.unique(who[order[a:b]], return_inverse=True)
+                body.append((i, point_[order[a:b]].tobytes(), at.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), sid[used].tobytes(), b""))
         if len(ties):
-            body.append((-1, ties.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in body], pa.int32()), pa.array([x[1] for x in body], pa.binary())], ["part", "body"])
+            body.append((int(sid[0] % parts), b"", b"", b"", ties.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*body, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], [x.split()[0] for x in MET.split(", ")])
 
     def gathered(batches):
-        point_, sid, n = [], [], 0
+        points, sids, n = [], [], 0
         for batch in batches:
-            for s, m in zip(batch.column("sid").to_numpy(), batch.column("meets"), strict=True):
-                got = np.frombuffer(m.as_py(), np.uint64)
-                if len(got):
-                    point_.append(got)
-                    sid.append(np.full(len(got), s))
-                    n += len(got)
-                if n >= GATHER:
-                    yield flush(point_, sid)
-                    point_, sid, n = [], [], 0
+            raw, off = string_buffers(batch.column("text"))
+            for i, j in blocks(off):
+                _, _, ids, first = words(raw, off[i : j + 1], True)
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    if b == a:
+                        continue
+                    items = np.unique(shingles(ids[a:b], k))
+                    got = meeting_points(items, percent)
+                    if len(got):
+                        points.append(got)
+                        sids.append(set_id(items))
+                        n += len(got)
+                    if n >= GATHER:
+                        yield flush(points, sids)
+                        points, sids, n = [], [], 0
         if n:
-            yield flush(point_, sid)
+            yield flush(points, sids)
 
     return gathered
 
 
 def met(table: pa.Table) -> pa.Table:
-    """Ties among the meeting points of one part of the hash space."""
-    halves = [np.frombuffer(x.as_py(), np.int64) for x in table.column("body")]
-    ties, _, _ = _stars(np.concatenate([x[: len(x) // 2] for x in halves]).view(np.uint64), np.concatenate([x[len(x) // 2 :] for x in halves]))
-    return pa.table({"a": ties[:, 0], "b": ties[:, 1]}) if len(ties) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-
-def untied(batches):
-    for batch in batches:
-        for body in batch.column("body"):
-            ties = np.frombuffer(body.as_py(), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], ["a", "b"])
-
-
-def families(rows: DataFrame) -> DataFrame:
-    """(sid, family) of the sets that meet another."""
-    total = rows.agg(F.sum(F.octet_length("meets"))).first()[0] or 0
-    parts = max(16, int(total) // (8 * GATHER) + 1)
-    packed = staged(rows.where("n > 0").select("sid", "meets").mapInArrow(gatherer(parts), "part int, body binary"), "meeting-points")
-    ties = packed.where("part >= 0").groupBy("part").applyInArrow(met, "a long, b long").union(packed.where("part < 0").mapInArrow(untied, "a long, b long"))
+    """Ties among the meeting points of one part of the hash space, and those that came with them."""
+    point_, sid, ties = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+    for points, who, sids, made in zip(*(table.column(c).to_pylist() for c in ("points", "who", "sids", "ties")), strict=True):
+        if points:
+            point_.append(np.frombuffer(points, np.uint64))
+            at = np.frombuffer(who, np.uint16 if 4 * len(who) == len(points) else np.uint32)
+            sid.append(np.frombuffer(sids, np.int64)[at])
+        ties.append(np.frombuffer(made, np.int64).reshape(-1, 2))
+    if len(point_) > 1:
+        ties.append(_stars(np.concatenate(point_), np.concatenate(sid))[0])
+    both = np.concatenate(ties)
+    both = compacted(both[:, 0], both[:, 1])
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+
+def families(texts: DataFrame, k: int, percent: int, points: int) -> DataFrame:
+    """(sid, family) of the sets that meet another, of texts (text) with so many meeting points together."""
+    parts = max(8, points // (4 * GATHER) + 1)
+    ties = texts.mapInArrow(gatherer(k, percent, parts), MET).groupBy("part").applyInArrow(met, "a long, b long")
     return components(ties, "families").select(F.col("node").alias("sid"), F.col("comp").alias("family"))
 
 
@@ -296,17 +321,18 @@ def verifier(k: int):
     return sets_of
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) of each row."""
-    rows = staged(text_only(docs).mapInArrow(describer(k, percent), "doc_id long, n long, sid long, point binary, meets binary"), "shingle-sets")
-    met_ = staged(families(rows), "families")
+def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, sid (the set), comp (the set's component; null for empty sets) of each row."""
+    rows = staged(text_only(docs).mapInArrow(describer(k, percent), "doc_id long, n long, sid long, point binary, meets long"), "shingle-sets")
+    points = int(rows.agg(F.sum("meets")).first()[0] or 0)
+    met_ = staged(families(text_only(docs).select("text"), k, percent, points), "families")
     sets = rows.select("sid", "n", "point", "doc_id").join(met_, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("doc_id"), F.first("family").alias("family"))
     sets = staged(sets, "points")
     ids = sets.select("doc_id").where("doc_id is not null").distinct()
     texts = text_only(docs).join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi") if sets.where("doc_id is null").isEmpty() else text_only(docs)
     shingled = texts.mapInArrow(verifier(k), "sid long, items array<long>").join(sets.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
     shingled = staged(shingled, "shingles")
-    comps, links, refuted, points = None, None, None, sets.select("sid", "n", "point", "family")
+    comps, refuted, points = None, None, sets.select("sid", "n", "point", "family")
     while True:
         pairs = staged(survivors(points, comps, refuted, percent), "survivors")
         if pairs.isEmpty():
@@ -317,7 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         judged = pairs.join(one, "a").join(two, "b").select("a", "b", overlap.alias("o"), (F.size("x") + F.size("y")).cast("long").alias("both"))
         judged = staged(judged.select("a", "b", (100 * F.col("o") >= percent * (F.col("both") - F.col("o"))).alias("linked")), "judged")
         new, no = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
-        links = new if links is None else links.union(new)
+        links = new if comps is None else new.union(comps.select("node", "comp"))
         refuted = no if refuted is None else refuted.union(no)
         comps = staged(components(links, "links"), "comps")
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid")
@@ -325,10 +351,60 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         named = named.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left")
     else:
         named = named.withColumn("comp", F.lit(None).cast("long"))
-    named = named.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "sid")))
+    return named.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "sid")))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) of each row."""
+    named = linked(docs, k, percent)
     least = named.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def set_ids(k: int, name: str):
+    """Batches with one more column: the set of the column text (null where it is empty)."""
+
+    def made(batches):
+        for batch in batches:
+            raw, off = string_buffers(batch.column("text").fill_null(""))
+            out = []
+            for i, j in blocks(off):
+                _, _, ids, first = words(raw, off[i : j + 1], True)
+                out += [set_id(np.unique(shingles(ids[a:b], k))) if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, name])
+
+    return made
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without all but the smallest doc_id of each component.
+
+    Of rows that repeat an id and a set one stays; rows with an empty set all stay.
+    """
+    named = linked(docs, k, percent).where("comp is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "sid")
+    winners = named.groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.sid").alias("_sid"))
+    sid = free_name(docs, "set_id")
+    rows = docs.mapInArrow(set_ids(k, sid), added(docs, sid, "long"))
+    full = rows.where(F.col(sid).isNotNull()).dropDuplicates(["doc_id", sid])
+    stay = full.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sid) == F.col("_sid")), "left_semi")
+    return stay.union(rows.where(F.col(sid).isNull())).drop(sid)
+
+
 def op8_count_rtree(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir), 3, 90)
+
+
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS items FROM w),
+u AS (SELECT items, min(doc_id) AS id, len(items) AS n FROM s WHERE len(items) > 0 GROUP BY items),
+e AS (SELECT id, n, unnest(items) AS x FROM u),
+links AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS other FROM u UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.items) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN u ON s.items = u.items LEFT JOIN least l ON u.id = l.id
+"""
