@@ -1,13 +1,56 @@
-"""The corpus pipeline: five operators, each on what the one before it kept."""
+"""The corpus pipeline: five operators, each on what the one before it kept.
+
+Toxic documents go; of documents whose five-word shingles overlap by 0.8 or more one stays; documents that leak a
+benchmark item go; personal data is replaced; what is left is packed into sequences. Stages before the last return the
+columns of documents. Nulls, empty texts and repeated rows are as the operators say. SQL cannot express the first stage
+(a trained network), so there is no ORACLE_SQL; tests hold every stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tessel.llm.common import staged
+from tessel.llm.decontamination import without_leaks
+from tessel.llm.ngram_join import one_of_each
+from tessel.llm.packing import pack
+from tessel.llm.pii import redact
+from tessel.llm.toxicity import not_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs, 5, 80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -197,16 +197,42 @@ def scanner(shared, percent: int, recall: float):
     return scanned
 
 
+def leak_free(shared, percent: int, recall: float):
+    """Batches without the rows whose text leaks an item."""
+
+    def kept(batches):
+        items = None
+        for batch in batches:
+            items = items or Items(*shared.value, percent, recall)
+            raw, off = string_buffers(batch.column("text").fill_null(""))
+            stay = np.ones(len(batch), bool)
+            for i, j in blocks(off):
+                _, _, word, first = words(raw, off[i : j + 1], True)
+                stay[[i + doc for doc, *_ in items.leaks(word, first)]] = False
+            yield batch.filter(pa.array(stay))
+
+    return kept
+
+
+def item_blocks(docs: DataFrame, benchmark: DataFrame):
+    """Broadcasts of the items, ITEM_BLOCK in each about."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    count = max(1, -(-items.count() // ITEM_BLOCK))
+    for b in range(count):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).collect()
+        yield docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, with all their columns, that leak no item."""
+    for shared in item_blocks(docs, benchmark):
+        docs = docs.mapInArrow(leak_free(shared, percent, recall), docs.schema)
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """A row for each document and item that it leaks: where the nearest run starts, its words and its distance."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks_ = max(1, -(-items.count() // ITEM_BLOCK))
-    out = []
-    for b in range(blocks_):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks_)) == b).collect()  # ITEM_BLOCK items about
-        shared = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        out.append(text_only(docs).mapInArrow(scanner(shared, percent, recall), SCHEMA))
-    return reduce(DataFrame.union, out)
+    return reduce(DataFrame.union, [text_only(docs).mapInArrow(scanner(shared, percent, recall), SCHEMA) for shared in item_blocks(docs, benchmark)])
 
 
 def op7_cgk_lsh(spark, sf_dir):

@@ -255,10 +255,10 @@ def _scored(trees: list, values: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a + b, map(one, trees))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base spans and added spans (arrays by start, then kind) of each row."""
+def find(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text, base spans and added spans (arrays by start, then kind) of each row, and more columns of docs."""
     fitted = model(docs.sparkSession)
-    df = _matches(with_base(text_only(docs)), LOOSE, "loose")
+    df = _matches(with_base(text_only(docs, *more)), LOOSE, "loose")
 
     def shaped(k: str, of: str, *more: str) -> Column:
         return F.transform(of, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind"), *(s[m].alias(m) for m in more)))
@@ -281,7 +281,8 @@ def find(docs: DataFrame) -> DataFrame:
     better = lambda a, c: (a["score"] > c["score"]) | ((a["score"] == c["score"]) & (a["rank"] < c["rank"]))
     df = df.withColumn("chosen", F.when(F.size("chosen") < 2, F.col("chosen")).otherwise(F.filter("chosen", lambda c: ~F.exists("chosen", lambda a: meets(a, c) & better(a, c)))))
     added = F.transform("chosen", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return df.select("doc_id", "text", "base", F.array_sort(F.concat("base", added)).alias("spans"), *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS))
+    rest = df.columns[2 : 2 + len(more)]
+    return df.select("doc_id", "text", *rest, "base", F.array_sort(F.concat("base", added)).alias("spans"), *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS))
 
 
 def joined(spans: Column) -> Column:
@@ -303,6 +304,14 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, finish))
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs with all their columns, personal data in text replaced (and n_chars, if there, counted anew)."""
+    found = find(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    clean = F.when(F.col("_row.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
+    new = {"text": clean, "n_chars": F.length(clean).cast("long")}
+    return found.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op5_boosted_pii(spark, sf_dir):
     found = find(documents(spark, sf_dir))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))

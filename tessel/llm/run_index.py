@@ -285,13 +285,30 @@ def cutter(length: int, keep: bool):
     return cut
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
     """Each row's bytes, removed bytes and runs, and what is left (its SHA-256; the bytes if keep)."""
     texts = text_only(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = staged(marks(texts.select("row", "text"), length, min(GRAM, length)), "marks")
+    found = staged(marks(texts.select("row", "text"), length, gram), "marks")
     found = found.distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return texts.join(found, "row", "left").select("doc_id", "text", "ranges").mapInArrow(cutter(length, keep), RESULT)
 
 
 def op4_run_length_index(spark, sf_dir):
     return without_repeats(documents(spark, sf_dir), keep=False).drop("kept")
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+k AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM k),
+runs AS (SELECT rid, run, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM g GROUP BY rid, run),
+gaps AS (SELECT rid, run, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY run), 0) + 1 AS since FROM runs),
+left_over AS (SELECT rid, run, CASE WHEN since < a THEN hex(array_slice(b, since, a - 1)) ELSE '' END AS x FROM gaps JOIN d USING (rid)
+  UNION ALL SELECT rid, max(run) + 1, CASE WHEN max(z) < any_value(octet_length(b)) THEN hex(array_slice(any_value(b), max(z) + 1, any_value(octet_length(b)))) ELSE '' END FROM runs JOIN d USING (rid) GROUP BY rid),
+kept AS (SELECT rid, sha256(from_hex(string_agg(x, '' ORDER BY run))) AS sha FROM left_over GROUP BY rid),
+sums AS (SELECT rid, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -14,12 +14,14 @@ an empty result; other columns are ignored (for held_out a null doc_id counts as
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import blocks, documents, mix, string_buffers, text_only, words
+from tessel.llm.common import added, blocks, documents, free_name, mix, string_buffers, text_only, words
 
 WINDOW, STRIDE, HIDDEN = 64, 32, 8
 WORD_ROWS, CHAR_ROWS, DIMS = 1 << 16, 1 << 17, 4
@@ -200,7 +202,7 @@ def _step(model: dict, texts: Texts, grams, chosen: np.ndarray, y: np.ndarray) -
     return out
 
 
-def _odds(tables: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+def _odds(tables: Iterable[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
     """Smoothed log odds of table rows (distinct, by text), in units of 1 about."""
     count = np.zeros((2, n), np.int64)
     for rows, hit in zip(tables, y.astype(int), strict=True):
@@ -223,7 +225,7 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
     for way in "fb":
         model |= {f"in_{way}": normal(2 * DIMS, 3 * HIDDEN), f"b_{way}": np.zeros(3 * HIDDEN, np.float32), f"u_{way}": normal(HIDDEN, 3 * HIDDEN)}
     model["word"][:, 0] = _odds([np.unique(t.rows[w]) for w in distinct], y, WORD_ROWS)
-    in_words = [np.unique(np.concatenate([grams[0][grams[1][i] : grams[1][i + 1]] for i in w])) if len(w) else w for w in distinct]
+    in_words = (np.unique(np.concatenate([grams[0][grams[1][i] : grams[1][i + 1]] for i in w])) if len(w) else w for w in distinct)
     model["char"][:, 0] = _odds(in_words, y, CHAR_ROWS)
     windows, first = t.windows(pad)
     inputs = lambda: np.concatenate((model["word"][t.rows], _mean(model["char"], *grams)), 1)
@@ -297,14 +299,16 @@ class Scorer:
         return _sigmoid(np.maximum.reduceat(logits(self.model, self._inputs(t), windows), first[:-1]).astype(np.float64))
 
 
-def scorer(shared):
+def scorer(shared, name: str = "score"):
+    """Batches with one more column: the score of the column text."""
+
     def scored(batches):
         run = None
         for batch in batches:
-            raw, off = string_buffers(batch.column("text"))
+            raw, off = string_buffers(batch.column("text").fill_null(""))
             run = run or Scorer(shared.value)
             out = [run(raw, off[i : j + 1]) if run.model else np.zeros(j - i) for i, j in blocks(off)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, name])
 
     return scored
 
@@ -324,7 +328,14 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 def toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, score (0 to 1) of each row."""
     model = fitted(docs, labels) if model is None else model
-    return text_only(docs).mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+    return text_only(docs).mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, text string, score double").select("doc_id", "score")
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the limit."""
+    name = free_name(docs, "toxicity")
+    scored = docs.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(fitted(docs, labels)), name), added(docs, name, "double"))
+    return scored.where(F.col(name) < limit).drop(name)
 
 
 def op2_attention_gru(spark, sf_dir):
