@@ -18,6 +18,11 @@ REOS_RANGES = {"mw": (200, 500), "logp": (-5, 5), "hbd": (0, 5), "hba": (0, 10),
 RADAR_AXES = {"lipo": ("logp", -0.7, 5.0), "size": ("mw", 150.0, 500.0), "polar": ("tpsa", 20.0, 130.0), "insolu": ("esol", -6.0, 0.0), "insatu": ("fsp3", 0.25, 1.0), "flex": ("rotb", 0.0, 9.0)}
 #: Ellipses on the (polarity, lipophilicity) plane: centre and half axes.
 GUT, BRAIN = (71.051, 2.292, 142.081, 4.580), (45.542, 2.137, 79.579, 3.177)
+#: Low and high percentiles of known drugs; outside them a property counts as unusual.
+PERCENTILES = {"mw": (150.0, 550.0), "logp": (-2.0, 5.5), "rotb": (0.0, 12.0), "rings": (1.0, 5.0), "heavy": (10.0, 40.0)}
+#: Ideal ranges and points of the property part of machine-learning readiness, and its labels.
+READINESS = {"mw": (200, 500, 6), "logp": (0.5, 4.0, 6), "tpsa": (40, 120, 5), "hbd": (0, 3, 4), "hba": (2, 8, 4), "rotb": (1, 8, 5), "arom": (1, 3, 5)}
+LABELS = ((85, "Excellent"), (70, "Good"), (50, "Moderate"), (30, "Limited"))
 BEYOND_FIVE = {"mw": 1000, "logp": 10, "hbd": 6, "tpsa": 250, "rotb": 20}
 
 
@@ -189,3 +194,42 @@ def composite(validity: float = 0.3, qed: float = 0.3, alert_free: float = 0.2,
     """Generative score of a valid row: weighted validity, drug-likeness, freedom from alerts and ease of making."""
     free = F.lit(1.0) if alerts is None else (alerts == 0).cast("double")
     return validity + qed * c("qed") + alert_free * free + sa * clamp((10.0 - c("sa")) / 9.0)
+
+
+def unusual() -> dict[str, Column]:
+    """below, above or within, for each property against the percentiles of known drugs."""
+    return {n: F.when(c(n) < low, "below").when(c(n) > high, "above").when(c(n).isNotNull(), "within") for n, (low, high) in PERCENTILES.items()}
+
+
+def readiness_properties() -> Column:
+    """Points of the property part, 35 at most."""
+    return reduce(lambda a, b: a + b, (F.coalesce(desirability(c(n), low, high), F.lit(0.0)) * points for n, (low, high, points) in READINESS.items()))
+
+
+def accessibility_points(sa: Column) -> Column:
+    """8 up to a score of 3, then two less for each, none beyond 7."""
+    return F.when(sa.isNotNull(), clamp(8.0 - (sa - 3.0) * 2.0, 0.0, 8.0))
+
+
+def stereocentre_points(total: Column, undefined: Column) -> Column:
+    base = F.when(total <= 4, 5.0).when(total <= 8, 5.0 - (total - 4) * 0.75).otherwise(0.0)
+    return base * F.when((total > 0) & (undefined > 0.5 * total), 0.5).otherwise(1.0)
+
+
+def labelled(score: Column) -> Column:
+    out = F.lit("Poor")
+    for bound, name in reversed(LABELS):
+        out = F.when(score >= bound, name).otherwise(out)
+    return F.when(score.isNotNull(), out)
+
+
+def flatness(fsp3: Column) -> Column:
+    return banded(fsp3, (0.25, "flat"), (0.42, "moderate"), last="3d")
+
+
+def proxy_efficiency() -> tuple[Column, Column]:
+    """Efficiency from activity with its band, or without activity from drug-likeness over weight with its own."""
+    le = F.try_divide(1.37 * c("activity"), c("heavy"))
+    proxy = F.try_divide(1000.0 * c("qed"), c("mw"))
+    band = F.when(c("activity").isNotNull(), F.when(le >= 0.3, "excellent").when(le >= 0.2, "good").otherwise("poor")).otherwise(F.when(proxy >= 1.5, "excellent").when(proxy >= 0.8, "good").otherwise("poor"))
+    return F.coalesce(le, proxy), band

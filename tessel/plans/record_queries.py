@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessel.functions import structures as X
-from tessel.operators import checks, screen
-from tessel.plans.table_queries import RULES, documents, scored
+from tessel.operators import checks, screen, view
+from tessel.plans.table_queries import _SCORE, RULES, documents, scored
 from tessel.sources.tables import table
 
 c = F.col
@@ -79,7 +79,20 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(":", F.lit("v1"), "c_name", F.substring(F.sha2(names, 256), 1, 16)).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (structure_counts, salt_inventory, structure_issues, pipeline_agreement, screen_summary, critical_issues, group_numbers, expired_events, cache_keys)}
+def audit_outcomes(spark, sf_dir):
+    """Outcome of each order's lines as one batch, and its worst line's."""
+    by = scored(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(c("score") < 40).alias("failed"), F.min("score").alias("worst"))
+    return by.select("l_orderkey", view.batch_outcome(c("n"), c("failed")).alias("batch"), view.outcome(c("worst")).alias("worst"))
+
+
+def settled_statuses(spark, sf_dir):
+    """Orders' statuses after an update; F is terminal."""
+    o = table(spark, sf_dir, "orders")
+    old, new = o.where("o_orderkey % 3 <> 0").select("o_orderkey", c("o_orderstatus").alias("status")), o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("Z").alias("status"))
+    return view.settled_statuses(old, new, "o_orderkey", ("F",))
+
+
+QUERIES = {f.__name__: f for f in (structure_counts, salt_inventory, structure_issues, pipeline_agreement, screen_summary, critical_issues, group_numbers, expired_events, cache_keys, audit_outcomes, settled_statuses)}
 
 _NOTES = "n AS (SELECT p_partkey, repeat('C', (1 + p_size % 9)::INTEGER) || CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '.Cl' WHEN 2 THEN '(=O)[O-].[Na+]' WHEN 3 THEN 'c1ccccc1' WHEN 4 THEN '[2H]' ELSE '[NH3+].O' END AS smiles, p_partkey % 6 AS k, 1 + p_size % 9 AS chain FROM part)"
 _BAD = "NOT l_quantity <= 45"
@@ -103,5 +116,7 @@ ORACLE_SQL = {
     "critical_issues": f"SELECT l_orderkey, l_linenumber, greatest(0, 100 - 50 - 20 * (NOT l_discount < 0.08)::INT - 5 * (NOT l_tax < 0.06)::INT - 5 * (l_returnflag = 'R')::INT)::BIGINT AS score FROM lineitem WHERE {_BAD} ORDER BY 3, 1, 2 LIMIT 20",
     "group_numbers": "SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY p_brand)::INTEGER AS group_id FROM part",
     "expired_events": "SELECT event_type, count(*) AS n FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY GROUP BY 1",
+    "audit_outcomes": f"WITH s AS (SELECT l_orderkey, {_SCORE} AS score FROM lineitem) SELECT l_orderkey, CASE WHEN count(*) FILTER (score < 40) = 0 THEN 'pass' WHEN count(*) FILTER (score < 40) * 2 < count(*) THEN 'warn' ELSE 'fail' END AS batch, CASE WHEN min(score) >= 70 THEN 'pass' WHEN min(score) >= 40 THEN 'warn' ELSE 'fail' END AS worst FROM s GROUP BY 1",
+    "settled_statuses": "WITH p AS (SELECT o_orderkey, o_orderstatus AS was FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, 'Z' AS now FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(p.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN was = 'F' OR now IS NULL THEN was ELSE now END AS status FROM p FULL JOIN n ON p.o_orderkey = n.o_orderkey",
     "cache_keys": "SELECT c_custkey, concat_ws(':', 'v1', c_name, substr(sha256('connectivity,parsability,valence'), 1, 16)) AS key FROM customer",
 }

@@ -37,6 +37,9 @@ QUERIES = {
     "aggregator_risk": _over(lambda: dict(risk=(S.aggregator_risk(), 4))),
     "radar_axes": _over(lambda: dict(**{k: (v, 6) for k, v in S.radar().items()}, in_range=(S.count_true(*(v >= 1.0 for v in S.radar().values())).cast("long"),))),
     "boiled_egg": _over(lambda: dict(region=(S.egg_region(),))),
+    "unusual_properties": _over(lambda: {n: (v,) for n, v in S.unusual().items()} | {"n_unusual": (S.count_true(*(v != "within" for v in S.unusual().values())).cast("long"),)}),
+    "readiness": _over(lambda: dict(properties=(S.readiness_properties(), 4), accessibility=(S.accessibility_points(F.col("sa")), 4), stereo=(S.stereocentre_points(F.col("hba"), F.col("hbd")), 4), label=(S.labelled(S.readiness_properties() * 100 / 35),), flatness=(S.flatness(F.col("fsp3")),))),
+    "proxy_efficiency": _over(lambda: dict(le=(S.proxy_efficiency()[0],), band=(S.proxy_efficiency()[1],))),
     "generative_composite": _over(lambda: dict(score=(S.composite(), 6))),
 }
 
@@ -53,6 +56,7 @@ _ESOL = "(0.16::DOUBLE - 0.63::DOUBLE * logp - 0.0062::DOUBLE * mw + 0.066::DOUB
 _HERG = "((logp > 3.7)::INT + (mw > 250 AND mw < 500)::INT + (tpsa < 75)::INT + basic_n::INT)"
 _SKIN = "(-2.71::DOUBLE + 0.71::DOUBLE * logp - 0.0061::DOUBLE * mw)"
 _AXES = {a: _des("esol" if n == "esol" else n, low, high) for a, (n, low, high) in S.RADAR_AXES.items()}
+_READY = "(" + " + ".join(f"{_des(n, lo, hi)} * {pts}" for n, (lo, hi, pts) in S.READINESS.items()) + ")"
 _unit = lambda x: f"least(greatest({x}, 0.0), 1.0)"
 _ell = lambda e: f"(power((tpsa - {e[0]}) / {e[1 + 1]}, 2) + power((logp - {e[1]}) / {e[3]}, 2) <= 1)"
 
@@ -93,5 +97,12 @@ ORACLE_SQL = {
       + (CASE WHEN arom >= 4 THEN 0.2 WHEN arom >= 3 THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN mw > 500 THEN 0.1 ELSE 0.0 END)::DOUBLE, 4) AS risk FROM descriptors""",
     "radar_axes": f"WITH {D.SQL}, more AS (SELECT *, {_ESOL} AS esol FROM descriptors) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({x}, 6) AS {a}" for a, x in _AXES.items()) + ", (" + " + ".join(f"({x} >= 1.0)::BIGINT" for x in _AXES.values()) + ")::BIGINT AS in_range FROM more",
     "boiled_egg": _D + f"CASE WHEN {_ell(S.BRAIN)} THEN 'yolk' WHEN {_ell(S.GUT)} THEN 'white' ELSE 'grey' END AS region FROM descriptors",
+    "unusual_properties": _D + ", ".join(f"CASE WHEN {n} < {lo} THEN 'below' WHEN {n} > {hi} THEN 'above' ELSE 'within' END AS {n}" for n, (lo, hi) in S.PERCENTILES.items()) + ", (" + " + ".join(f"(NOT {n} BETWEEN {lo} AND {hi})::BIGINT" for n, (lo, hi) in S.PERCENTILES.items()) + ")::BIGINT AS n_unusual FROM descriptors",
+    "readiness": _D
+    + f"""round({_READY}, 4) AS properties, round(CASE WHEN sa <= 3 THEN 8.0 WHEN sa <= 7 THEN 8.0 - (sa - 3.0) * 2.0 ELSE 0.0 END, 4) AS accessibility,
+      round(CASE WHEN hba <= 4 THEN 5.0 WHEN hba <= 8 THEN 5.0 - (hba - 4) * 0.75 ELSE 0.0 END::DOUBLE * CASE WHEN hba > 0 AND hbd / hba::DOUBLE > 0.5 THEN 0.5 ELSE 1.0 END, 4) AS stereo,
+      CASE WHEN {_READY} * 100 / 35 >= 85 THEN 'Excellent' WHEN {_READY} * 100 / 35 >= 70 THEN 'Good' WHEN {_READY} * 100 / 35 >= 50 THEN 'Moderate' WHEN {_READY} * 100 / 35 >= 30 THEN 'Limited' ELSE 'Poor' END AS label,
+      CASE WHEN fsp3 < 0.25 THEN 'flat' WHEN fsp3 < 0.42 THEN 'moderate' ELSE '3d' END AS flatness FROM descriptors""",
+    "proxy_efficiency": _D + "1.37::DOUBLE * activity / heavy AS le, CASE WHEN 1.37::DOUBLE * activity / heavy >= 0.3 THEN 'excellent' WHEN 1.37::DOUBLE * activity / heavy >= 0.2 THEN 'good' ELSE 'poor' END AS band FROM descriptors",
     "generative_composite": _D + f"round(0.3::DOUBLE + 0.3::DOUBLE * qed + 0.2::DOUBLE * 1.0 + 0.2::DOUBLE * {_unit('(10.0 - sa) / 9.0')}, 6) AS score FROM descriptors",
 }

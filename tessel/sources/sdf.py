@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessel.functions.text import sanitized
 from tessel.sources.delimited import numbered
@@ -38,6 +39,22 @@ def columns(rows: DataFrame) -> list[str]:
     return [r[0] for r in rows.select(F.explode(F.map_keys("properties")).alias("k")).distinct().orderBy("k").collect()]
 
 
+def prevalidated(spark: SparkSession, path: str) -> DataFrame:
+    """Issues by record: (index, line, severity, issue), with the line on which the record starts.
+
+    Lines before a record are summed in two steps: within blocks of records, and over the blocks (a row each).
+    """
+    rows = numbered(spark.read.text(path, lineSep=END).where("trim(value) <> ''")).select("index", "value", (F.size(F.split("value", "\n"))).alias("lines"))
+    rows = rows.withColumn("block", F.floor(F.col("index") / 4096))
+    own = Window.partitionBy("block").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("block").agg(F.sum("lines").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.withColumn("within", F.coalesce(F.sum("lines").over(own), F.lit(0))).join(before.select("block", "before"), "block")
+    counts = F.split(F.trim(F.coalesce(F.try_element_at(F.split("value", "\n"), F.lit(4)), F.lit(""))), r"\s+")
+    issue = lambda when, severity, name: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("issue")))
+    found = F.filter(F.array(issue(~F.col("value").contains("M  END"), "error", "missing_end"), issue(F.size(counts) < 2, "warning", "malformed_counts"), issue(F.col("value").contains("\ufffd"), "warning", "encoding")), lambda x: x.isNotNull())
+    return placed.select("index", (F.col("before") + F.col("within") + 1).alias("line"), F.explode(found).alias("x")).select("index", "line", "x.severity", "x.issue")
+
+
 def record(block: Column, properties: Column) -> Column:
     """Text of a record without its end mark."""
     tags = F.transform(F.array_sort(F.map_entries(properties)), lambda e: F.concat(F.lit("> <"), e["key"], F.lit(">\n"), F.coalesce(e["value"], F.lit("")), F.lit("\n\n")))

@@ -1,4 +1,4 @@
-from tessel.sources import delimited, sdf, sinks
+from tessel.sources import content, delimited, sdf, sinks
 
 RECORD = "mol\n  made\n\n  2  1  0  0  0  0            999 V2000\n    0.0 0.0 0.0 C\n    1.0 0.0 0.0 O\n  1  2  1  0\nM  END\n> <activity>\n5.5\n\n> <note>\ntwo words\n\n> <note>\nlast\n\n$$$$\n"
 
@@ -45,3 +45,19 @@ def test_records_round_trip(spark, tmp_path):
     again = sdf.read(spark, out).where("name = 'mol'").first()
     assert again["properties"] == rows[0]["properties"] and again["n_atoms"] == 2
     assert sdf.columns(sdf.read(spark, path)) == ["activity", "note"]
+
+
+def test_uploads_are_inspected(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SMILES\nCCO\n")
+    (tmp_path / "b.csv").write_bytes(b"MZ\x00\x01")
+    (tmp_path / "c.csv").write_text("<script>x</script>")
+    got = {r["path"][-5]: (r["signature"], r["findings"], r["valid"]) for r in content.inspected(spark, str(tmp_path), "csv").collect()}
+    assert got == {"a": (None, "", True), "b": ("windows executable", "null byte", False), "c": (None, "script tag", False)}
+
+
+def test_records_are_prevalidated_with_their_lines(spark, tmp_path):
+    bad = RECORD.replace("M  END\n", "").replace("  2  1  0  0  0  0            999 V2000", "")
+    path = write(tmp_path, RECORD + bad + RECORD, "y.sdf")
+    got = sorted((r["index"], r["line"], r["issue"]) for r in sdf.prevalidated(spark, path).collect())
+    n = RECORD.count("\n")
+    assert got == [(1, n + 1, "malformed_counts"), (1, n + 1, "missing_end")]
