@@ -81,7 +81,9 @@ def test_sparse_pairs_and_clusters_match_all_pairs(spark):
     df = rows(spark, [(i, sorted(s)) for i, s in sets.items()], "i long, bits array<int>")
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5 and sets[a] & sets[b]}
     assert {(r["a"], r["b"]) for r in pairs.sparse_pairs(df, "i", "bits", 0.5).collect()} == want
-    assert pairs.sphere_clusters(df, "i", "bits", 0.5).count() == 80
+    assert pairs.sphere_clusters(df, "i", pairs.sparse_pairs(df, "i", "bits", 0.5)).count() == 80
+    dense = df.select("i", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.when(F.array_contains("bits", k), 1.0).otherwise(-1.0)).alias("v"))
+    assert {(r["a"], r["b"]) for r in pairs.dense_pairs(dense, "i", "v", 0.5, 16).collect()} == want
 
 
 def test_pages_and_index_lists(spark):
