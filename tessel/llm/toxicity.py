@@ -27,7 +27,7 @@ WINDOW, STRIDE, HIDDEN = 64, 32, 8
 WORD_ROWS, CHAR_ROWS, DIMS = 1 << 16, 1 << 17, 4
 TRAIN_ROWS, EPOCHS, BATCH, RATE, SEED = 2000, 6, 64, 0.02, 11
 #: Words whose gate inputs a worker keeps between batches, and windows that it reads at a time.
-CACHE, TOGETHER = 300_000, 2048
+CACHE, TOGETHER = 120_000, 2048
 #: Words whose n-grams are made at a time.
 SOME = 20_000
 _HOLD = 60.0
@@ -62,8 +62,14 @@ class Texts:
     """Distinct words of some texts (word row, n-gram rows) and the texts' words as their numbers."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
-        start, end, hashed, self.first = words(data, off, True)
         text = data[off[0] : off[-1]]
+        parts, total = [], 0
+        for i, j in blocks(off):
+            begin, stop, found, first = words(data, off[i : j + 1], True)
+            parts.append((begin + off[i] - off[0], stop + off[i] - off[0], found, first[:-1] + total))
+            total += len(found)
+        start, end, hashed, first = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (int, int, np.uint64, int))
+        self.first = np.append(first, total)
         self.hash, at, self.word = np.unique(hashed, return_index=True, return_inverse=True)
         self.text, self.start, self.end = text, start[at], end[at]
         self.rows = (self.hash & np.uint64(WORD_ROWS - 1)).astype(np.int64)
