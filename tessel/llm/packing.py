@@ -28,8 +28,8 @@ from tessel.llm.common import words as word_spans
 
 LENGTH, END_ID, DIMS, BITS, TIE_BITS = 2048, 1, 4, 12, 15
 SAMPLE_ROWS, SEED = 8_000, 3
-#: Words that a worker remembers (a quarter as many parts of words), and bytes of text that it works on at a time.
-CACHE, TOGETHER = 1_200_000, 2 << 20
+#: Words that a worker remembers (an eighth as many parts of words), and bytes of text that it works on at a time.
+CACHE, TOGETHER = 800_000, 1 << 20
 SYMBOLS = ".,;:!?|&*$%#"
 LAYOUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,7 +100,7 @@ class Words:
                 got = tuple([t.id for t in self.model.tokenize(text)])
             else:
                 got = tuple(self.encoder.encode(text, add_special_tokens=False).ids)
-            if len(self.pieces) >= CACHE // 4:
+            if len(self.pieces) >= CACHE // 8:
                 self.pieces.clear()
             self.pieces[text] = got
         return got
