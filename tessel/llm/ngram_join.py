@@ -2,7 +2,7 @@
 
 A document's set holds the hashes of its distinct word shingles. Sets are first gathered into families: the hash space is
 cut into more parts than two linked sets can differ in, so linked sets have one part in common, and its hash is their
-meeting point. Each map task ties sets that meet within it and passes one of them on, so that no meeting point is hot.
+meeting point (small sets are cut several times anew, so that a common part is not empty but for a chance of MISS). Each map task ties sets that meet within it and passes one of them on, so that no meeting point is hot.
 Within a family every set is a point: its shingles are hashed into groups, and the point's coordinates are the groups'
 counts. Points are packed into pages by size, as the leaves of an R-tree whose upper level is the pages' bounding boxes;
 the sum of coordinate minima bounds the overlap from above, first of two boxes, then of two points. Families are cut
@@ -18,6 +18,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +29,11 @@ from tessel.llm.common import added, blocks, documents, free_name, mix, shingles
 from tessel.llm.components import compacted, components
 
 #: Points in a block, and in a page of it; further pairs of a point, after its best, that a round proposes.
-BLOCK, PAGE, MORE = 256, 32, 6
-#: Meeting points that a map task gathers before it passes them on; a part holds four times as many.
-GATHER = 1 << 20
+BLOCK, PAGE, MORE = 256, 32, 16
+#: Meeting points that a map task gathers before it passes them on, and those of a part, about.
+GATHER, PART = 1 << 19, 1 << 20
+#: Chance that two linked sets have only empty parts in common.
+MISS = 1e-10
 #: Rows of document ids that may be broadcast (16 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,29 +53,46 @@ def class_parts(low: int, percent: int) -> int:
     return 2 * high * (100 - percent) // (100 + percent) + 1
 
 
+@lru_cache(None)
+def cuts_needed(low: int, percent: int) -> int:
+    """How often a class's sets are cut anew, so that linked sets share a part that is not empty but for a chance of MISS.
+
+    Linked sets always share a part. It helps nobody if it is empty in both, and empty parts are no meeting points: for
+    one cut, that chance is that all elements in common fall into the parts that the differing ones fall into.
+    """
+    parts = class_parts(low, percent)
+    common = 2 * percent * (low * percent // 100) // (100 + percent)
+    if parts < 2 or parts > 400:
+        return int(parts > 1)
+    hit = np.zeros(parts + 1)
+    hit[0] = 1
+    taken = np.arange(parts + 1) / parts
+    for _ in range(parts - 1):
+        hit = hit * taken + np.append(0, hit[:-1] * (1 - taken[:-1]))
+    return max(1, int(np.ceil(np.log(MISS) / np.log((hit * taken**common).sum() + 1e-300))))
+
+
 def points_of(size: int, percent: int) -> int:
-    """Meeting points of a set of that size."""
+    """Meeting points of a set of that size, at most."""
     if not size:
         return 0
     _, low = part_count(size, percent)
-    both = class_parts(low, percent), class_parts(low * 100 // percent + 1, percent)
-    return sum(n for n in both if n > 1)
+    return sum(class_parts(x, percent) * cuts_needed(x, percent) for x in (low, low * 100 // percent + 1))
 
 
 def meeting_points(items: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the parts of a set (sorted distinct uint64), for its own size class and the next."""
     k, low = part_count(len(items), percent)
-    out = []
+    out, mixed = [], mix(items * _ODD)
     for step in (k, k + 1):
         parts = class_parts(low, percent)
-        at = (mix(items ^ np.uint64(7919 * step + 11)) % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        order = np.argsort(at, kind="stable")
-        ranked = at[order]
-        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        total[ranked[first]] = np.add.reduceat(mix(items * _ODD)[order], first)
-        if parts > 1:  # with one part only equal sets meet, and they are one already
-            out.append(mix(total + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        for cut in range(cuts_needed(low, percent)):  # none with one part: then only equal sets meet, and they are one
+            at = (mix(items ^ np.uint64(7919 * step + 104729 * cut + 11)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            ranked = at[order]
+            first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            total = np.add.reduceat(mixed[order], first)
+            out.append(mix(total + np.uint64((step * 64 + cut + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + ranked[first].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         low = low * 100 // percent + 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -180,7 +201,7 @@ def met(table: pa.Table) -> pa.Table:
 
 def families(texts: DataFrame, k: int, percent: int, points: int) -> DataFrame:
     """(sid, family) of the sets that meet another, of texts (text) with so many meeting points together."""
-    parts = max(8, points // (4 * GATHER) + 1)
+    parts = max(8, points // PART + 1)
     ties = texts.mapInArrow(gatherer(k, percent, parts), MET).groupBy("part").applyInArrow(met, "a long, b long")
     return components(ties, "families").select(F.col("node").alias("sid"), F.col("comp").alias("family"))
 
@@ -257,7 +278,7 @@ def proposals(family, sid, comp, size, points, block, refuted, percent: int) ->
         if x != y:
             root[max(x, y)] = min(x, y)
             out.append(pair)
-        elif more.get(a, 0) < MORE and more.get(b, 0) < MORE and _ <= 1:
+        elif more.get(a, 0) < MORE and more.get(b, 0) < MORE and _ <= 3:
             more[a], more[b] = more.get(a, 0) + 1, more.get(b, 0) + 1
             out.append(pair)
     return np.array(out, np.int64).reshape(-1, 2)
@@ -267,7 +288,7 @@ def proposer(percent: int):
     def proposed(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                two = [row["x"]] if row["x"]["block"] == row["y"]["block"] else [row["x"], row["y"]]
+                two = [row["x"], row["y"]] if row["y"] else [row["x"]]
                 all_of = lambda c: [p[c] for t in two for p in t["points"]]  # noqa: E731, B023
                 refuted = {(min(s, o), max(s, o)) for s, r in zip(all_of("sid"), all_of("refuted"), strict=True) for o in r or ()}
                 got = proposals(*(np.array(all_of(c), np.int64) for c in ("family", "sid", "comp", "n")), [np.frombuffer(p, np.uint8) for p in all_of("point")], np.array([t["block"] for t in two for _ in t["points"]]), refuted, percent)
@@ -299,10 +320,11 @@ def survivors(sets: DataFrame, comps: DataFrame | None, refuted: DataFrame | Non
     now = now.withColumn("task", F.when(cut > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(spread))))
     now = now.withColumn("block", F.when(cut > 1, F.pmod(F.xxhash64("sid"), cut)).otherwise(-1).cast("int"))
     packed = staged(now.groupBy("task", "block").agg(F.collect_list(F.struct("family", "sid", "comp", "n", "point", "refuted")).alias("points")), "blocks")
-    one = packed.select("task", F.struct(*packed.columns).alias("x"))
-    two = packed.select("task", F.struct(*packed.columns).alias("y"))
-    pairs = one.join(two, "task").where("x.block <= y.block and (x.block >= 0 or x.block = y.block)")
-    return pairs.select("x", "y").repartition("x.task", "x.block", "y.block").mapInArrow(proposer(percent), "a long, b long").distinct()
+    whole = F.struct(*packed.columns)
+    alone = packed.select(whole.alias("x")).withColumn("y", F.when(F.lit(False), F.col("x")))
+    cut = packed.where("block >= 0")
+    across = cut.select("task", whole.alias("x")).join(cut.select("task", whole.alias("y")), "task").where("x.block < y.block").select("x", "y").repartition("x.task", "x.block", "y.block")
+    return alone.union(across).mapInArrow(proposer(percent), "a long, b long").distinct()
 
 
 def verifier(k: int):
@@ -321,6 +343,14 @@ def verifier(k: int):
     return sets_of
 
 
+def shingles_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(sid, items) of the sets asked for (sid, doc_id of a text that has it)."""
+    texts, ids = text_only(docs), asked.select("doc_id").distinct()
+    if asked.where("doc_id is null").isEmpty():
+        texts = texts.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
+    return texts.mapInArrow(verifier(k), "sid long, items array<long>").join(asked.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+
+
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, sid (the set), comp (the set's component; null for empty sets) of each row."""
     rows = staged(text_only(docs).mapInArrow(describer(k, percent), "doc_id long, n long, sid long, point binary, meets long"), "shingle-sets")
@@ -328,15 +358,13 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     met_ = staged(families(text_only(docs).select("text"), k, percent, points), "families")
     sets = rows.select("sid", "n", "point", "doc_id").join(met_, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("doc_id"), F.first("family").alias("family"))
     sets = staged(sets, "points")
-    ids = sets.select("doc_id").where("doc_id is not null").distinct()
-    texts = text_only(docs).join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi") if sets.where("doc_id is null").isEmpty() else text_only(docs)
-    shingled = texts.mapInArrow(verifier(k), "sid long, items array<long>").join(sets.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-    shingled = staged(shingled, "shingles")
     comps, refuted, points = None, None, sets.select("sid", "n", "point", "family")
     while True:
         pairs = staged(survivors(points, comps, refuted, percent), "survivors")
         if pairs.isEmpty():
             break
+        asked = staged(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets.select("sid", "doc_id"), "sid"), "asked")
+        shingled = staged(shingles_of(docs, asked, k), "shingles")
         one = shingled.select(F.col("sid").alias("a"), F.col("items").alias("x"))
         two = shingled.select(F.col("sid").alias("b"), F.col("items").alias("y"))
         overlap = F.size(F.array_intersect("x", "y")).cast("long")
@@ -381,14 +409,18 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat an id and a set one stays; rows with an empty set all stay.
     """
-    named = linked(docs, k, percent).where("comp is not null")
+    named = staged(linked(docs, k, percent).where("comp is not null").select("doc_id", "sid", "comp"), "named")
     order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "sid")
     winners = named.groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.sid").alias("_sid"))
+    own = named.groupBy("doc_id", "sid").agg(F.count("*").alias("rows"))
+    losers = staged(own.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sid") == F.col("_sid")), "left_anti").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_sid")), "losers")
+    if small_enough(losers, BROADCAST_IDS):
+        losers = F.broadcast(losers)
     sid = free_name(docs, "set_id")
     rows = docs.mapInArrow(set_ids(k, sid), added(docs, sid, "long"))
-    full = rows.where(F.col(sid).isNotNull()).dropDuplicates(["doc_id", sid])
-    stay = full.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sid) == F.col("_sid")), "left_semi")
-    return stay.union(rows.where(F.col(sid).isNull())).drop(sid)
+    if not own.where("rows > 1").isEmpty():
+        rows = rows.where(F.col(sid).isNotNull()).dropDuplicates(["doc_id", sid]).union(rows.where(F.col(sid).isNull()))
+    return rows.join(losers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sid) == F.col("_sid")), "left_anti").drop(sid)
 
 
 def op8_count_rtree(spark, sf_dir):
