@@ -63,7 +63,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     A round compacts the links of each partition and then ties every neighbour of a node, and the node, to the smallest
     of them. The links never outgrow twice their first number.
     """
-    links = staged(links.where("a != b").mapInArrow(compact, "a long, b long").distinct(), label)
+    # as they come: read again in fewer, larger partitions, they are compacted before the first shuffle
+    links = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), label)
     while not _settled(links):
         near = links.mapInArrow(compact, "a long, b long")
         both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
