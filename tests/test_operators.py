@@ -86,6 +86,25 @@ def test_sparse_pairs_and_clusters_match_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in pairs.dense_pairs(dense, "i", "v", 0.5, 16).collect()} == want
 
 
+def test_sparse_pairs_over_all_parts_and_crowded_keys(spark):
+    import random
+
+    from tessel.plans import pair_queries
+
+    by_pair = lambda sets, t: {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= t}
+    found = lambda df: {(r["a"], r["b"]): r["similarity"] for r in df.collect()}
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    words = {r["p_partkey"]: {*r["p_name"].split(" "), *r["p_brand"].split(" "), *r["p_type"].split(" "), f"s{r['p_size'] // 10}"} for r in parts}
+    want = by_pair(words, 0.6)
+    assert any(a % 8 or b % 8 for a, b in want) and found(pair_queries.QUERIES["sparse_sets_whole"](spark, "/root/testdata/sf0.001")) == want
+    rng = random.Random(4)
+    sets = {i: set(rng.sample(range(12), rng.randint(1, 6))) for i in range(120)} | {i: set(range(k)) for i, k in ((200, 20), (201, 11))}
+    df = rows(spark, [(i, sorted(s)) for i, s in sets.items()], "i long, bits array<int>")
+    for threshold in (0.3, 0.55, 0.7):
+        for couples in (False, True):
+            assert found(pairs.sparse_pairs(df, "i", "bits", threshold, couples, most=5)) == by_pair(sets, threshold)
+
+
 def test_pages_and_index_lists(spark):
     df = rows(spark, [(i, float(i // 2) if i else None) for i in range(7)], "i long, s double")
     got = view.page(df, F.col("s"), "i", 1, 3, True).collect()
