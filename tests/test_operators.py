@@ -105,6 +105,27 @@ def test_sparse_pairs_over_all_parts_and_crowded_keys(spark):
             assert found(pairs.sparse_pairs(df, "i", "bits", threshold, couples, most=5)) == by_pair(sets, threshold)
 
 
+def test_matched_pairs_over_all_parts_and_crowded_cores(spark):
+    from tessel.plans import pair_queries
+
+    def by_pair(sets):
+        out = {}
+        for a, (x, v) in sets.items():
+            for b, (y, u) in sets.items():
+                at = [i for i, (s, t) in enumerate(zip(x, y, strict=True)) if s != t]
+                if a < b and len(at) == 1:
+                    out[a, b] = (" ".join("*" if i == at[0] else t for i, t in enumerate(x)), x[at[0]], y[at[0]], round(abs(v - u), 4))
+        return out
+
+    found = lambda df: {(r["a"], r["b"]): (r["core"], r["a_token"], r["b_token"], r["gap"]) for r in df.collect()}
+    parts = {r["p_partkey"]: ([r["p_brand"], r["p_type"], str(r["p_size"])], r["p_retailprice"]) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    want = by_pair(parts)
+    assert any(a % 4 or b % 4 for a, b in want) and found(pair_queries.QUERIES["mmp_pairs_whole"](spark, "/root/testdata/sf0.001")) == want
+    crowded = {i: ([str(i % 3), "x", str(i % 17)], float(i)) for i in range(90)}
+    df = rows(spark, [(i, t, v) for i, (t, v) in crowded.items()], "i long, t array<string>, v double")
+    assert found(pairs.matched_pairs(df, "i", "t", "v", most=4)) == by_pair(crowded)
+
+
 def test_pages_and_index_lists(spark):
     df = rows(spark, [(i, float(i // 2) if i else None) for i in range(7)], "i long, s double")
     got = view.page(df, F.col("s"), "i", 1, 3, True).collect()
