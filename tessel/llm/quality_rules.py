@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency.
 
 One pass in Arrow batches counts a text's words, symbols, repeated lines and repeated 8-word windows, and hashes its
-normalised lines. Lines are then counted per host over distinct texts; lines above the host's limit are removed, and a
-document that loses most of its characters so is rejected.
+normalised lines. Lines are then counted per host over distinct texts; lines above the host's limit are removed
+(`without_frequent_lines` returns the texts), and a document that loses most of its characters so is rejected.
 
 A null or empty text has no words and fails the base rule; a null host counts as a host of its own; copies of a text
 count once in a line's frequency but each gets its row; an empty table gives an empty result.
@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import documents, shingles, small_enough, staged, string_buffers, text_only, words
@@ -86,11 +86,18 @@ def measured(batches):
         )
 
 
-def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left: float = LEFT) -> DataFrame:
-    """One row per document: base counts, base_failed, characters in frequent lines, kept."""
-    host = F.coalesce(F.col("source").cast("string"), F.lit("\0none")) if "source" in docs.columns else F.lit("\0none")
-    rows = text_only(docs, host.alias("host")).mapInArrow(measured, SCHEMA).withColumn("row", F.monotonically_increasing_id())
-    rows = staged(rows, "line-rules")
+def _host(docs: DataFrame) -> Column:
+    return (F.coalesce(F.col("source").cast("string"), F.lit("\0none")) if "source" in docs.columns else F.lit("\0none")).alias("host")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Measures and hashed lines of each document, staged."""
+    rows = text_only(docs, _host(docs)).mapInArrow(measured, SCHEMA).withColumn("row", F.monotonically_increasing_id())
+    return staged(rows, "line-rules")
+
+
+def _found(rows: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """Frequent lines of each row: host, line, row, chars."""
     # distinct texts of a host: first by (host, line, text), which no key can crowd, then by (host, line) with partial sums
     lines = rows.select("host", "text_key", F.explode("lines").alias("x")).select("host", F.col("x.line").alias("line"), "text_key")
     counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("texts"))
@@ -100,14 +107,51 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     )
     frequent = staged(frequent, "frequent-lines")
     each = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"))
-    found = each.join(F.broadcast(frequent) if small_enough(frequent, BROADCAST_LINES) else frequent, ["host", "line"])
-    gone = found.groupBy("row").agg(F.sum("chars").alias("gone"))
+    return each.join(F.broadcast(frequent) if small_enough(frequent, BROADCAST_LINES) else frequent, ["host", "line"])
+
+
+def _verdict(left: float) -> tuple[Column, Column, Column]:
+    """base_failed, kept and frequent_chars of rows joined with the sum of their frequent lines' characters (gone)."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     gone_chars = F.coalesce("gone", F.lit(0)).cast("long")
-    return (
-        rows.drop("lines").join(gone, "row", "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("line_chars") - gone_chars >= left * F.col("line_chars"))).alias("kept"), gone_chars.alias("frequent_chars"), "line_chars")
-    )
+    return failed.alias("base_failed"), (~failed & (F.col("line_chars") - gone_chars >= left * F.col("line_chars"))).alias("kept"), gone_chars.alias("frequent_chars")
+
+
+def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left: float = LEFT) -> DataFrame:
+    """One row per document: base counts, base_failed, characters in frequent lines, kept."""
+    rows = _counted(docs)
+    gone = _found(rows, line_docs, line_share).groupBy("row").agg(F.sum("chars").alias("gone"))
+    return rows.drop("lines").join(gone, "row", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *_verdict(left), "line_chars")
+
+
+def keyed(batches):
+    for batch in batches:
+        key = pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "text")), key], ["doc_id", "host", "text", "text_key"])
+
+
+def cut(batches):
+    """Texts without those of their lines whose normalised hash is in `lines`; other lines stay as they are."""
+    for batch in batches:
+        texts = []
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+            if gone:
+                gone = set(gone)
+                text = "\n".join(x for x in text.split("\n") if not x.strip(_WHITE) or xxhash.xxh3_64_intdigest(normalised(x)) - (1 << 63) not in gone)
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("kept")], ["doc_id", "text", "kept"])
+
+
+def without_frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left: float = LEFT) -> DataFrame:
+    """One row per document: its text without its host's frequent lines (null: empty), and kept as in quality_rules.
+
+    What goes is decided by host and text, so copies on a host are cut alike; texts are joined by the same two.
+    """
+    rows = _counted(docs)
+    gone = _found(rows, line_docs, line_share).groupBy("row").agg(F.sum("chars").alias("gone"), F.collect_list("line").alias("gone_lines"))  # lines of one document
+    of = rows.drop("lines").join(gone, "row", "left").select("host", "text_key", _verdict(left)[1], F.col("gone_lines").alias("lines")).dropDuplicates(["host", "text_key"])
+    texts = text_only(docs, _host(docs)).mapInArrow(keyed, "doc_id long, host string, text string, text_key long")
+    return texts.join(of, ["host", "text_key"], "left").select("doc_id", "text", "lines", "kept").mapInArrow(cut, "doc_id long, text string, kept boolean")
 
 
 def op6_line_frequency(spark, sf_dir):

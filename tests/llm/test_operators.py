@@ -286,6 +286,25 @@ def test_frequent_lines_are_removed_per_host(spark):
     assert got[0]["kept"] and got[80]["kept"]
 
 
+def test_texts_without_frequent_lines(spark, edges, empty):
+    rng = random.Random(11)
+    common = [prose(rng, 9) + f" {k}" for k in range(6)]
+    rows = [(i, "\n".join([f" {x.upper()} \t" if i % 2 else x for x in common] + ["", prose(rng, 3 if i < 30 else 90)]), "a") for i in range(60)]
+    rows += [(100, rows[0][1], "a"), (100, rows[0][1], "b"), (101, None, "a"), (102, common[0], None), (103, "\n\n" + common[1].replace("1", "7") + "\n", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plain = lambda x: re.sub("[0-9]", "0", " ".join(x.lower().split()))
+    solid = lambda t: [x for x in t.split("\n") if x.strip()]
+    texts = {h: {t or "" for _, t, s in rows if s == h} for h in ("a", "b", None)}
+    n = {h: Counter(x for t in ts for x in {plain(x) for x in solid(t)}) for h, ts in texts.items()}
+    often = {h: {x for x, k in c.items() if k > 50 and k > 0.02 * len(texts[h])} for h, c in n.items()}
+    cut = lambda t, h: "\n".join(x for x in (t or "").split("\n") if not x.strip() or plain(x) not in often[h])
+    got = quality_rules.without_frequent_lines(df, line_docs=50).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, cut(t, h)) for i, t, h in rows)
+    kept, base = {r["doc_id"]: r["kept"] for r in got}, by_id(quality_rules.quality_rules(df, line_docs=50))
+    assert not any(base[i]["base_failed"] for i in range(60)) and [kept[i] for i in range(60)] == [i >= 30 for i in range(60)]
+    assert quality_rules.without_frequent_lines(edges).count() == edges.count() and quality_rules.without_frequent_lines(empty).count() == 0
+
+
 # --- 5: personal data
 
 
