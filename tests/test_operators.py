@@ -126,6 +126,30 @@ def test_matched_pairs_over_all_parts_and_crowded_cores(spark):
     assert found(pairs.matched_pairs(df, "i", "t", "v", most=4)) == by_pair(crowded)
 
 
+def test_sphere_clusters_match_the_greedy_order_without_a_cap(spark):
+    import random
+
+    def greedy(points, met):
+        near = {p: set() for p in points}
+        for a, b in met:
+            near[a].add(b)
+            near[b].add(a)
+        of = {}
+        for p in sorted(points, key=lambda p: (-len(near[p]), p)):
+            if p not in of:
+                of |= {q: p for q in near[p] if q not in of} | {p: p}
+        return of
+
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(6000, 6012)]
+    met = sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(700)} | {(400, i) for i in range(401, 430)} | {(429, 430)}) + chain
+    points = range(6100)
+    df = spark.range(6100).withColumnRenamed("id", "i")
+    got = pairs.sphere_clusters(df, "i", rows(spark, met, "a long, b long")).collect()
+    assert len(got) == 6100 and {r["i"]: r["centroid"] for r in got} == greedy(points, met)
+    assert pairs.sphere_clusters(df, "i", rows(spark, [], "a long, b long")).where("i = centroid").count() == 6100
+
+
 def test_pages_and_index_lists(spark):
     df = rows(spark, [(i, float(i // 2) if i else None) for i in range(7)], "i long, s double")
     got = view.page(df, F.col("s"), "i", 1, 3, True).collect()
