@@ -97,11 +97,14 @@ def strength(groups: DataFrame, rate: str, prior: str) -> float:
     return float(min(STRENGTH[1], max(STRENGTH[0], within / true - 1 if true > 0 else STRENGTH[1])))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, evidence (the classifier's probability), site and section rates, score and kept of each row."""
+def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """doc_id, evidence (the classifier's probability), site and section rates, score and kept of each row.
+
+    `host` and `path` name the columns of sites and their sections.
+    """
     weights = fitted(docs, labels)
     part = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias
-    rows = text_only(docs, part("source")("host"), part("lang")("path")).mapInArrow(features, "doc_id long, host string, path string, x array<double>")
+    rows = text_only(docs, part(host)("host"), part(path)("path")).mapInArrow(features, "doc_id long, host string, path string, x array<double>")
     if weights is None:
         rows = rows.select("doc_id", "host", "path", F.lit(0.5).alias("evidence"))
     else:

@@ -415,6 +415,15 @@ def test_list_is_evaluated_as_of_the_fetch(spark):
     assert url_filter.evaluated(df, lst.limit(0)).where("blocked = 1").count() == 0
 
 
+def test_sites_and_sections_by_named_columns(spark, labels):
+    made = [(i, "some words " * (i % 7), f"h{i % 3}", f"p{i % 2}") for i in range(30)]
+    own = spark.createDataFrame(made, "doc_id long, text string, site string, folder string")
+    stand_in = own.withColumnsRenamed({"site": "source", "folder": "lang"})
+    rates = lambda df: sorted((r["doc_id"], round(r["site_rate"], 9), round(r["section_rate"], 9)) for r in df.collect())
+    got = rates(quality_bayes.scored(own, labels, "site", "folder"))
+    assert got == rates(quality_bayes.scored(stand_in, labels)) and len({r[1:] for r in got}) == 6
+
+
 # --- edge cases of all
 
 
