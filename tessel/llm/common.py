@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that the numpy helpers work on at a time; bounds a worker's memory whatever the batch.
 BLOCK_BYTES = 1 << 20
+#: Rows above which a join key is dealt over so many tasks, and hot keys that may be broadcast.
+HOT_ROWS, SALTS, MOST_HOT = 20_000, 32, 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tessel-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -37,6 +36,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of staged tables (or of plain selections from them) that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/tessel/" in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), whatever other columns the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
@@ -59,6 +68,19 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def dealt_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", hot: int = HOT_ROWS) -> DataFrame:
+    """big joined with small, where a key may hold any share of big's rows: keys of more than `hot` rows (so at most
+    rows / hot of them) are dealt over SALTS tasks, each of which gets small's rows of that key."""
+    count, flag, salt = "_key_rows", "_key_hot", "_key_salt"
+    crowded = big.groupBy(*on).agg(F.count("*").alias(count)).where(F.col(count) > hot).select(*on, F.lit(True).alias(flag))
+    if crowded.isEmpty():
+        return big.join(small, on, how)
+    mark = F.broadcast(crowded) if small_enough(crowded, MOST_HOT) else crowded
+    left = big.join(mark, on, "left").withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS))).otherwise(0))
+    right = small.join(mark, on, "left").withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")))
+    return left.drop(flag).join(right.drop(flag), [*on, salt], how).drop(salt)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two multiply-xorshift rounds) over uint64 arrays."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

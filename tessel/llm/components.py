@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import staged
+from tessel.llm.common import dealt_join, drop_staged, staged
 
 #: Links that a task compacts at a time.
 TOGETHER = 1 << 20
@@ -51,24 +51,24 @@ def compact(batches):
         yield ties()
 
 
-def _settled(links: DataFrame) -> bool:
-    """Whether every node has one link to a root that has none: then the links are the answer."""
-    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or (up = 1 and low = 0)").isEmpty()
-
-
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp) for each node of links (a, b: long): comp is the smallest node that links reach.
 
-    A round compacts the links of each partition and then ties every neighbour of a node, and the node, to the smallest
-    of them. The links never outgrow twice their first number.
+    A round compacts the links of each partition, so that a node has one tie per partition at most, hangs each node below
+    the least of its ties, ties its other ends to that one, and moves the node up to where its own parent hangs. Rows are
+    keyed by the greater end, which no hub is; the step up meets hubs, whose rows are dealt over several tasks.
     """
     # as they come: read again in fewer, larger partitions, they are compacted before the first shuffle
     links = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), label)
-    while not _settled(links):
+    while True:
         near = links.mapInArrow(compact, "a long, b long")
-        both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        tied = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        links = staged(tied.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(links.select(F.col("b"), F.col("b")).distinct())
+        least = near.groupBy("a").agg(F.min("b").alias("m"))
+        others = near.join(least, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"), F.lit(True).alias("moved"))
+        least = staged(least, f"{label}-parents")
+        above = least.select(F.col("a").alias("m"), F.col("m").alias("top"))
+        up = dealt_join(least, above, ["m"]).select("a", F.coalesce("top", "m").alias("b"), F.col("top").isNotNull().alias("moved"))
+        old, links = links, staged(up.union(others).groupBy("a", "b").agg(F.max("moved").alias("moved")), label)
+        drop_staged(old, least)
+        if links.where("moved").isEmpty():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(links.select("b", "b").distinct())
+        links = links.select("a", "b")

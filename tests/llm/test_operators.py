@@ -124,11 +124,10 @@ def near_copies(seed):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 90, 256), (5, 80, 256), (2, 80, 8)])
-def test_jaccard_components_are_exact(spark, monkeypatch, k, percent, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize(("k", "percent", "leaf", "span"), [(3, 90, 256, 64), (5, 80, 256, 64), (2, 80, 4, 2), (1, 60, 3, 2)])
+def test_jaccard_components_are_exact(spark, k, percent, leaf, span):
     texts = near_copies(k * percent)
-    got = by_id(ngram_join.jaccard_components(table(spark, texts), k, percent))
+    got = by_id(ngram_join.jaccard_components(table(spark, texts), k, percent, leaf, span))
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == components_by_brute_force(texts, k, percent)
 
 
