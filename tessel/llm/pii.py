@@ -1,14 +1,17 @@
 r"""Personal data by candidate gradient boosting [native].
 
-Base detectors give exact spans of four kinds. High-recall generators propose further, looser spans (obfuscated
-addresses, IPv6, separated card numbers, national phone formats), which may overlap; boosted trees over format and
-context features score each candidate, and a calibrated threshold per kind selects. Everything on a text is a DataFrame
-expression of its own row: no shuffle, no Python. The trees are fitted on the driver to a bounded generated sample
-(TRAIN_ROWS texts) whose features come from the same expressions.
+Base detectors give exact spans of four kinds. High-recall generators propose further, looser spans (written-out or spaced
+addresses, IPv6, card-shaped numbers in any grouping, national phone formats, and values that may be secrets), which may
+overlap each other and the base; boosted trees over format and context features score each candidate, a calibrated
+threshold per kind selects, and of overlapping ones the best goes first. Everything on a text is a DataFrame expression of
+its own row: no shuffle, no Python. The trees are fitted on the driver to a bounded generated sample (TRAIN_ROWS texts)
+whose features come from the same expressions; true and false candidates there share formats and differ by context.
 
 Spans are in code points, ends exclusive. Null and empty texts have none; repeated rows and null ids each get their row;
-an empty table gives an empty result. The patterns are possessive and start only where a run starts or the last match
-ended, which finds the same matches in linear time and constant stack.
+an empty table gives an empty result; other columns may have any name and only `redact` returns them. A very long text is
+read once for each pattern whose characters it has: patterns are possessive and start only where a run starts or the last
+match ended, which finds the same matches in linear time and constant stack. Ties: spans that start together stand in the
+order of KINDS; of candidates with equal scores the one that starts first goes first.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from tessel.llm.common import documents, text_only
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of candidates: the base ones, and values of keys and tokens.
+ALL = (*KINDS, "secret")
 _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -30,22 +35,32 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT, _DOT = r"(?: ?[\[({<] ?(?i:at) ?[\])}>] ?| (?i:at) | ?@ ?)", r"(?: ?[\[({<] ?(?i:dot) ?[\])}>] ?| (?i:dot) | ?\. ?)"
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:[\[({]at[\])}]| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({]dot[\])}]| dot |\.) ?[A-Za-z0-9-]{2,63}+){1,4}+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[._/]){3}+[0-9]{3,4}(?![0-9])",
-    "phone": r"(?<![0-9+(-])(?:00[0-9]{1,3}[ .-])?+\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{2,63}}+){{1,4}}+",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ ._/-]?[0-9]{4}){2}[ ._/-]?[0-9]{1,7}+|3[47][0-9]{2}[ ._/-]?[0-9]{6}[ ._/-]?[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+(.-])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\(0?[0-9]{2,4}\)[ .-]?|0?[0-9]{2,4}[ ./-])[0-9]{3,4}(?:[ .-]?[0-9]{2,5}){1,2}+(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20,}+",
 }
+#: What a text must have to be searched for a pattern, cheaper than the pattern.
+_GATE = {
+    "base_email": r"@", "base_ip": r"[0-9]\.[0-9]", "base_card": r"[0-9]", "base_phone": r"\+[0-9]",
+    "loose_email": r"@|(?i:[\[({< ]at[\])}> ])", "loose_ip": r":[0-9A-Fa-f]{0,4}:", "loose_card": r"[0-9]{4}", "loose_phone": r"[0-9]{2}[ ./)-]", "loose_secret": r"[A-Za-z0-9+/_=-]{20}",
+}
+#: Stands before and after a match while a text is cut; a text's own is read as the other.
+_MARK, _OTHER = "\u0001", "\u0002"
 #: Code points on either side of a candidate that its context features see.
 CONTEXT = 24
-TRAIN_ROWS, SEED = 1600, 5
+TRAIN_ROWS, SEED = 2400, 5
 _HINTS = {
-    "email": r"(?i)(?:mail|contact|write|reach)",
+    "email": r"(?i)(?:mail|contact|write|reach|ask)",
     "ip": r"(?i)(?:\bip|addr|host|server|from|client)",
     "card": r"(?i)(?:card|visa|master|amex|pay|account)",
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|dial)",
+    "secret": r"(?i)(?:token|secret|passw|key|credential|auth|bearer)",
 }
-_AGAINST = r"(?i)(?:version|build|order|invoice|isbn|ticket|part|serial|mac|time|sku|ref)"
+_AGAINST = r"(?i)(?:version|build|order|invoice|isbn|ticket|part|serial|mac|time|sku|ref|commit|sha|md5|hash|file|path|http|look)"
 
 
 def _sum(xs: Column) -> Column:
@@ -66,27 +81,35 @@ def _sums_before(blocks: str) -> Column:
 
 
 def _matches(df: DataFrame, patterns: dict[str, str], tag: str) -> DataFrame:
-    """For each kind an array of (start, end, text, before, after) of the pattern's leftmost non-overlapping matches."""
+    """For each kind an array of (start, end, text, before, after) of the pattern's leftmost non-overlapping matches.
+
+    A pattern reads a text once, and marks its matches; the text cut at the marks is gaps and matches in turn, whose
+    lengths add up to positions.
+    """
     kinds = list(patterns)
-    has = {k: F.col("text").rlike(patterns[k]) for k in kinds}
     empty = F.array().cast("array<string>")
-    df = df.withColumns({f"m_{k}": F.when(has[k], F.regexp_extract_all("text", F.lit(patterns[k]), F.lit(0))).otherwise(empty) for k in kinds} | {f"p_{k}": F.when(has[k], F.split("text", patterns[k], -1)).otherwise(empty) for k in kinds})
-    # lengths of a gap and the match after it, in turn; the gaps' ends are the context
-    df = df.withColumns({f"l_{k}": F.zip_with(f"m_{k}", F.slice(f"p_{k}", F.lit(1), F.greatest(F.size(f"m_{k}"), F.lit(0))), lambda m, p: (F.length(m) + F.length(p)).cast("long")) for k in kinds})
+
+    def parts(k: str) -> Column:
+        marked = F.regexp_replace(F.translate("text", _MARK, _OTHER), F.lit(patterns[k]), F.lit(f"{_MARK}$0{_MARK}"))
+        return F.when(F.col("text").rlike(_GATE[f"{tag}_{k}"]), F.split(marked, _MARK, -1)).otherwise(empty)
+
+    df = df.withColumns({f"p_{k}": parts(k) for k in kinds})
+    df = df.withColumns({f"l_{k}": F.transform(f"p_{k}", lambda p: F.length(p).cast("long")) for k in kinds})
     df = df.withColumns({f"b_{k}": _block_sums(f"l_{k}") for k in kinds})
     df = df.withColumns({f"c_{k}": _sums_before(f"b_{k}") for k in kinds})
 
     def spans(k: str) -> Column:
-        def one(m: Column, i: Column) -> Column:
+        def one(i: Column) -> Column:
             block = F.floor(i / 64).cast("int")
-            end = F.element_at(f"c_{k}", block + 1) + _sum(F.slice(f"l_{k}", block * 64 + 1, F.pmod(i, F.lit(64)) + 1))
-            before, after = F.element_at(f"p_{k}", i + 1), F.element_at(f"p_{k}", i + 2)
-            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
+            start = F.element_at(f"c_{k}", block + 1) + _sum(F.slice(f"l_{k}", block * 64 + 1, F.pmod(i, F.lit(64))))
+            text = F.element_at(f"p_{k}", i + 1)
+            return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"), F.right(F.element_at(f"p_{k}", i), F.lit(CONTEXT)).alias("before"), F.left(F.element_at(f"p_{k}", i + 2), F.lit(CONTEXT)).alias("after"))
 
-        return F.transform(f"m_{k}", one)
+        none = F.array().cast("array<struct<start:long,end:long,text:string,before:string,after:string>>")
+        return F.when(F.size(f"p_{k}") < 3, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(f"p_{k}") - 2, F.lit(1)), F.lit(2)), one))
 
     df = df.withColumns({f"{tag}_{k}": spans(k) for k in kinds})
-    return df.drop(*(f"{x}_{k}" for x in "mplbc" for k in kinds))
+    return df.drop(*(f"{x}_{k}" for x in "plbc" for k in kinds))
 
 
 def _digits(s: Column) -> Column:
@@ -125,18 +148,24 @@ def features(kind: str, c: Column) -> dict[str, Column]:
         "digits": digits,
         "letters": F.length(F.regexp_replace(text, r"[^A-Za-z]", "")),
         "breaks": F.length(F.regexp_replace(text, r"[^ ._/:-]", "")),
-        "brackets": hit(r"[\[({]", text),
+        "brackets": hit(r"[\[({<]", text),
         "luhn": F.coalesce(_luhn(F.regexp_replace(text, r"[^0-9]", "")), F.lit(False)).cast("int"),
         "groups": F.size(F.split(text, r"[ ._/:-]")),
+        "written": hit(r"(?i)(?<![A-Za-z])dot(?![A-Za-z])", text),
+        "spaced": hit(r"\. [A-Za-z]", text),
+        "nought": hit(r"^\(?0", text),
+        "mixed": F.size(F.split(text, r"(?<=[0-9])(?=[A-Za-z])")),
+        "hex": hit(r"^[0-9A-Fa-f]+$", text),
         "hint": hit(_HINTS[kind], before),
         "against": hit(_AGAINST, before),
-        "glued_before": hit(r"[\w=#:/.-]$", before),
-        "glued_after": hit(r"^[\w=#:/-]", after),
-        "after_break": hit(r"^(?:[\s.,;)]|$)", after),
+        "assigned": hit(r"[=:] ?[\x22']?$", before),
+        "glued_before": hit(r"[\w#/.-]$", before),
+        "glued_after": hit(r"^[\w#=:/-]", after),
+        "after_break": hit(r"^(?:[\s.,;)\x22']|$)", after),
     }
 
 
-NAMES = ("length", "digits", "letters", "breaks", "brackets", "luhn", "groups", "hint", "against", "glued_before", "glued_after", "after_break")
+NAMES = ("length", "digits", "letters", "breaks", "brackets", "luhn", "groups", "written", "spaced", "nought", "mixed", "hex", "hint", "against", "assigned", "glued_before", "glued_after", "after_break")
 
 
 def _sample(rows: int, seed: int) -> list[tuple[int, str, str, int]]:
@@ -145,31 +174,54 @@ def _sample(rows: int, seed: int) -> list[tuple[int, str, str, int]]:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     w = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
+    b = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
 
-    def card() -> str:
-        body = "4" + d(14)
+    def card(n: int = 16) -> str:
+        body = rng.choice("345") + d(n - 2)
         return next(body + c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + (i % 2)), 10)) for i, x in enumerate(reversed(body + c))) % 10 == 0)
 
-    def fours(x: str, sep: str) -> str:
-        return sep.join(x[i : i + 4] for i in range(0, 16, 4))
+    def grouped(x: str) -> str:
+        sep = rng.choice(["", "", " ", "-", ".", "_", "/"])
+        if len(x) == 15:
+            return sep.join((x[:4], x[4:10], x[10:]))
+        return sep.join(x[i : i + 4] for i in range(0, len(x), 4))
+
+    def address() -> str:
+        at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "."), (" {at} ", " {dot} "), (" at ", " dot "), ("<at>", "<dot>"), (" @ ", " . "), ("@", "@")])
+        end = rng.choice(["com", "org", "net", "co"])
+        return f"{w()}{rng.choice(['', d(2), '.' + w()])}{at}{w()}{dot if dot != '@' else ' . '}{end}"
+
+    def six() -> str:
+        return rng.choice([":".join(h(4) for _ in range(8)), f"fe80::{h(rng.randint(1, 4))}", f"2001:db8::{h(4)}:{h(2)}", f"{h(4)}:{h(4)}::{h(3)}"])
 
+    def phone() -> str:
+        return rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(7)}", f"0{d(2)}/{d(4)} {d(3)}", f"({d(4)}) {d(3)} {d(4)}"])
+
+    def secret() -> str:
+        return rng.choice([h(40), h(32), h(40).upper(), h(64), "sk-" + b(32), "AKIA" + b(16).upper(), b(24), b(44) + "=", "ghp_" + b(36)])
+
+    quote = lambda x: rng.choice([f'"{x}"', x, f"'{x}'"])
+    near = {"email": ["mail me:", "contact", "write to", "ask"], "ip": ["client ip", "host", "from", "server"], "card": ["card", "visa", "paid with", "account"], "phone": ["call", "phone:", "tel", "mobile"]}
+    far = ["order", "serial", "ticket", "ref", "invoice", "part", "isbn"]
     good = {
-        "email": lambda: (rng.choice(["mail me:", "contact", "write to", w()]), rng.choice([f"{w()} (at) {w()} (dot) com", f"{w()}[at]{w()}.org", f"{w()}{d(2)} {{at}} {w()} {{dot}} net"])),
-        "ip": lambda: (rng.choice(["client ip", "host", "from", w()]), ":".join(h(4) for _ in range(8))),
-        "card": lambda: (rng.choice(["card", "visa", "paid with", w()]), fours(card(), rng.choice("._/"))),
-        "phone": lambda: (rng.choice(["call", "phone:", "tel", w()]), rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}"])),
+        "email": lambda: (rng.choice([*near["email"], w(), w()]), address()),
+        "ip": lambda: (rng.choice([*near["ip"], w()]), six()),
+        "card": lambda: (rng.choice([*near["card"], w(), w(), w()]), grouped(rng.choice([card(), card(), card(15), d(16)]))),
+        "phone": lambda: (rng.choice([*near["phone"], w()]), phone()),
+        "secret": lambda: (rng.choice(["token =", "api_key:", "secret=", "password =", "TOKEN =", "Authorization: Bearer", f"{w()} key ="]), quote(secret())),
     }
     bad = {
-        "email": lambda: (rng.choice([w(), "build", "look"]), rng.choice([f"{w()} at {w()}.{w()}", f"{w()} at {w()} dot {w()}"])),
-        "ip": lambda: (rng.choice(["time", "mac", "at", w()]), rng.choice([f"{d(2)}:{d(2)}:{d(2)}", ":".join(h(2) for _ in range(6)), f"{d(1)}:{d(2)}:{d(2)}"])),
-        "card": lambda: (rng.choice(["serial", "order", "part", "isbn", w()]), fours(d(15) + "x", "-").replace("x", d(1)).replace("-", rng.choice("._/"))),
-        "phone": lambda: (rng.choice(["order", "serial", "ticket", "ref"]), f"{d(3)}{rng.choice('.-')}{d(3)}{rng.choice('.-')}{d(4)}"),
+        "email": lambda: (rng.choice([w(), "build", "look"]), rng.choice([f"{w()} at {w()}. {w().title()}", f"{w()} at {w()}.{w()}", f"look at {w()}. {w()}", f"{w()} @ {w()}. {w().title()} {w()}"])),
+        "ip": lambda: (rng.choice(["time", "mac", "at", w()]), rng.choice([f"{d(2)}:{d(2)}:{d(2)}", ":".join(h(2) for _ in range(6)), f"{d(1)}:{d(2)}:{d(2)}", f"{w()[:2]}::{w()[:3]}"])),
+        "card": lambda: (rng.choice(far), grouped(d(16))) if rng.random() < 0.6 else (w(), rng.choice([d(13), d(18), grouped(d(19)), f"{w()}{d(16)}", f"{d(4)}-{d(4)}-{d(4)}-{d(1)}"])),
+        "phone": lambda: (rng.choice([*far, w()]), rng.choice([f"{d(3)}{rng.choice('.-')}{d(3)}{rng.choice('.-')}{d(4)}", f"{d(4)}-{d(4)}-{d(3)}", f"20{d(2)} {d(3)} {d(3)}"])) if rng.random() < 0.7 else (w(), f"20{d(2)}-{d(4)}-{d(4)}"),
+        "secret": lambda: (rng.choice(["commit", "sha", "file", "path", "http:", w(), "md5"]), rng.choice([h(40), f"{w()}-{w()}-{d(4)}-{w()}-{w()}", f"/{w()}/{w()}{d(1)}/{w()}-{w()}/{w()}", f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", d(24), f"{w()}_{w()}_{w()}_{d(2)}_{w()}"])),
     }
     out = []
     for i in range(rows):
-        kind, label = KINDS[i % 4], i // 4 % 2
+        kind, label = ALL[i % len(ALL)], i // len(ALL) % 2
         before, core = (good if label else bad)[kind]()
-        out.append((i, f"{w()} {before} {core}{rng.choice(['.', ' ', ', ', ''])} {w()}", kind, label))
+        out.append((i, f"{w()} {before} {core}{rng.choice(['.', ' ', ', ', '', '!!', '###'])} {w()}", kind, label))
     return out
 
 
@@ -228,9 +280,9 @@ def model(spark) -> dict[str, tuple[list, float]]:
         def numbers(kind: str) -> Column:
             return F.transform(f"loose_{kind}", lambda c: F.array(*(v.cast("double") for v in features(kind, c).values()))).alias(kind)
 
-        rows = found.select("id", *map(numbers, KINDS)).collect()
+        rows = found.select("id", *map(numbers, ALL)).collect()
         truth = {i: (k, y) for i, _, k, y in made}
-        for kind in KINDS:
+        for kind in ALL:
             x, y = [], []
             for row in rows:
                 for c in row[kind]:
@@ -255,32 +307,41 @@ def _scored(trees: list, values: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a + b, map(one, trees))
 
 
+def _place(s: Column, kind: str) -> list[Column]:
+    return [s["start"].alias("start"), F.lit(ALL.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")]
+
+
+def chosen(candidates: Column, base: Column) -> Column:
+    """Candidates (score, start, rank, end, kind), best first, that meet no base span and no better one that is chosen."""
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    ranked = F.array_sort(F.transform(F.filter(candidates, lambda c: ~F.exists(base, lambda b: meets(b, c))), lambda c: F.struct((-c["score"]).alias("loss"), c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<loss:double,start:long,rank:int,end:long,kind:string>>")
+    return F.aggregate(ranked, none, lambda got, c: F.when(F.exists(got, lambda g: meets(g, c)), got).otherwise(F.concat(got, F.array(c))))
+
+
 def find(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, text, base spans and added spans (arrays by start, then kind) of each row, and more columns of docs."""
+    """doc_id, text, base spans and all spans (arrays by start, then kind) of each row, and more columns of docs."""
     fitted = model(docs.sparkSession)
     df = _matches(with_base(text_only(docs, *more)), LOOSE, "loose")
 
-    def shaped(k: str, of: str, *more: str) -> Column:
-        return F.transform(of, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind"), *(s[m].alias(m) for m in more)))
+    def placed(k: str) -> Column:
+        return F.transform(f"base_{k}", lambda s: F.struct(*_place(s, k)))
 
     def described(k: str) -> Column:
         return F.transform(f"loose_{k}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.struct(*(v.alias(n) for n, v in features(k, c).items())).alias("x")))
 
     def scored(k: str) -> Column:
-        return F.transform(f"loose_{k}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _scored(fitted[k][0], {n: c["x"][n] for n in NAMES}).alias("score")))
+        return F.transform(f"loose_{k}", lambda c: F.struct(*_place(c, k), (_scored(fitted[k][0], {n: c["x"][n] for n in NAMES}) - F.lit(fitted[k][1])).alias("score")))
 
     def selected(k: str) -> Column:
-        return F.filter(f"loose_{k}", lambda c: c["score"] >= F.lit(fitted[k][1]))
+        return F.filter(f"loose_{k}", lambda c: c["score"] >= 0)
 
-    df = df.withColumn("base", F.array_sort(F.concat(*(shaped(k, f"base_{k}") for k in KINDS))))
+    df = df.withColumn("base", F.array_sort(F.concat(*(placed(k) for k in KINDS))))
     for stage in (described, scored, selected):  # features once for each candidate, then the trees over them
-        df = df.withColumns({f"loose_{k}": stage(k) for k in KINDS})
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    df = df.withColumn("chosen", F.concat(*(shaped(k, f"loose_{k}", "score") for k in KINDS)))
-    df = df.withColumn("chosen", F.when(F.size("chosen") == 0, F.col("chosen")).otherwise(F.filter("chosen", lambda c: ~F.exists("base", lambda b: meets(b, c)))))
-    better = lambda a, c: (a["score"] > c["score"]) | ((a["score"] == c["score"]) & (a["rank"] < c["rank"]))
-    df = df.withColumn("chosen", F.when(F.size("chosen") < 2, F.col("chosen")).otherwise(F.filter("chosen", lambda c: ~F.exists("chosen", lambda a: meets(a, c) & better(a, c)))))
-    added = F.transform("chosen", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+        df = df.withColumns({f"loose_{k}": stage(k) for k in ALL})
+    df = df.withColumn("chosen", F.concat(*(f"loose_{k}" for k in ALL)))
+    df = df.withColumn("chosen", F.when(F.size("chosen") > 0, chosen(F.col("chosen"), F.col("base"))))
+    added = F.transform(F.coalesce("chosen", F.array().cast("array<struct<loss:double,start:long,rank:int,end:long,kind:string>>")), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     rest = df.columns[2 : 2 + len(more)]
     return df.select("doc_id", "text", *rest, "base", F.array_sort(F.concat("base", added)).alias("spans"), *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS))
 
@@ -289,29 +350,45 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) replaced by <kind> of its first."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+def merged(spans: Column) -> Column:
+    """Spans (by start) with overlapping ones as one, of the kind of the first."""
+    none = F.array().cast("array<struct<start:long,end:long,kind:string>>")
+
+    def step(got: Column, s: Column) -> Column:
+        last = F.element_at(got, -1)
+        fresh = F.concat(got, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        wider = F.concat(F.slice(got, F.lit(1), F.size(got) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
+        return F.when(F.size(got) == 0, fresh).when(s["start"] >= last["end"], fresh).otherwise(wider)
+
+    return F.aggregate(spans, none, step)
+
+
+def redacted(df: DataFrame, name: str) -> DataFrame:
+    """df (text, spans) with a column of the text in which each span, overlapping ones as one, is <kind> of its first.
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        fresh = F.concat(a["parts"], F.array(gap, F.concat(F.lit("<"), s["kind"], F.lit(">"))))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["parts"]).alias("parts"))
+    The text's code points are cut at the spans, each of them copied once.
+    """
+    some = F.size("spans") > 0
+    df = df.withColumn("_cut", F.when(some, merged(F.col("spans")))).withColumn("_points", F.when(some, F.split("text", "")))
 
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
+    def piece(s: Column, i: Column) -> Column:
+        since = F.when(i > 0, F.element_at("_cut", F.greatest(i, F.lit(1)))["end"]).otherwise(0)
+        return F.concat(F.array_join(F.slice("_points", (since + 1).cast("int"), (s["start"] - since).cast("int")), ""), F.lit("<"), s["kind"], F.lit(">"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, finish))
+    end = F.element_at("_cut", -1)["end"]
+    tail = F.array_join(F.slice("_points", (end + 1).cast("int"), F.greatest(F.size("_points") - end, F.lit(0)).cast("int")), "")
+    clean = F.when(some, F.concat(F.array_join(F.transform("_cut", piece), ""), tail)).otherwise(F.col("text"))
+    return df.withColumn(name, clean).drop("_cut", "_points")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns, personal data in text replaced (and n_chars, if there, counted anew)."""
-    found = find(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    clean = F.when(F.col("_row.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
+    found = redacted(find(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), "_clean")
+    clean = F.when(F.col("_row.text").isNotNull(), F.col("_clean"))
     new = {"text": clean, "n_chars": F.length(clean).cast("long")}
     return found.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_boosted_pii(spark, sf_dir):
     found = find(documents(spark, sf_dir))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
