@@ -3,38 +3,44 @@
 A word's input is a learned vector of the word (hashed) beside the mean of learned vectors of its character n-grams
 (hashed, word edges included), so unseen inflections keep what their stems say. The network reads windows of WINDOW
 words, each STRIDE after the one before, over the whole text; attention weighs its states, and a text's score is that of
-its worst window. It is fitted on the driver to at most TRAIN_ROWS labelled texts of either class (a documented bound,
-texts in hash order of doc_id); each text trains through its worst window (multiple-instance learning). Scoring runs in
-Arrow batches, every text of the table.
+its worst window. It is fitted to at most TRAIN_ROWS labelled texts of either class (a documented bound, texts in hash
+order of doc_id). Executors count in how many of them each word and n-gram stands, and choose of each whole text the
+MOST_WINDOWS windows with the worst odds; the driver gets these alone, and trains through the worst of each text
+(multiple-instance learning). A fifth of the texts is kept from all that, scored whole, and sets the threshold. Scoring
+runs in Arrow batches, every text of the table.
 
 Null and empty texts have one window of padding, whose score is the bias's; a text whose only words are new still has its
-n-grams; repeated rows and null ids get a row each; without labels of both classes every score is 0; an empty table gives
-an empty result; other columns are ignored (for held_out a null doc_id counts as held out).
+n-grams; a very long text is as many windows as it takes, read TOGETHER at a time; repeated rows and null ids get a row
+each, and of repeated ids one labelled row trains; ties between windows go to the first; without labels of both classes
+every score is 0; an empty table gives an empty result; other columns are ignored, whatever their names (for held_out a
+null doc_id counts as held out).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import added, blocks, documents, free_name, mix, string_buffers, text_only, words
+from tessel.llm.common import added, blocks, documents, drop_staged, free_name, mix, staged, string_buffers, text_only, words
 
 WINDOW, STRIDE, HIDDEN = 64, 32, 8
 WORD_ROWS, CHAR_ROWS, DIMS = 1 << 16, 1 << 17, 4
+#: Bytes of a word's grams.
+GRAMS = (3, 4, 5)
 TRAIN_ROWS, EPOCHS, BATCH, RATE, SEED = 2000, 6, 64, 0.02, 11
 #: Words whose gate inputs a worker keeps between batches, and windows that it reads at a time.
 CACHE, TOGETHER = 120_000, 2048
 #: Words whose n-grams are made at a time.
 SOME = 20_000
+#: Windows of a text that it trains through, the most bytes of one, and tasks that share the labelled texts.
+MOST_WINDOWS, WINDOW_BYTES, PARTS = 4, 4096, 8
 _HOLD = 60.0
 
 
 def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the 3-, 4- and 5-byte grams (edges marked, A-Z folded) of words, and each word's first entry."""
+    """Rows of the GRAMS-byte grams (edges marked, A-Z folded) of words, and each word's first entry."""
     size = end - start + 2
     first = np.cumsum(size) - size
     n = int(size.sum())
@@ -47,9 +53,9 @@ def _char_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     left = size[word] - at
     rows, owner = [], []
     code = byte.copy()
-    for k in range(1, 5):
+    for k in range(1, max(GRAMS)):
         code = code[:-1] | (byte[k:] << np.uint64(8 * k)) if len(code) > 1 else code[:0]
-        if k >= 2:
+        if k + 1 in GRAMS:
             full = np.flatnonzero(left[: len(code)] > k)
             rows.append((mix(code[full] + np.uint64(k << 56)) & np.uint64(CHAR_ROWS - 1)).astype(np.int64))
             owner.append(word[full])
@@ -208,57 +214,42 @@ def _step(model: dict, texts: Texts, grams, chosen: np.ndarray, y: np.ndarray) -
     return out
 
 
-def _odds(tables: Iterable[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed log odds of table rows (distinct, by text), in units of 1 about."""
-    count = np.zeros((2, n), np.int64)
-    for rows, hit in zip(tables, y.astype(int), strict=True):
-        count[hit, rows] += 1
-    neg, pos = count
-    return (np.log((pos + 2) / (y.sum() + 4)) - np.log((neg + 2) / ((1 - y).sum() + 4))).astype(np.float32).clip(-4, 4) / 2
+def odds(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of table rows, in units of 1 about. counts: clean and toxic texts of each row; texts: of all."""
+    neg, pos = counts
+    return (np.log((pos + 2) / (texts[1] + 4)) - np.log((neg + 2) / (texts[0] + 4))).astype(np.float32).clip(-4, 4) / 2
 
 
-def train(texts: list[str], labels: np.ndarray) -> dict:
-    """The network and the shift that puts the best threshold on held-back training texts' logits at 0."""
+def train(windows: list[str], owner: np.ndarray, y: np.ndarray, word_odds: np.ndarray, char_odds: np.ndarray) -> dict:
+    """The network fitted to texts of several windows each (owner: the text of each, in order), through the worst one."""
     rng = np.random.default_rng(SEED)
-    body = [t.encode() for t in texts]
+    body = [t.encode() for t in windows]
     t = Texts(np.frombuffer(b"".join(body), np.uint8), np.append(0, np.cumsum([len(b) for b in body])).astype(np.int64))
-    y = labels.astype(np.float32)
     pad = len(t.hash)
     grams = t.grams(np.arange(pad))
-    distinct = [np.unique(t.word[a:b]) for a, b in zip(t.first[:-1], t.first[1:], strict=True)]
     normal = lambda *shape: (rng.normal(size=shape) * 0.3).astype(np.float32)
     model = {"word": normal(WORD_ROWS, DIMS) / 10, "char": normal(CHAR_ROWS, DIMS) / 10, "attend": normal(2 * HIDDEN), "out": normal(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
     for way in "fb":
         model |= {f"in_{way}": normal(2 * DIMS, 3 * HIDDEN), f"b_{way}": np.zeros(3 * HIDDEN, np.float32), f"u_{way}": normal(HIDDEN, 3 * HIDDEN)}
-    model["word"][:, 0] = _odds([np.unique(t.rows[w]) for w in distinct], y, WORD_ROWS)
-    in_words = (np.unique(np.concatenate([grams[0][grams[1][i] : grams[1][i + 1]] for i in w])) if len(w) else w for w in distinct)
-    model["char"][:, 0] = _odds(in_words, y, CHAR_ROWS)
-    windows, first = t.windows(pad)
-    inputs = lambda: np.concatenate((model["word"][t.rows], _mean(model["char"], *grams)), 1)
-    prior = np.append(np.maximum(*inputs()[:, [0, DIMS]].T), 0)[windows].max(1)
-
-    def worst(score: np.ndarray) -> np.ndarray:
-        order = np.lexsort((-score, np.repeat(np.arange(len(texts)), np.diff(first))))
-        return order[first[:-1]]
-
-    chosen = worst(prior)
-    fit = rng.random(len(texts)) >= 0.2
+    model["word"][:, 0], model["char"][:, 0] = word_odds, char_odds
+    rows = t.windows(pad)[0]  # one for each, as they have WINDOW words at most
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    chosen = first  # the window with the worst odds comes first
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     step = 0
     for epoch in range(EPOCHS):
         if epoch == EPOCHS // 2:
-            chosen = worst(logits(model, _gates(model, inputs()), windows))
-        order = rng.permutation(np.flatnonzero(fit))
+            score = logits(model, _gates(model, np.concatenate((model["word"][t.rows], _mean(model["char"], *grams)), 1)), rows)
+            chosen = np.lexsort((-score, owner))[first]
+        order = rng.permutation(len(first))
         for i in range(0, len(order), BATCH):
             mine = order[i : i + BATCH]
             step += 1
-            for k, g in _step(model, t, grams, windows[chosen[mine]], y[mine]).items():
+            for k, g in _step(model, t, grams, rows[chosen[mine]], y[mine].astype(np.float32)).items():
                 m, v = state[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 model[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    held = np.maximum.reduceat(logits(model, _gates(model, inputs()), windows), first[:-1])
-    model["bias"] -= np.float32(_threshold(held[~fit], y[~fit]) if 0 < y[~fit].sum() < len(y[~fit]) else _threshold(held, y))
     return model
 
 
@@ -319,16 +310,86 @@ def scorer(shared, name: str = "score"):
     return scored
 
 
+def counted(batches):
+    """Of a partition's labelled texts (text, toxic): how many clean and toxic ones have each row of words and n-grams."""
+    count = np.zeros((2, WORD_ROWS + CHAR_ROWS), np.int64)
+    for batch in batches:
+        raw, off = string_buffers(batch.column("text"))
+        for i, toxic in enumerate(batch.column("toxic").to_pylist()):
+            t = Texts(raw, off[i : i + 2])
+            count[toxic, np.unique(t.rows)] += 1
+            if len(t.hash):
+                count[toxic, WORD_ROWS + np.unique(t.grams(np.arange(len(t.hash)))[0])] += 1
+    at = np.flatnonzero(count.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, count[0, at], count[1, at])], ["at", "clean", "toxic"])
+
+
+def worst_windows(shared):
+    """Of each labelled text the MOST_WINDOWS windows with the worst odds, over the whole text; the first of equals."""
+
+    def chosen(batches):
+        word_odds, char_odds = shared.value
+        for batch in batches:
+            raw, off = string_buffers(batch.column("text"))
+            docs, toxic, place, texts = [], [], [], []
+            for i, (doc, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
+                text = raw[off[i] : off[i + 1]]
+                t = Texts(text, np.array([0, len(text)]))
+                start, end, _, _ = words(text, np.array([0, len(text)]), True)
+                grams = t.grams(np.arange(len(t.hash))) if len(t.hash) else (np.zeros(0, int), np.zeros(1, int))
+                prior = np.append(np.maximum(word_odds[t.rows], _mean(char_odds[:, None], *grams)[:, 0]), 0)[t.windows(len(t.hash))[0]].max(1)
+                kept = 0
+                for w in np.argsort(-prior, kind="stable").tolist():
+                    own = slice(w * STRIDE, w * STRIDE + WINDOW)
+                    body = text[start[own][0] : end[own][-1]].tobytes() if len(start[own]) else b""
+                    if len(body) <= WINDOW_BYTES:
+                        docs.append(doc)
+                        toxic.append(label)
+                        place.append(kept)
+                        texts.append(body.decode())
+                        kept += 1
+                    if kept == MOST_WINDOWS:
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(toxic, pa.int32()), pa.array(place, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "toxic", "place", "text"])
+
+    return chosen
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """The network fitted to at most `rows` labelled texts of either class whose crc32(doc_id) mod 5 is not 0."""
+    """The network fitted to at most `rows` labelled texts of either class whose crc32(doc_id) mod 5 is not 0.
+
+    A fifth of them is held back from odds and training; the shift that puts the best threshold on their whole texts'
+    logits at 0 comes last. The driver gets counts of table rows, and windows of bounded number and size.
+    """
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     hashed = F.xxhash64("doc_id")
     bounded = [known.where(f"toxic = {v}").orderBy(hashed, "doc_id").limit(rows) for v in (0, 1)]
-    sample = bounded[0].union(bounded[1])
-    got = text_only(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").orderBy(hashed, "doc_id", "text").limit(2 * rows).collect()  # 2 * rows at most are broadcast and collected
-    y = np.array([r["toxic"] for r in got])
-    return train([r["text"] for r in got], y) if 0 < y.sum() < len(y) else {}
+    sample = bounded[0].union(bounded[1])  # 2 * rows at most are broadcast
+    texts = text_only(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(5)) == 0)
+    texts = staged(texts.repartition(PARTS, "doc_id"), "labelled-texts")
+    fit, held = texts.where("not held"), texts.where("held")
+    seen = fit.groupBy("toxic").count().collect()
+    total = np.array([sum(r[1] for r in seen if r[0] == v) for v in (0, 1)])
+    if not total.all():
+        drop_staged(texts)
+        return {}
+    count = np.zeros((2, WORD_ROWS + CHAR_ROWS), np.int64)
+    for r in fit.select("text", "toxic").mapInArrow(counted, "at long, clean long, toxic long").groupBy("at").agg(F.sum("clean"), F.sum("toxic")).toLocalIterator():
+        count[:, r[0]] = r[1], r[2]
+    tables = odds(count[:, :WORD_ROWS], total), odds(count[:, WORD_ROWS:], total)
+    shared = spark.sparkContext.broadcast(tables)
+    got = fit.select("doc_id", "text", "toxic").mapInArrow(worst_windows(shared), "doc_id long, toxic int, place int, text string").orderBy("doc_id", "place").collect()  # 2 * rows * MOST_WINDOWS at most
+    ids = np.array([r["doc_id"] for r in got])
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    model = train([r["text"] for r in got], ids, np.array([r["toxic"] for r in got])[first], *tables)
+    scored = held.select("text", "toxic").mapInArrow(scorer(spark.sparkContext.broadcast(model)), "text string, toxic int, score double").select("score", "toxic").orderBy("score", "toxic").collect()
+    score, label = np.array([r[0] for r in scored]).clip(1e-12, 1 - 1e-12), np.array([r[1] for r in scored])
+    if 0 < label.sum() < len(label):
+        model["bias"] -= np.float32(_threshold(np.log(score / (1 - score)), label))
+    drop_staged(texts)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
