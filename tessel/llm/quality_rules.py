@@ -1,11 +1,13 @@
 """Quality rules by cross-document line frequency.
 
 One pass in Arrow batches counts a text's words, symbols, repeated lines and repeated 8-word windows, and hashes its
-normalised lines. Lines are then counted per host over distinct texts; lines above the host's limit are removed
-(`without_frequent_lines` returns the texts), and a document that loses most of its characters so is rejected.
+normalised lines, once each. Lines are then counted per host over documents, with partial counts before the shuffle; lines
+above the host's limit are removed (`without_frequent_lines` returns the texts), and a document that loses most of its
+characters so is rejected.
 
-A null or empty text has no words and fails the base rule; a null host counts as a host of its own; copies of a text
-count once in a line's frequency but each gets its row; an empty table gives an empty result.
+A null or empty text has no words and fails the base rule; a very long text is one list of hashed lines; a null host counts
+as a host of its own; copies of a document and repeated rows are documents each, in a line's frequency and in the result;
+a line exactly at the limit stays; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import documents, shingles, small_enough, staged, string_buffers, text_only, words
+from tessel.llm.common import dealt_join, documents, shingles, small_enough, staged, string_buffers, text_only, words
 
-#: A line is boilerplate above so many distinct texts of a host, or above this share of them, whichever is more.
+#: A line is boilerplate above so many documents of a host, or above this share of them, whichever is more.
 LINE_DOCS, LINE_SHARE = 50, 0.02
 #: A document is depleted with a smaller share of its line characters left.
 LEFT = 0.3
@@ -53,8 +55,8 @@ def repeat_words(ids: np.ndarray, size: int = 8) -> int:
 
 
 def normalised(line: str) -> str:
-    """Lower case, runs of white space as one blank, digits as 0."""
-    return re.sub(r"\d", "0", " ".join(line.lower().split()))
+    """Lower case, runs of ASCII white space as one blank, ASCII digits as 0."""
+    return re.sub("[0-9]", "0", re.sub(f"[{_WHITE}]+", " ", line.lower()).strip(" "))
 
 
 def measured(batches):
@@ -98,16 +100,16 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def _found(rows: DataFrame, line_docs: int, line_share: float) -> DataFrame:
     """Frequent lines of each row: host, line, row, chars."""
-    # distinct texts of a host: first by (host, line, text), which no key can crowd, then by (host, line) with partial sums
-    lines = rows.select("host", "text_key", F.explode("lines").alias("x")).select("host", F.col("x.line").alias("line"), "text_key")
-    counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("texts"))
-    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    frequent = (
-        counts.where(F.col("texts") > line_docs).join(hosts, "host").where(F.col("texts") > line_share * F.col("host_texts")).select("host", "line")
-    )
+    # a document has a line once, so counts of rows are counts of documents
+    counts = rows.select("host", F.explode("lines").alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count("*").alias("docs"))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    often = counts.where(F.col("docs") > line_docs)
+    frequent = often.join(hosts, "host").where(F.col("docs") > line_share * F.col("host_docs")).select("host", "line")
     frequent = staged(frequent, "frequent-lines")
     each = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"))
-    return each.join(F.broadcast(frequent) if small_enough(frequent, BROADCAST_LINES) else frequent, ["host", "line"])
+    if small_enough(frequent, BROADCAST_LINES):
+        return each.join(F.broadcast(frequent), ["host", "line"])
+    return dealt_join(each, frequent, ["host", "line"], "inner")
 
 
 def _verdict(left: float) -> tuple[Column, Column, Column]:
@@ -165,11 +167,11 @@ w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_SPACE}+'), lambda x
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS gram FROM w WHERE len(ws) >= 8),
 twice AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM twice WHERE n > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, hash(text) AS text_key, unnest(string_split(text, chr(10))) AS line FROM d),
-full_lines AS (SELECT doc_id, host, text_key, line, regexp_replace(trim(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g')), '[0-9]', '0', 'g') AS plain FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+lines AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+full_lines AS (SELECT doc_id, host, line, regexp_replace(trim(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g')), '[0-9]', '0', 'g') AS plain FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(plain)) AS line_chars FROM full_lines GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT hash(text)) AS host_texts FROM d GROUP BY host),
-frequent AS (SELECT f.host, f.plain FROM full_lines f JOIN hosts h ON f.host = h.host GROUP BY f.host, f.plain, h.host_texts HAVING count(DISTINCT f.text_key) > {LINE_DOCS} AND count(DISTINCT f.text_key) > {LINE_SHARE} * h.host_texts),
+hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+frequent AS (SELECT f.host, f.plain FROM full_lines f JOIN hosts h ON f.host = h.host GROUP BY f.host, f.plain, h.host_docs HAVING count(DISTINCT f.doc_id) > {LINE_DOCS} AND count(DISTINCT f.doc_id) > {LINE_SHARE} * h.host_docs),
 gone AS (SELECT f.doc_id, sum(length(f.plain)) AS frequent_chars FROM full_lines f JOIN frequent q ON f.host = q.host AND f.plain = q.plain GROUP BY f.doc_id),
 base AS (SELECT d.doc_id, len(w.ws) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(frequent_chars, 0)::BIGINT AS frequent_chars, coalesce(line_chars, 0)::BIGINT AS line_chars
