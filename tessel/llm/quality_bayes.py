@@ -4,12 +4,14 @@ A document classifier (logistic regression on shape features of the text, fitted
 either class at most, a documented bound) gives each document's evidence. Grouped aggregation sums that evidence over
 sites (host) and their sections (host and path): a site's rate is shrunk to the global rate and a section's to its site's,
 by prior strengths that the moments of the groups' rates give, so sparse sites say little. A document's score is its own
-evidence with the global prior odds replaced by its section's posterior odds.
+evidence with the global prior odds replaced by its section's posterior odds, where site and section are the others there:
+its own evidence is taken out of both sums first, so it counts once. Evidence is rounded to PLACES and summed as decimals,
+so that the sums do not depend on the order of a shuffle.
 
 The documents table has no URLs: `source` stands for the host and `lang` for the section of its path, as in pages' URLs.
 Null or missing hosts and sections are groups of their own; null and empty texts have their features too (all 0); rows
-that repeat each get a row; without labels of both classes the classifier says 1/2 throughout; an empty table gives an
-empty result; other columns are ignored.
+that repeat each get a row; a very long text is one row of counts; without labels of both classes the classifier says 1/2 throughout; an empty table gives an
+empty result; other columns are ignored, whatever their names; a score of just KEEP is kept.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tessel.llm.quality_rules import repeat_words
 TRAIN_ROWS, STEPS, RIDGE = 2000, 25, 1.0
 #: A document is kept at this score or more.
 KEEP = 0.5
+#: Decimal places of the evidence.
+PLACES = 9
 #: Groups that a join may broadcast; beyond it the join is shuffled.
 BROADCAST_GROUPS = 200_000
 #: Bounds of a prior's strength, in documents.
@@ -110,18 +114,25 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     else:
         terms = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
         rows = rows.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.least(F.greatest(terms, F.lit(-12.0)), F.lit(12.0))))).alias("evidence"))
-    rows = staged(rows, "evidence")
-    sections = staged(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")), "sections")
+    rows = staged(rows.withColumn("evidence", F.round("evidence", PLACES)), "evidence")
+    total_of = lambda c: F.sum(F.col(c).cast(f"decimal(28,{PLACES})")).alias("s")
+    sections = staged(rows.groupBy("host", "path").agg(F.count("*").alias("n"), total_of("evidence")), "sections")
     total = sections.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    prior = min(0.999, max(0.001, (total["s"] or 0) / total["n"])) if total["n"] else 0.5
-    sites = sections.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("rate", F.col("s") / F.col("n")).withColumn("prior", F.lit(prior))
+    prior = min(0.999, max(0.001, float(total["s"] or 0) / total["n"])) if total["n"] else 0.5
+    as_rate = lambda df: df.withColumn("s", F.col("s").cast("double")).withColumn("rate", F.col("s") / F.col("n"))
+    sites = as_rate(sections.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))).withColumn("prior", F.lit(prior))
     m = strength(sites, "rate", "prior")
-    sites = staged(sites.select("host", ((F.col("s") + m * F.lit(prior)) / (F.col("n") + m)).alias("site_rate")), "sites")
-    below = _joined(sections, sites, ["host"]).withColumn("rate", F.col("s") / F.col("n"))
-    k = strength(below, "rate", "site_rate")
-    below = staged(below.select("host", "path", "site_rate", ((F.col("s") + k * F.col("site_rate")) / (F.col("n") + k)).alias("section_rate")), "section-rates")
+    shrunk = lambda s, n, weight, to: (s + weight * to) / (n + weight)
+    sites = staged(sites.select("host", F.col("s").alias("site_s"), F.col("n").alias("site_n"), shrunk(F.col("s"), F.col("n"), m, F.lit(prior)).alias("all_rate")), "sites")
+    below = as_rate(_joined(sections, sites, ["host"]))
+    k = strength(below, "rate", "all_rate")
+    below = staged(below.select("host", "path", "s", "n", "site_s", "site_n"), "section-sums")
+    out = _joined(rows, below, ["host", "path"])
+    # of the others: a document's own evidence is in its logit already
+    out = out.withColumn("site_rate", shrunk(F.col("site_s") - F.col("evidence"), F.col("site_n") - 1, m, F.lit(prior)))
+    out = out.withColumn("section_rate", shrunk(F.col("s") - F.col("evidence"), F.col("n") - 1, k, F.col("site_rate")))
     logit = _odds(F.col("evidence")) - F.lit(float(np.log(prior / (1 - prior)))) + _odds(F.col("section_rate"))
-    out = _joined(rows, below, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-logit)))
+    out = out.withColumn("score", 1 / (1 + F.exp(-logit)))
     return out.select("doc_id", "evidence", "site_rate", "section_rate", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
