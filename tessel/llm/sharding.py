@@ -4,8 +4,9 @@ Records hash into a fixed number of slots, the bytes of each slot are summed, an
 where a slot lives. Only the map is edited when shards are added or loads drift; records never hash again. The map has
 n_slots rows at most, however large the table, so it is the one thing that the driver sees.
 
-Nulls count as empty texts (size 1); repeated rows share a slot and are numbered one after another; an empty table gives
-an empty result; other columns of the input are ignored.
+Nulls count as empty texts (size 1); a very long text is one large row of its slot; repeated rows share a slot and are
+numbered one after another (ties between their numbers are theirs alone, as the rows are equal); an empty table gives an
+empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ def rebalanced(loads: list[tuple[int, int, int]], at: dict[int, int], n_shards:
     out, used = dict(at), [0] * n_shards
     size = {slot: n for slot, n, _ in loads}
     for slot in sorted(size, key=lambda s: (-size[s], s)):
-        if slot not in out:
-            out[slot] = min(range(n_shards), key=lambda s: (used[s] + sum(size.get(k, 0) for k, v in at.items() if v == s), s))
+        if slot in at:
+            used[at[slot]] += size[slot]
+    for slot in sorted(size.keys() - at.keys(), key=lambda s: (-size[s], s)):
+        out[slot] = min(range(n_shards), key=lambda s: (used[s], s))
         used[out[slot]] += size[slot]
     mean = max(1, sum(used) / n_shards)
     by = [sorted((size[k], k) for k, v in out.items() if v == s and k in size) for s in range(n_shards)]
@@ -97,10 +100,18 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, stored: DataFrame | None = None) -> DataFrame:
+    """Rows with shard, number there and the version of the map that says so.
+
+    stored: a map (version, vslot, shard) of before; it is edited to today's loads and stored as the next version, so that
+    only the slots that drifted, or that go to new shards, move. Without one, the first version is made.
+    """
     rows = staged(slotted(docs, n_slots), "slotted")
     loads = slot_loads(rows)
-    return placed(rows, map_table(rows, new_map(loads, n_shards), loads, 1))
+    if stored is None:
+        return placed(rows, map_table(rows, new_map(loads, n_shards), loads, 1))
+    old = stored.select("vslot", "shard", "version").collect()  # n_slots rows at most
+    return placed(rows, map_table(rows, rebalanced(loads, {r[0]: r[1] for r in old}, n_shards), loads, 1 + max((r[2] for r in old), default=0)))
 
 
 def op9_virtual_slots(spark, sf_dir):
