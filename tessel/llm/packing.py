@@ -1,16 +1,18 @@
 """Packing along a space-filling curve.
 
 Each document's tokens are hashed to signs in DIMS dimensions; the mean over its distinct tokens, squashed, is a point, and
-the point's index on a Hilbert curve is its key. Documents are dealt out by ranges of the key, sorted, and laid end to end
-along the curve, so that neighbours in a sequence are alike. Documents are cut where a sequence is full; the rest at a
-range's end is cut into sequences of powers of two, so nothing is padded.
-
-Range bounds come from SAMPLE_ROWS documents at most (a documented bound; they only balance the ranges). The key's last
-bits are a hash of the document's own id and text, so that copies spread over ranges. A text's tokens are made word by
-word with a cache in each task, which gives the same ids as the text at once, as the tokenizer never joins words.
-
-Null and empty texts are the end token alone; repeated rows are packed each; null ids are kept; an empty table gives an
-empty result; other columns are ignored.
+the point's index on a Hilbert curve is its key. Documents are dealt out by ranges of the key (a range-partitioned sort, as
+many ranges as PART_BYTES go into the texts), and laid end to end along the curve, so that neighbours in a sequence are
+alike. Documents are cut where a sequence is full; the rest at a range's end is cut into sequences of powers of two, so
+nothing is padded. A range is streamed: a task holds one open sequence.
+
+The key's last bits are a hash of the document's own id and text, and ties of it are ordered by that hash and the id, so
+that copies spread over ranges. A text's tokens are made word by word with a cache in each task, which gives the same ids as
+the text at once, as the tokenizer never joins words; a text of each block is encoded at once to compare, and where the
+two differ a worker encodes whole texts from then on.
+
+Null and empty texts are the end token alone; a very long text is many pieces; repeated rows are packed each; null ids are
+kept; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import blocks, documents, mix, string_buffers, text_only
+from tessel.llm.common import blocks, documents, mix, staged, string_buffers, text_only
 from tessel.llm.common import words as word_spans
 
 LENGTH, END_ID, DIMS, BITS, TIE_BITS = 2048, 1, 4, 12, 15
-SAMPLE_ROWS, SEED = 8_000, 3
+#: Bytes of text in a range of the curve, about.
+PART_BYTES = 1 << 24
 #: Words that a worker remembers (an eighth as many parts of words), and bytes of text that it works on at a time.
 CACHE, TOGETHER = 800_000, 1 << 20
 SYMBOLS = ".,;:!?|&*$%#"
@@ -85,6 +89,7 @@ class Words:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.vocabulary = self.encoder.get_vocab_size(True)
         self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
+        self.trusted = True
         self._forget()
 
     def _forget(self):
@@ -123,7 +128,19 @@ class Words:
         order = np.argsort(both, kind="stable")
         self.hash, self.at, self.size = both[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array([*self.encoder.encode(text, add_special_tokens=False).ids, END_ID], self.kind)
+
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        text = lambda i: raw[off[i] : off[i + 1]].tobytes().decode()
+        if self.trusted:
+            made = self.by_words(raw, off)
+            self.trusted = not made or np.array_equal(made[0], self.whole(text(0)))
+            if self.trusted:
+                return made
+        return [self.whole(text(i)) for i in range(len(off) - 1)]
+
+    def by_words(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         start, end, hashed, first = word_spans(raw, off, False)
         text = raw[off[0] : off[-1]]
         own, at, inverse = np.unique(hashed, return_index=True, return_inverse=True)
@@ -170,8 +187,8 @@ def keyed(ids: list[np.ndarray], tie: np.ndarray, signs: np.ndarray) -> np.ndarr
     return ((hilbert(grid, BITS) << np.uint64(TIE_BITS)) | (tie & np.uint64((1 << TIE_BITS) - 1))).astype(np.int64)
 
 
-def encoder(path: str | None, bounds: list[int] | None):
-    """Rows of (key) for a sample, or of (part, key, tie, doc_id, tokens, ids) with the range of each document."""
+def encoder(path: str | None):
+    """Rows of (key, tie, doc_id, tokens, ids)."""
 
     def encoded(batches):
         words, signs = worker_words(path), None
@@ -180,13 +197,8 @@ def encoder(path: str | None, bounds: list[int] | None):
             raw, off = string_buffers(batch.column("text"))
             for i, j in blocks(off, TOGETHER):
                 rows, ids = batch.slice(i, j - i), words(raw, off[i : j + 1])
-                tie = mix(rows.column("tie").to_numpy().view(np.uint64))
-                key = keyed(ids, tie, signs)
-                if bounds is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
-                else:
-                    part = np.searchsorted(np.array(bounds, np.int64), key, "right").astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), rows.column("tie"), rows.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "key", "tie", "doc_id", "tokens", "ids"])
+                key = keyed(ids, mix(rows.column("tie").to_numpy().view(np.uint64)), signs)
+                yield pa.RecordBatch.from_arrays([pa.array(key), rows.column("tie"), rows.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "tie", "doc_id", "tokens", "ids"])
 
     return encoded
 
@@ -235,18 +247,13 @@ def packer(length: int):
     names = [x.split()[0] for x in LAYOUT.split(", ")]
 
     def packed(batches):
-        stream, part = None, None
+        stream = Stream(TaskContext.get().partitionId(), length)
         for batch in batches:
             out = []
-            for p, doc, n, body in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if p != part:
-                    if stream:
-                        out.extend(stream.finish())
-                    stream, part = Stream(p, length), p
+            for doc, n, body in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 out.extend(stream.add(doc, np.frombuffer(body, np.uint16 if len(body) == 2 * n else np.uint32)))
             yield _table(out, names)
-        if stream:
-            yield _table(list(stream.finish()), names)
+        yield _table(list(stream.finish()), names)
 
     return packed
 
@@ -258,15 +265,13 @@ def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, parts: int | None = None) -> DataFrame:
     """Pieces of all documents in sequences. tokenizer: a file of word-bound ids that every machine has (None: the
-    installed word_bpe_49k.json); parts: ranges of the curve, spark.sql.shuffle.partitions unless given."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    installed word_bpe_49k.json); parts: ranges of the curve, by PART_BYTES unless given."""
     rows = text_only(docs).select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text").alias("tie"))
-    share = min(1.0, SAMPLE_ROWS / 2 / max(1, docs.count()))
-    sample = np.sort([r[0] for r in rows.sample(share, SEED).mapInArrow(encoder(tokenizer, None), "key long").limit(SAMPLE_ROWS).collect()]).astype(np.int64)
-    bounds = np.unique(sample[[len(sample) * i // parts for i in range(1, parts)]]).tolist() if len(sample) else []
-    ranged = rows.mapInArrow(encoder(tokenizer, bounds), "part int, key long, tie long, doc_id long, tokens long, ids binary")
-    return ranged.repartition(parts, "part").sortWithinPartitions("part", "key", "tie", "doc_id").mapInArrow(packer(length), LAYOUT)
+    parts = parts or int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES + 1
+    # written once, so that finding the ranges reads keys and tokenizes nothing again
+    encoded = staged(rows.mapInArrow(encoder(tokenizer), "key long, tie long, doc_id long, tokens long, ids binary"), "token-ids")
+    order = ("key", "tie", "doc_id")
+    return encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(packer(length), LAYOUT)
 
 
 def op10_hilbert(spark, sf_dir):
