@@ -3,15 +3,21 @@
 A text's windows of LENGTH bytes are keyed by content: the window's least GRAM-byte gram (by hash, leftmost of equals) is
 its anchor, and the windows in a row that share an anchor make a stretch, with the bytes they cover as its context. Equal
 windows have equal anchors at equal offsets, so only stretches with a common anchor gram can hold repeats. Equal contexts
-are counted before anything else; where an anchor has several different contexts, these are indexed together: their
+(128 bits of hash) are counted first; where an anchor has several different contexts, these are indexed together: their
 Burrows-Wheeler transform is kept as runs, with text positions sampled at the ends of runs and the common prefixes at those
 ends. Matching statistics then stream through the contexts from the samples, as between samples they fall by one a byte
 (towards the neighbour above from heads of runs, below from tails), and starts that match LENGTH bytes elsewhere are marked.
-Anchors with more than MOST contexts (a passage in thousands of surroundings) are cut into narrower stretches, whose
-common bytes are a longer key, down to single windows: no group is large, and none is dropped.
+Anchors with more than MOST contexts (a passage in thousands of surroundings) are cut into
+narrower stretches, whose common bytes are a longer key, down to single windows: no group is large, and none is dropped.
 
-Texts are UTF-8 bytes; null and empty ones have nothing to remove; matches never cross documents; repeated rows match each
-other; null ids are kept; an empty table gives an empty result; other columns are ignored.
+The statistics also tell of matches that are shorter than LENGTH: with `passages`, `shares_passage` says whether a match of more than
+PASSAGE_WORDS whole words was met (anchors with more
+than MOST contexts are indexed MOST at a time for it). It removes nothing, and is a lower bound, as contexts of one anchor
+alone are compared.
+
+Texts are UTF-8 bytes; null and empty ones have nothing to remove; a very long text is many stretches, dealt by anchor;
+matches never cross documents; repeated rows match each other; ties between anchors go to the leftmost; null ids are kept;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,20 +26,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import documents, mix, prefix_hash, span_hash, staged, string_buffers, text_only
+from tessel.llm.common import _SPACE, dealt_join, documents, drop_staged, mix, prefix_hash, span_hash, staged, string_buffers, text_only
 
 LENGTH, GRAM = 400, 64
 #: Different contexts of an anchor that are indexed together; beyond it stretches are cut to these widths.
 MOST, WIDTHS = 128, (32, 1)
 #: Bytes of contexts in an index, about.
 INDEX_BYTES = 1 << 20
-STRETCH = "row long, core long, ctx long, first int, last int, at int"
-BODY = "row long, core long, ctx long, n long, first int, last int, at int, body binary"
-MARK = "row long, first int, last int"
-_C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
+#: Whole words above which a match is a passage.
+PASSAGE_WORDS = 50
+STRETCH = "row long, core long, ctx long, sig long, first int, last int, at int"
+BODY = "row long, core long, ctx long, sig long, n long, first int, last int, at int, body binary"
+#: Ranges of repeated window starts; words: of the longest match of a context, whose range is then empty.
+MARK = "row long, first int, last int, words int"
+KEY = ["core", "ctx", "sig"]
+_C1 = np.uint64(0xD6E8FEB86659FD93)
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,16 +58,18 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def _context(prefix: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
-    return mix(span_hash(prefix, first, last + length) + (anchor - first).astype(np.uint64) * _C1 + (last - first).astype(np.uint64) * _C2)
+def identity(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of hash (two columns) of the bytes of some ranges."""
+    body = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.uint64).reshape(-1, 2)
 
 
 def stretches(data: np.ndarray, length: int, gram: int):
-    """Core (hash of the anchor), context hash, first and last window start, and anchor of a text's stretches."""
+    """Core (hash of the anchor), identity of the context, first and last window start, and anchor of a text's stretches."""
     n = len(data)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), np.zeros((0, 2), np.uint64), none, none, none
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     grams = span_hash(prefix, at, at + gram)
@@ -65,7 +78,7 @@ def stretches(data: np.ndarray, length: int, gram: int):
     cut = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
     first, last = np.append(0, cut), np.append(cut - 1, n - length)
     anchor = anchor[first]
-    return grams[anchor], _context(prefix, first, last, anchor, length), first, last, anchor
+    return grams[anchor], identity(data, first, last + length), first, last, anchor
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -81,7 +94,7 @@ def anchored(length: int, gram: int):
                 got = [stretches(raw[off[j] : off[j + 1]], length, gram) for j in range(i, min(i + 256, len(rows)))]
                 core, ctx, first, last, anchor = (np.concatenate(x) for x in zip(*got, strict=True))
                 row = np.repeat(rows[i : i + 256], [len(g[0]) for g in got])
-                yield pa.RecordBatch.from_arrays([pa.array(row), _signed(core), _signed(ctx), *(pa.array(x, pa.int32()) for x in (first, last, anchor - first))], ["row", "core", "ctx", "first", "last", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(row), _signed(core), _signed(ctx[:, 0]), _signed(ctx[:, 1]), *(pa.array(x, pa.int32()) for x in (first, last, anchor - first))], ["row", *KEY, "first", "last", "at"])
 
     return made
 
@@ -96,8 +109,8 @@ def fetcher(length: int):
                 want = want.as_py()
                 text = raw[off[i] : off[i + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(want), pa.int64()), *(pa.array([w[c] for w in want], t) for c, t in (("core", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("at", pa.int32()))), pa.array([text[w["first"] : w["last"] + length].tobytes() for w in want], pa.binary())],
-                    ["row", "core", "ctx", "n", "first", "last", "at", "body"],
+                    [pa.array([row] * len(want), pa.int64()), *(pa.array([w[c] for w in want], t) for c, t in (*((k, pa.int64()) for k in KEY), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("at", pa.int32()))), pa.array([text[w["first"] : w["last"] + length].tobytes() for w in want], pa.binary())],
+                    ["row", *KEY, "n", "first", "last", "at", "body"],
                 )
 
     return fetched
@@ -108,7 +121,7 @@ def narrowed(length: int, gram: int, width: int):
 
     def cut(batches):
         for batch in batches:
-            out = {c: [] for c in ("row", "core", "ctx", "n", "first", "last", "at", "body")}
+            out = {c: [] for c in ("row", *KEY, "n", "first", "last", "at", "body")}
             for r in batch.to_pylist():
                 body = np.frombuffer(r["body"], np.uint8)
                 prefix = prefix_hash(body)
@@ -119,11 +132,11 @@ def narrowed(length: int, gram: int, width: int):
                 low = cell[first] * width - (length - gram)
                 high = np.minimum(low + width - 1, 0)
                 core = mix(span_hash(prefix, r["at"] + high, r["at"] + low + length) + cell[first].astype(np.uint64) * _C1)
-                ctx = _context(prefix, first, last, np.full(len(first), r["at"]), length)
-                for a, b, x, y in zip(first.tolist(), last.tolist(), core.view(np.int64).tolist(), ctx.view(np.int64).tolist(), strict=True):
-                    for c, v in zip(out, (r["row"], x, y, r["n"], r["first"] + a, r["first"] + b, r["at"] - a, r["body"][a : b + length]), strict=True):
+                ctx = identity(body, first, last + length)
+                for a, b, x, (y, z) in zip(first.tolist(), last.tolist(), core.view(np.int64).tolist(), ctx.view(np.int64).tolist(), strict=True):
+                    for c, v in zip(out, (r["row"], x, y, z, r["n"], r["first"] + a, r["first"] + b, r["at"] - a, r["body"][a : b + length]), strict=True):
                         out[c].append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            types = (*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
     return cut
@@ -201,26 +214,34 @@ class RunIndex:
         return out
 
 
-def repeats(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """Starts in each body of strings of `length` that start in another place of the bodies too."""
+def repeats(bodies: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Starts in each body of strings of `length` that start in another place of the bodies too, and the most whole
+    words that a match of each body has."""
     index = RunIndex(bodies)
     begin = np.append(0, index.end[:-1])
-    hit = np.flatnonzero(index.statistics() >= length)
+    match = index.statistics()
+    hit = np.flatnonzero(match >= length)
     owner = np.searchsorted(index.end, hit, "right")
-    return [hit[owner == i] - b for i, b in enumerate(begin)]
+    solid = ~_SPACE[np.frombuffer(b" ".join(bodies) + b" ", np.uint8)]
+    starts = np.cumsum(np.append(solid[0], solid[1:] & ~solid[:-1]))
+    ends = np.append(0, np.cumsum(np.append(solid[:-1] & ~solid[1:], solid[-1])))
+    whole = ends[np.arange(index.n) + match] - np.append(0, starts[:-1])
+    return [hit[owner == i] - b for i, b in enumerate(begin)], np.maximum.reduceat(whole, begin)
 
 
 def indexed(length: int):
     def marked(table: pa.Table) -> pa.Table:
         rows = table.select(["row", "n", "first", "body"]).to_pylist()
         out = []
-        for r, starts in zip(rows, repeats([r["body"] for r in rows], length), strict=True):
+        for r, starts, words in zip(rows, *repeats([r["body"] for r in rows], length), strict=True):
+            if words > PASSAGE_WORDS:
+                out.append((r["row"], 0, -1, int(words)))
             if r["n"] == 1 and len(starts):
                 edge = np.flatnonzero(np.diff(starts) != 1) + 1
                 for part in np.split(starts, edge):
-                    out.append((r["row"], r["first"] + int(part[0]), r["first"] + int(part[-1])))
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table({"row": pa.array(cols[0], pa.int64()), "first": pa.array(cols[1], pa.int32()), "last": pa.array(cols[2], pa.int32())})
+                    out.append((r["row"], r["first"] + int(part[0]), r["first"] + int(part[-1]), 0))
+        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+        return pa.table({"row": pa.array(cols[0], pa.int64()), **{n: pa.array(c, pa.int32()) for n, c in zip(("first", "last", "words"), cols[1:], strict=True)}})
 
     return marked
 
@@ -231,37 +252,44 @@ def from_index(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks))).groupBy("task").applyInArrow(indexed(length), MARK)
 
 
-def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row, first, last): ranges of window starts of texts (row, text) that are repeated."""
+def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, passages: bool = True) -> DataFrame:
+    """(row, first, last, words): ranges of window starts of texts (row, text) that are repeated, and words of matches."""
     all_ = staged(texts.mapInArrow(anchored(length, gram), STRETCH), "stretches")
-    counted = all_.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
+    counted = all_.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
     groups = counted.groupBy("core").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1").select("core", "m")
-    contexts = staged(counted.join(groups, "core").select("core", "ctx", "n", "m", "one.*"), "contexts")
-    out = [all_.join(contexts.where("n > 1").select("core", "ctx"), ["core", "ctx"], "left_semi").select("row", "first", "last")]
-    wanted = contexts.where("m > 1").groupBy("row").agg(F.collect_list(F.struct("core", "ctx", "n", "first", "last", "at")).alias("want"))
-    bodies = staged(texts.join(wanted, "row").mapInArrow(fetcher(length), BODY).join(contexts.where("m > 1").select("core", "m").distinct(), "core"), "bodies")
-    bodies = bodies.dropDuplicates(["core", "ctx"])  # a text that is there twice has fetched its contexts twice
+    contexts = staged(counted.join(groups, "core").select(*KEY, "n", "m", "one.*"), "contexts")
+    ranges = lambda df: df.select("row", "first", "last", F.lit(0).alias("words"))
+    # a context may hold any share of all stretches
+    out = [ranges(dealt_join(all_, contexts.where("n > 1").select(*KEY), KEY, "inner"))]
+    wanted = contexts.where("m > 1").groupBy("row").agg(F.collect_list(F.struct(*KEY, "n", "first", "last", "at")).alias("want"))
+    bodies = texts.join(wanted, "row").mapInArrow(fetcher(length), BODY)
+    bodies = staged(dealt_join(bodies, contexts.where("m > 1").select("core", "m").distinct(), ["core"], "inner"), "bodies")
     out.append(from_index(bodies.where(F.col("m") <= MOST), length))
     hot = bodies.where(F.col("m") > MOST)
+    if passages and not hot.isEmpty():
+        some = F.xxhash64("core", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / MOST)))
+        out.append(from_index(hot.withColumn("core", some), length))
     for width in WIDTHS:
         if hot.isEmpty():
             break
         cut = staged(hot.mapInArrow(narrowed(length, gram, width), BODY), "narrowed")
-        counted = cut.groupBy("core", "ctx").agg(F.sum("n").alias("all"))
+        counted = cut.groupBy(*KEY).agg(F.sum("n").alias("all"))
         groups = counted.groupBy("core").agg(F.count("*").alias("m"), F.sum("all").alias("total")).where("total > 1").select("core", "m")
         known = staged(counted.join(groups, "core"), "narrow-groups")
-        cut = staged(cut.join(known, ["core", "ctx"]), "narrow-contexts")
-        out.append(cut.where("n = 1 and all > 1").select("row", "first", "last"))
-        rest = cut.where("m > 1").drop("n").withColumnRenamed("all", "n").dropDuplicates(["core", "ctx"])
+        cut = staged(dealt_join(cut, known, KEY, "inner"), "narrow-contexts")
+        out.append(ranges(cut.where("n = 1 and all > 1")))
+        rest = cut.where("m > 1").drop("n").withColumnRenamed("all", "n").dropDuplicates(KEY)
         out.append(from_index(rest.where(F.col("m") <= MOST), length))
-        hot = rest.where(F.col("m") > MOST).select("row", "core", "ctx", "n", "first", "last", "at", "body", "m")
+        hot = rest.where(F.col("m") > MOST).select("row", *KEY, "n", "first", "last", "at", "body", "m")
     found = out[0]
     for more in out[1:]:
-        found = found.union(more)
+        found = found.unionByName(more)
+    found = staged(found, "marks")
+    drop_staged(all_, contexts, bodies)
     return found
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int, kept binary"
 
 
 def cutter(length: int, keep: bool):
@@ -269,7 +297,7 @@ def cutter(length: int, keep: bool):
         for batch in batches:
             raw, off = string_buffers(batch.column("text"))
             rows = []
-            for i, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ranges"), strict=True)):
+            for i, (doc, ranges, most) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ranges"), batch.column("words").to_pylist(), strict=True)):
                 text = raw[off[i] : off[i + 1]]
                 edge = np.zeros(len(text) + 1, np.int64)
                 for r in ranges.as_py() or ():
@@ -278,23 +306,26 @@ def cutter(length: int, keep: bool):
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                 left = text[~gone].tobytes()
-                rows.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep else None))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+                rows.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), int(spans > 0 or (most or 0) > PASSAGE_WORDS), left if keep else None))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return cut
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
-    """Each row's bytes, removed bytes and runs, and what is left (its SHA-256; the bytes if keep)."""
-    texts = text_only(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = staged(marks(texts.select("row", "text"), length, gram), "marks")
-    found = found.distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return texts.join(found, "row", "left").select("doc_id", "text", "ranges").mapInArrow(cutter(length, keep), RESULT)
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True, passages: bool = True) -> DataFrame:
+    """Each row's bytes, removed bytes and runs, what is left (its SHA-256; the bytes if keep), and whether it shares a
+    passage (some bytes were removed, or a shorter match of more than PASSAGE_WORDS words was met)."""
+    texts = staged(text_only(docs).withColumn("row", F.monotonically_increasing_id()), "texts")  # written, so ids stay
+    found = marks(texts.select("row", "text"), length, gram, passages)
+    span = F.struct("first", "last")
+    found = found.groupBy("row").agg(F.collect_set(F.when(F.col("last") >= F.col("first"), span)).alias("ranges"), F.max("words").alias("words"))
+    return texts.join(found, "row", "left").select("doc_id", "text", "ranges", "words").mapInArrow(cutter(length, keep), RESULT)
 
 
 def op4_run_length_index(spark, sf_dir):
-    return without_repeats(documents(spark, sf_dir), keep=False).drop("kept")
+    """By the contract's bytes alone; shares_passage is the operator's."""
+    return without_repeats(documents(spark, sf_dir), keep=False, passages=False).drop("kept", "shares_passage")
 
 
 OP4_SQL = f"""
