@@ -479,21 +479,24 @@ def leaf_pairs(leaves: DataFrame, percent: int, span: int) -> DataFrame:
 
 def large_components(points: DataFrame, percent: int, leaf: int, span: int) -> DataFrame | None:
     """(node, comp) of the sets (family, sid, items) of large families; None if nothing is linked."""
-    comps, now, found = None, points, None
+    comps, now, size = None, points.select("sid"), points.count()
 
     def grown(links: DataFrame) -> DataFrame:
         return staged(components(links if comps is None else links.union(comps), "leaf-components"), "large-components")
 
     while True:
-        leaves = leafed(now, comps, leaf, span)
+        leaves = leafed(points.join(now, "sid", "left_semi"), comps, leaf, span)
         found = staged(leaves.mapInArrow(leaf_joiner(percent, False), "a long, b long"), "leaf-links")
         drop_staged(leaves)
         if found.isEmpty():
             break
         comps = grown(found)
-        # of each component its least set and one in SPAN of the rest go on; crowds of near copies collapse so
+        # of each component its least set and one in `span` of the rest go on; crowds of near copies collapse so
         of = now.join(comps.withColumnsRenamed({"node": "sid"}), "sid", "left")
-        now = of.where(F.col("comp").isNull() | (F.col("comp") == F.col("sid")) | (F.pmod(F.xxhash64("sid", "comp"), F.lit(span)) == 0)).drop("comp")
+        now = staged(of.where(F.col("comp").isNull() | (F.col("comp") == F.col("sid")) | (F.pmod(F.xxhash64("sid", "comp"), F.lit(span)) == 0)).select("sid"), "leaf-heads")
+        before, size = size, now.count()
+        if 2 * size > before:  # most are components of their own; the descent below is complete without more rounds
+            break
     leaves = leafed(points, comps, leaf, span)
     if not leaves.isEmpty():
         pairs = leaf_pairs(leaves, percent, span)
