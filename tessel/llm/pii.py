@@ -152,7 +152,7 @@ def features(kind: str, c: Column) -> dict[str, Column]:
         "luhn": F.coalesce(_luhn(F.regexp_replace(text, r"[^0-9]", "")), F.lit(False)).cast("int"),
         "groups": F.size(F.split(text, r"[ ._/:-]")),
         "written": hit(r"(?i)(?<![A-Za-z])dot(?![A-Za-z])", text),
-        "spaced": hit(r"\. [A-Za-z]", text),
+        "spaced": hit(r"[a-z]\. [A-Z]", text),
         "nought": hit(r"^\(?0", text),
         "mixed": F.size(F.split(text, r"(?<=[0-9])(?=[A-Za-z])")),
         "hex": hit(r"^[0-9A-Fa-f]+$", text),

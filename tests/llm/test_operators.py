@@ -386,7 +386,7 @@ def test_added_spans_are_what_trees_and_greedy_order_select(spark):
                 last = end
                 hit = lambda p, s: int(bool(java(p).search(s)))
                 digits = re.sub("[^0-9]", "", c)
-                x = [len(c), len(digits), len(re.sub("[^A-Za-z]", "", c)), len(re.sub("[^ ._/:-]", "", c)), hit(r"[\[({<]", c), int(luhn(digits)), len(re.split("[ ._/:-]", c)), hit(r"(?i)(?<![A-Za-z])dot(?![A-Za-z])", c), hit(r"\. [A-Za-z]", c), hit(r"^\(?0", c), len(re.split(r"(?<=[0-9])(?=[A-Za-z])", c)), hit(r"^[0-9A-Fa-f]+$", c), hit(pii._HINTS[kind], before), hit(pii._AGAINST, before), hit(r"[=:] ?[\x22']?$", before), hit(r"[A-Za-z0-9_#/.-]$", before), hit(r"^[A-Za-z0-9_#=:/-]", after), hit(r"^(?:[\s.,;)\x22']|$)", after)]
+                x = [len(c), len(digits), len(re.sub("[^A-Za-z]", "", c)), len(re.sub("[^ ._/:-]", "", c)), hit(r"[\[({<]", c), int(luhn(digits)), len(re.split("[ ._/:-]", c)), hit(r"(?i)(?<![A-Za-z])dot(?![A-Za-z])", c), hit(r"[a-z]\. [A-Z]", c), hit(r"^\(?0", c), len(re.split(r"(?<=[0-9])(?=[A-Za-z])", c)), hit(r"^[0-9A-Fa-f]+$", c), hit(pii._HINTS[kind], before), hit(pii._AGAINST, before), hit(r"[=:] ?[\x22']?$", before), hit(r"[A-Za-z0-9_#/.-]$", before), hit(r"^[A-Za-z0-9_#=:/-]", after), hit(r"^(?:[\s.,;)\x22']|$)", after)]
                 score = sum(0.4 * leaf_by_hand(t, x) for t in fitted[kind][0]) - fitted[kind][1]
                 if score >= 0 and not any(a < end and start < e for a, _, e, _ in base):
                     ranked.append((-score, start, pii.ALL.index(kind), end, kind))
