@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
@@ -167,20 +167,105 @@ def ligand_efficiency() -> dict[str, Column]:
     return {"le": le, "lle": c("activity") - c("logp"), "lelp": F.try_divide(c("logp"), le), "bei": F.try_divide(1000.0 * c("activity"), c("mw")), "sei": F.try_divide(100.0 * c("activity"), c("tpsa"))}
 
 
-def aggregator_risk() -> Column:
-    """Sum of what lipophilicity, low polarity, stacking and weight add; from 0.6 high, from 0.3 moderate."""
-    return (
-        F.when(c("logp") > 4, 0.3).when(c("logp") > 3, 0.15).otherwise(0.0)
-        + F.when(c("tpsa") < 40, 0.2).otherwise(0.0)
-        + F.when(c("arom") >= 4, 0.2).when(c("arom") >= 3, 0.1).otherwise(0.0)
-        + F.when(c("mw") > 500, 0.1).otherwise(0.0)
-    )
+# Factors of aggregation risk: what is added from which bound on, the highest that holds.
+RISK_FACTORS = (
+    ("logp", ">", ((4, 0.3), (3, 0.15))),
+    ("tpsa", "<", ((40, 0.2),)),
+    ("arom", ">=", ((4, 0.2), (3, 0.1))),
+    ("mw", ">", ((500, 0.1),)),
+)
+
+
+def aggregator_factors(scaffolds: Column) -> list[Column]:
+    """What six factors add: four descriptors, known scaffolds (two count at most), and conjugation."""
+    test = {">": lambda x, b: x > b, "<": lambda x, b: x < b, ">=": lambda x, b: x >= b}
+    out = []
+    for name, way, steps in RISK_FACTORS:
+        value = F.lit(0.0)
+        for bound, points in reversed(steps):
+            value = F.when(test[way](c(name), bound), F.lit(points)).otherwise(value)
+        out.append(value)
+    conjugated = (F.least(F.lit(1.0), F.try_divide(6.0 * c("arom"), c("heavy"))) > 0.7) & (c("heavy") > 20)
+    return [*out, F.least(scaffolds, F.lit(2)) * 0.2, F.when(conjugated, 0.15).otherwise(0.0)]
+
+
+def aggregator_risk(scaffolds: Column) -> dict[str, Column]:
+    """Risk (1 at most), its name, and the share of factors that add to it."""
+    parts = aggregator_factors(scaffolds)
+    risk = F.round(F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts)), 6)
+    return {"risk": F.round(risk, 2), "likelihood": F.when(risk >= 0.6, "high").when(risk >= 0.3, "moderate").otherwise("low"), "confidence": F.round(count_true(*(p > 0 for p in parts)) / 6, 2)}
 
 
 def radar() -> dict[str, Column]:
     return {axis: desirability(esol() if name == "esol" else c(name), low, high) for axis, (name, low, high) in RADAR_AXES.items()}
 
 
+def radar_band(in_range: Column) -> Column:
+    return F.when(in_range == 6, "excellent").when(in_range >= 4, "good").when(in_range >= 2, "moderate").otherwise("poor")
+
+
+# The radar's reference profile.
+REFERENCE_PROFILE = {"logp": 2.5, "mw": 350.0, "tpsa": 75.0, "esol": -3.0, "fsp3": 0.35, "rotb": 5.0}
+
+
+def radar_comparison(df: DataFrame, *keys: str, places: int = 4) -> DataFrame:
+    """The rows' radar profiles, and the reference's (keys null)."""
+    own = df.select(*keys, F.lit(False).alias("is_reference"), *(F.round(v, places).alias(a) for a, v in radar().items()))
+    at = {a: desirability(F.lit(REFERENCE_PROFILE[n]), low, high) for a, (n, low, high) in RADAR_AXES.items()}
+    kinds = dict(df.dtypes)
+    reference = df.sparkSession.range(1).select(*(F.lit(None).cast(kinds[k]).alias(k) for k in keys), F.lit(True).alias("is_reference"), *(F.round(v, places).alias(a) for a, v in at.items()))
+    return own.union(reference)
+
+
+# Points of natural-product likeness by feature, the first interval that holds; and names of its bands.
+INF = float("inf")
+LIKENESS = {
+    "ring_share": ((0.2, 0.6, 0.5), (0.6, INF, -0.3)),
+    "oxygen_share": ((0.1, 0.5, 0.5), (0.5, INF, 0.3)),
+    "fsp3": ((0.4, INF, 0.5), (0.25, INF, 0.3), (-INF, INF, -0.2)),
+    "chiral": ((2.5, INF, 0.5), (0.5, INF, 0.2)),
+    "mw": ((200, 800, 0.3), (-INF, 150, -0.2)),
+}
+LIKENESS_BANDS = ((2.0, "strongly natural"), (1.0, "natural"), (0.3, "moderately natural"), (-0.3, "mixed"), (-1.0, "moderately synthetic"), (-2.0, "synthetic"))
+
+
+def likeness() -> Column:
+    """Natural-product likeness from features (ring_share, oxygen_share and nitrogen_share to carbon, halogens, fsp3,
+    chiral, mw), within 3 of 0. An interval that starts at another's end is open there."""
+    total = F.when(c("nitrogen_share") > 0.3, -0.3).otherwise(0.0) - 0.3 * F.least(c("halogens"), F.lit(3))
+    for name, rows in LIKENESS.items():
+        points = F.lit(0.0)
+        for low, high, p in reversed(rows):
+            closed = name in ("ring_share", "oxygen_share", "mw") and (low, high, p) == rows[0]
+            inside = (c(name) >= low) & (c(name) <= high) if closed else (c(name) > low) & (c(name) < high)
+            points = F.when(inside, p).otherwise(points)
+        total = total + points
+    return F.round(clamp(total * 1.5, -3.0, 3.0), 6)
+
+
+def likeness_band(score: Column) -> Column:
+    out = F.lit("strongly synthetic")
+    for bound, name in reversed(LIKENESS_BANDS):
+        out = F.when(score >= bound, name).otherwise(out)
+    return F.when(score.isNotNull(), out)
+
+
+def density_points(on: Column, width: Column) -> Column:
+    """5 for a fingerprint with 1 to 30 % of its bits on, less in proportion below, and down to 0 at 45 % above."""
+    d = F.try_divide(on.cast("double"), width)
+    return F.when(d.between(0.01, 0.30), 5.0).when(d < 0.01, F.round(5.0 * (d / 0.01), 2)).when(d <= 0.45, F.round(5.0 * (1.0 - (d - 0.30) / 0.15), 2)).otherwise(0.0)
+
+
+def contributions(df: DataFrame, key: str, parts: str, scores: DataFrame, most: int = 5) -> DataFrame:
+    """Of rows with an array of parts, and scores (part, group, score): total, parts known, groups' sums (largest first) and
+    the parts of most weight, by size of score."""
+    each = df.select(key, F.explode(parts).alias("part")).join(scores, "part")
+    groups = each.groupBy(key, "group").agg(F.round(F.sum("score"), 4).alias("sum"))
+    ranked = groups.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("sum")).alias("o"), "group", "sum"))), lambda g: F.concat_ws(":", g["group"], F.format_number(g["sum"], 4))).alias("groups"))
+    whole = each.groupBy(key).agg(F.round(F.sum("score"), 4).alias("total"), F.count("*").alias("known"), F.slice(F.array_sort(F.collect_list(F.struct((-F.abs("score")).alias("o"), "part"))), 1, most).alias("top"))
+    return whole.join(ranked, key).select(key, "total", "known", F.array_join("groups", ",").alias("groups"), F.array_join(F.transform("top", lambda t: t["part"].cast("string")), ",").alias("top"))
+
+
 def in_ellipse(ellipse: tuple[float, float, float, float]) -> Column:
     x, y, a, b = ellipse
     return F.pow((c("tpsa") - x) / a, F.lit(2.0)) + F.pow((c("logp") - y) / b, F.lit(2.0)) <= 1
@@ -202,8 +287,8 @@ def unusual() -> dict[str, Column]:
 
 
 def readiness_properties() -> Column:
-    """Points of the property part, 35 at most."""
-    return reduce(lambda a, b: a + b, (F.coalesce(desirability(c(n), low, high), F.lit(0.0)) * points for n, (low, high, points) in READINESS.items()))
+    """Points of the property part, each property's to two places, 35 at most."""
+    return reduce(lambda a, b: a + b, (F.round(F.coalesce(desirability(c(n), low, high), F.lit(0.0)) * points, 2) for n, (low, high, points) in READINESS.items()))
 
 
 def accessibility_points(sa: Column) -> Column:

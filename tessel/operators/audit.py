@@ -62,8 +62,26 @@ def curated(df: DataFrame, index: str, issues: DataFrame) -> DataFrame:
     return df.join(own, index, "left").withColumn("issues", F.coalesce("issues", F.lit("")))
 
 
-def compared_sources(values: DataFrame, key: str) -> DataFrame:
-    """Verdict for each key over sources (source, value): consistent, minor (first characters agree), major, or no_data."""
-    agg = values.groupBy(key).agg(F.count("value").alias("sources"), F.count_distinct("value").alias("full"), F.count_distinct(F.substring("value", 1, 1)).alias("short"))
+def compared_sources(values: DataFrame, key: str, layer: int = 14) -> DataFrame:
+    """Verdict for each key over sources (source, value): consistent, minor (the first `layer` characters agree), major, or
+    no_data. 14 is the connectivity layer of a structure key."""
+    agg = values.groupBy(key).agg(F.count("value").alias("sources"), F.count_distinct("value").alias("full"), F.count_distinct(F.substring("value", 1, layer)).alias("short"))
     verdict = F.when(F.col("sources") < 2, "no_data").when(F.col("full") == 1, "consistent").when(F.col("short") == 1, "minor").otherwise("major")
     return agg.select(key, "sources", verdict.alias("verdict"))
+
+
+def column_sets(primary: DataFrame, comparison: DataFrame) -> DataFrame:
+    """Columns that both versions have, and those of either alone."""
+    a, b = primary.columns, comparison.columns
+    rows = [(n, "common" if n in b else "removed") for n in a] + [(n, "added") for n in b if n not in a]
+    return primary.sparkSession.createDataFrame(rows, "name string, state string")
+
+
+def dataset_audit(df: DataFrame, parsed: Column, complete: Column, key: Column, flagged: Column, stable: Column, value: str, numeric_share: float = 0.8) -> DataFrame:
+    """The stages of a dataset's audit in one row: health, contradictory labels of `value`, and columns that read as numbers."""
+    score = health(df, parsed, complete, key, flagged, stable)
+    keyed = df.withColumn("_key", key)
+    clashes = contradictory_labels(keyed, "_key", value).agg(F.count("*").alias("contradictions"), F.max("fold").alias("worst_fold"))
+    shares = df.agg(*(F.avg(F.when(F.col(n).isNotNull(), F.col(n).cast("string").try_cast("double").isNotNull().cast("int"))).alias(n) for n in df.columns))
+    numeric = shares.select(F.array_join(F.filter(F.array(*(F.when(F.col(f"`{n}`") > numeric_share, F.lit(n)) for n in df.columns)), lambda x: x.isNotNull()), ",").alias("numeric"))
+    return score.join(F.broadcast(clashes)).join(F.broadcast(numeric))  # one row each

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessel.operators import ordering
 
 
 def normalized(text: Column) -> Column:
@@ -15,7 +16,7 @@ def normalized(text: Column) -> Column:
 LEVELS = {
     "exact": lambda t: t,
     "normalized": normalized,
-    "prefix": lambda t: F.substring(normalized(t), 1, 64),
+    "words": lambda t: F.array_join(F.array_sort(F.array_distinct(F.split(normalized(t), " "))), " "),
     "letters": lambda t: F.regexp_replace(F.lower(t), r"[^a-z]+", ""),
 }
 
@@ -28,30 +29,24 @@ def by_level(df: DataFrame, index: str, text: str, levels: list[str] | None = No
 
 
 def level_totals(df: DataFrame, index: str, text: str) -> DataFrame:
-    """Groups, duplicates and unique rows at each level."""
-    total = df.where(F.col(text).isNotNull()).count()
-    groups = by_level(df, index, text).groupBy("level").agg(F.count("*").alias("groups"), F.sum(F.col("members") - 1).alias("duplicates"))
-    return groups.withColumn("unique_rows", F.lit(total) - F.col("duplicates"))
+    """Groups, duplicates and unique rows at each level, of one pass."""
+    rows = df.where(F.col(text).isNotNull())
+    keyed = F.array(*(F.struct(F.lit(n).alias("level"), F.sha2(of(F.col(text)), 256).alias("key")) for n, of in LEVELS.items()))
+    members = rows.select(F.explode(keyed).alias("k")).groupBy("k.level", "k.key").agg(F.count("*").alias("members"))
+    by = members.groupBy("level").agg(F.count_if(F.col("members") > 1).alias("groups"), F.sum(F.col("members") - 1).alias("duplicates"), F.sum("members").alias("total"))
+    return by.where("groups > 0").select("level", "groups", "duplicates", (F.col("total") - F.col("duplicates")).alias("unique_rows"))
 
 
 def annotated(df: DataFrame, index: str, text: str, level: str = "normalized") -> DataFrame:
-    """Each row's group (numbered by first appearance), its representative, the group's size, and whether it is a duplicate.
-
-    Rows without text are groups of their own. Groups are numbered by their representative's rank, in one ordered pass
-    over the groups' representatives.
-    """
+    """Each row's group (group_id, from 1 by first appearance), its representative, the group's size, and whether it is a
+    duplicate. Rows without text are groups of their own."""
     key = F.coalesce(F.sha2(LEVELS[level](F.col(text)), 256), F.concat(F.lit("row:"), F.col(index).cast("string")))
     rows = df.select(index, key.alias("key"))
-    groups = rows.groupBy("key").agg(F.min(index).alias("representative"), F.count("*").alias("members"))
-    return rows.join(groups, "key").select(index, "representative", "members", (F.col(index) != F.col("representative")).alias("duplicate"))
+    groups = ordering.numbered(rows.groupBy("key").agg(F.min(index).alias("representative"), F.count("*").alias("members")), ["representative"], "group_id", 1)
+    return rows.join(groups, "key").select(index, "group_id", "representative", "members", (F.col(index) != F.col("representative")).alias("duplicate"))
 
 
 def registration(df: DataFrame, parts: list[Column]) -> DataFrame:
     """Rows, distinct registration hashes, and hashes that several rows share."""
     hashed = df.select(F.sha2(F.concat_ws("|", *parts), 256).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
     return hashed.agg(F.sum("n").alias("total"), F.count("*").alias("unique_hashes"), F.count_if(F.col("n") > 1).alias("collisions"))
-
-
-def numbered(groups: DataFrame, order: str) -> DataFrame:
-    """Group numbers by order, for exports of few groups: the ranking needs one ordered pass over them."""
-    return groups.withColumn("group_id", F.row_number().over(Window.orderBy(order)))

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 500
+from tessel.sources.staging import small_enough
+
+#: Rules in one expression; more are a broadcast table of so many at most.
+MAX_RULES, BROADCAST_RULES = 500, 100_000
 RANK = {"critical": 2, "warning": 1, "info": 0}
 
 
@@ -27,12 +30,39 @@ class Rule:
 def hits(df: DataFrame, text: Column, rules: list[Rule], *keys: str) -> DataFrame:
     """A row for each rule that a row's text (lower-cased) matches."""
     if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    low = F.lower(text)
+        return table_hits(df, text, rule_table(df.sparkSession, rules), *keys)
+    df, low = df.select(*keys, F.lower(text).alias("_low")), F.col("_low")
     found = F.filter(F.array(*(F.when(low.rlike(r.pattern), F.struct(F.lit(r.name).alias("rule"), F.lit(r.group).alias("concern"), F.lit(r.severity).alias("severity"), F.lit(RANK[r.severity]).alias("rank"), F.lit(r.source).alias("source"))) for r in rules)), lambda x: x.isNotNull())
     return df.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
 
 
+RULE_SCHEMA = "rule string, pattern string, concern string, severity string, source string"
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.pattern, r.group, r.severity, r.source) for r in rules], RULE_SCHEMA)
+
+
+def table_hits(df: DataFrame, text: Column, rules: DataFrame, *keys: str) -> DataFrame:
+    """The same over a table of rules (RULE_SCHEMA), of BROADCAST_RULES at most: every row is read against every rule."""
+    if not small_enough(rules, BROADCAST_RULES):
+        raise ValueError(f"more than {BROADCAST_RULES} rules; screen them in parts")
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in RANK.items() for x in p)), F.col("severity")), F.lit(0))
+    return df.select(*keys, F.lower(text).alias("_low")).join(F.broadcast(rules), F.expr("_low rlike pattern")).select(*keys, "rule", "concern", "severity", rank.alias("rank"), "source")
+
+
+def categories(text: Column, table: list[tuple[str, str]]) -> Column:
+    """All categories whose pattern the text matches, in the order of the table."""
+    low = F.lower(text)
+    return F.filter(F.array(*(F.when(low.rlike(p), F.lit(c)) for p, c in table)), lambda x: x.isNotNull())
+
+
+def category_counts(df: DataFrame, text: Column, table: list[tuple[str, str]], none: str = "unclassified") -> DataFrame:
+    """Rows of each category; a row counts in each of its own, so the sum may exceed the rows."""
+    found = categories(text, table)
+    return df.select(F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(none)))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
 def unified(found: DataFrame, key: str) -> DataFrame:
     """Hits of a row, alike ones (concern and name) merged over sources: counts, sources, worst severity."""
     name = F.regexp_replace(F.lower("rule"), "[ -]", "_")

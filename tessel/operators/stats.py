@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessel.operators import ordering
 
 
 def batch_statistics(rows: DataFrame) -> DataFrame:
@@ -29,10 +28,9 @@ def unpivoted(df: DataFrame, names: list[str], *keys: str) -> DataFrame:
 
 def property_stats(df: DataFrame, names: list[str], at_least: int = 2) -> DataFrame:
     """Count, mean, median, deviation, quartiles and range of each column (exact quantiles)."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = unpivoted(df, names).where("value is not null").groupBy("property").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("q"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
+    long = unpivoted(df, names).where("value is not null")
+    out = long.groupBy("property").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    out = out.join(ordering.quantiles(long, ["property"], "value", (0.25, 0.5, 0.75)).drop("n"), "property")  # a row for each property
     return out.where(F.col("n") >= at_least).select("property", "n", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "low", "high")
 
 
@@ -51,11 +49,10 @@ def pearson(df: DataFrame, names: list[str], at_least: int = 10) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, value: str, by: list[str], keys: list[str], at_least: int = 4) -> DataFrame:
     """Rows strictly beyond 1.5 interquartile ranges of their group's quartiles. Groups' fences are joined back."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    fences = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), q.alias("q")).where(F.col("n") >= at_least)
+    fences = ordering.quantiles(df, by, value, (0.25, 0.75)).where(F.col("n") >= at_least)
     reach = 1.5 * (F.col("q")[1] - F.col("q")[0])
     fences = fences.select(*by, (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
-    return df.join(fences, by).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).select(*keys, *by, value, "low", "high")
+    return ordering.with_groups(df, fences, by).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).select(*keys, *by, value, "low", "high")
 
 
 def entropy(counts: DataFrame) -> DataFrame:
@@ -85,11 +82,24 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 20
     return every.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))  # at most `bins` rows
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """df with rank (1 for a key's first row) and first (that row's first order column)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("first", F.first(order[0]).over(w))
+def against_reference(counts: DataFrame, reference: DataFrame) -> DataFrame:
+    """A histogram's bins (bin, n) beside a reference distribution's (bin, share): own share, expected share, difference."""
+    total = counts.agg(F.sum("n").alias("total"))
+    both = counts.join(reference, "bin", "left").join(F.broadcast(total))  # one row
+    own = F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0))
+    return both.select("bin", "n", F.round(own, 6).alias("share"), F.coalesce("share", F.lit(0.0)).alias("expected"), F.round(own - F.coalesce("share", F.lit(0.0)), 6).alias("gap"))
 
 
-def all_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests)
+def report_statistics(rows: DataFrame) -> DataFrame:
+    """Totals by the null rules of the two written reports. rows: status, score, ml.
+
+    One averages scores that are there, whatever the row's status, and is null without any; the other averages over the
+    successful rows, a missing score counting as 0, and is 0 without any.
+    """
+    ok = F.col("status") == "success"
+    n = F.count_if(ok)
+    per = lambda c: F.coalesce(F.try_divide(F.sum(F.when(ok, F.coalesce(c, F.lit(0))).cast("double")), n), F.lit(0.0))
+    return rows.agg(
+        F.count("*").alias("total"), n.alias("successful"), (F.count("*") - n).alias("errors"),
+        F.round(F.avg("score"), 6).alias("page_score"), F.round(F.avg("ml"), 6).alias("page_ml"), F.round(per("score"), 6).alias("sheet_score"), F.round(per("ml"), 6).alias("sheet_ml"),
+    )

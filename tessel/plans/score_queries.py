@@ -17,6 +17,10 @@ def _rows(spark, sf_dir):
     return D.from_lineitem(table(spark, sf_dir, "lineitem"))
 
 
+def _in_range():
+    return S.count_true(*(v >= 1.0 for v in S.radar().values()))
+
+
 def _over(columns):
     """A query over descriptors. columns() gives (column, decimals if any) by name; columns need a session, so later."""
     return lambda spark, sf_dir: _rows(spark, sf_dir).select(*D.KEYS, *(F.round(v, r[0]).alias(k) if r else v.alias(k) for k, (v, *r) in columns().items()))
@@ -34,8 +38,8 @@ QUERIES = {
     "abbott_skin": _over(lambda: dict(abbott=(S.abbott(),), logp=(S.consensus_logp(), 6), log_kp=(S.skin_permeation(), 6), skin=(S.banded(S.skin_permeation(), (-6, "low"), (-4, "moderate"), last="high"),))),
     "safety_rules": _over(lambda: dict(herg=(S.herg().cast("long"),), herg_risk=(F.when(S.herg() <= 1, "low").when(S.herg() == 2, "moderate").otherwise("high"),), bro5=(F.coalesce(S.beyond_five_violations(), F.lit(-1)).cast("long"),), reos=(S.reos_violations().cast("long"),))),
     "ligand_efficiency": _over(lambda: dict(**{k: (v, 6) for k, v in S.ligand_efficiency().items()})),
-    "aggregator_risk": _over(lambda: dict(risk=(S.aggregator_risk(), 4))),
-    "radar_axes": _over(lambda: dict(**{k: (v, 6) for k, v in S.radar().items()}, in_range=(S.count_true(*(v >= 1.0 for v in S.radar().values())).cast("long"),))),
+    "aggregator_risk": _over(lambda: {k: (v,) for k, v in S.aggregator_risk(F.pmod("hba", F.lit(4))).items()}),
+    "radar_axes": _over(lambda: dict(**{k: (v, 6) for k, v in S.radar().items()}, in_range=(_in_range().cast("long"),), band=(S.radar_band(_in_range()),))),
     "boiled_egg": _over(lambda: dict(region=(S.egg_region(),))),
     "unusual_properties": _over(lambda: {n: (v,) for n, v in S.unusual().items()} | {"n_unusual": (S.count_true(*(v != "within" for v in S.unusual().values())).cast("long"),)}),
     "readiness": _over(lambda: dict(properties=(S.readiness_properties(), 4), accessibility=(S.accessibility_points(F.col("sa")), 4), stereo=(S.stereocentre_points(F.col("hba"), F.col("hbd")), 4), label=(S.labelled(S.readiness_properties() * 100 / 35),), flatness=(S.flatness(F.col("fsp3")),))),
@@ -56,7 +60,7 @@ _ESOL = "(0.16::DOUBLE - 0.63::DOUBLE * logp - 0.0062::DOUBLE * mw + 0.066::DOUB
 _HERG = "((logp > 3.7)::INT + (mw > 250 AND mw < 500)::INT + (tpsa < 75)::INT + basic_n::INT)"
 _SKIN = "(-2.71::DOUBLE + 0.71::DOUBLE * logp - 0.0061::DOUBLE * mw)"
 _AXES = {a: _des("esol" if n == "esol" else n, low, high) for a, (n, low, high) in S.RADAR_AXES.items()}
-_READY = "(" + " + ".join(f"{_des(n, lo, hi)} * {pts}" for n, (lo, hi, pts) in S.READINESS.items()) + ")"
+_READY = "(" + " + ".join(f"round({_des(n, lo, hi)} * {pts}, 2)" for n, (lo, hi, pts) in S.READINESS.items()) + ")"
 _unit = lambda x: f"least(greatest({x}, 0.0), 1.0)"
 _ell = lambda e: f"(power((tpsa - {e[0]}) / {e[1 + 1]}, 2) + power((logp - {e[1]}) / {e[3]}, 2) <= 1)"
 
@@ -93,9 +97,12 @@ ORACLE_SQL = {
     + """round(1.4::DOUBLE * activity / nullif(heavy, 0), 6) AS le, round(activity - logp, 6) + 0.0::DOUBLE AS lle, round(logp / nullif(1.4::DOUBLE * activity / heavy, 0), 6) + 0.0::DOUBLE AS lelp,
       round(1000.0::DOUBLE * activity / nullif(mw, 0), 6) AS bei, round(100.0::DOUBLE * activity / nullif(tpsa, 0), 6) AS sei FROM descriptors""",
     "aggregator_risk": _D
-    + """round((CASE WHEN logp > 4 THEN 0.3 WHEN logp > 3 THEN 0.15 ELSE 0.0 END)::DOUBLE + (CASE WHEN tpsa < 40 THEN 0.2 ELSE 0.0 END)::DOUBLE
-      + (CASE WHEN arom >= 4 THEN 0.2 WHEN arom >= 3 THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN mw > 500 THEN 0.1 ELSE 0.0 END)::DOUBLE, 4) AS risk FROM descriptors""",
-    "radar_axes": f"WITH {D.SQL}, more AS (SELECT *, {_ESOL} AS esol FROM descriptors) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({x}, 6) AS {a}" for a, x in _AXES.items()) + ", (" + " + ".join(f"({x} >= 1.0)::BIGINT" for x in _AXES.values()) + ")::BIGINT AS in_range FROM more",
+    + """round(risk, 2) AS risk, CASE WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.3 THEN 'moderate' ELSE 'low' END AS likelihood, round(n / 6.0::DOUBLE, 2) AS confidence FROM (SELECT l_orderkey, l_linenumber,
+      round(least(1.0, (CASE WHEN logp > 4 THEN 0.3 WHEN logp > 3 THEN 0.15 ELSE 0.0 END)::DOUBLE + (CASE WHEN tpsa < 40 THEN 0.2 ELSE 0.0 END)::DOUBLE
+      + (CASE WHEN arom >= 4 THEN 0.2 WHEN arom >= 3 THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN mw > 500 THEN 0.1 ELSE 0.0 END)::DOUBLE + least(hba % 4, 2) * 0.2::DOUBLE
+      + (CASE WHEN least(1.0, 6.0::DOUBLE * arom / heavy) > 0.7 AND heavy > 20 THEN 0.15 ELSE 0.0 END)::DOUBLE), 6) AS risk,
+      (logp > 3)::INT + (tpsa < 40)::INT + (arom >= 3)::INT + (mw > 500)::INT + (hba % 4 > 0)::INT + (least(1.0, 6.0::DOUBLE * arom / heavy) > 0.7 AND heavy > 20)::INT AS n FROM descriptors)""",
+    "radar_axes": f"WITH {D.SQL}, more AS (SELECT *, {_ESOL} AS esol FROM descriptors) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({x}, 6) AS {a}" for a, x in _AXES.items()) + ", (" + " + ".join(f"({x} >= 1.0)::BIGINT" for x in _AXES.values()) + ")::BIGINT AS in_range, CASE WHEN in_range = 6 THEN 'excellent' WHEN in_range >= 4 THEN 'good' WHEN in_range >= 2 THEN 'moderate' ELSE 'poor' END AS band FROM more",
     "boiled_egg": _D + f"CASE WHEN {_ell(S.BRAIN)} THEN 'yolk' WHEN {_ell(S.GUT)} THEN 'white' ELSE 'grey' END AS region FROM descriptors",
     "unusual_properties": _D + ", ".join(f"CASE WHEN {n} < {lo} THEN 'below' WHEN {n} > {hi} THEN 'above' ELSE 'within' END AS {n}" for n, (lo, hi) in S.PERCENTILES.items()) + ", (" + " + ".join(f"(NOT {n} BETWEEN {lo} AND {hi})::BIGINT" for n, (lo, hi) in S.PERCENTILES.items()) + ")::BIGINT AS n_unusual FROM descriptors",
     "readiness": _D

@@ -109,8 +109,8 @@ def curated_rows(spark, sf_dir):
 
 
 def funnel_rows(spark, sf_dir, preset="drug_like"):
-    rows = D.from_lineitem(lines(spark, sf_dir)).withColumn("key", F.pmod("l_orderkey", F.lit(1000)) * 8 + c("l_linenumber"))
-    return funnel.filtered(rows, funnel.PRESETS[preset], c("heavy") > 6, c("charge") < 2, (c("hba") == 13).cast("int"), ["key"], ["l_orderkey", "l_linenumber"])
+    rows = D.from_lineitem(lines(spark, sf_dir)).withColumn("key", F.pmod("l_orderkey", F.lit(1000)) * 8 + c("l_linenumber")).withColumn("index", c("l_orderkey") * 8 + c("l_linenumber"))
+    return funnel.filtered(rows, funnel.PRESETS[preset], c("heavy") > 6, c("charge") < 2, (c("hba") == 13).cast("int"), ["key"], "index", c("qed"))
 
 
 RULES = [
@@ -206,13 +206,13 @@ QUERIES = {
     "diff_counts": lambda s, d: audit.diff_counts(dataset_diff(s, d)),
     "health_score": health_score,
     "curated_rows": curated_rows,
-    "funnel_stages": lambda s, d: funnel.stage_counts(funnel_rows(s, d)),
+    "funnel_stages": lambda s, d: funnel.stage_counts(funnel_rows(s, d), funnel.ALL_STAGES),
     "funnel_molecules": lambda s, d: funnel_rows(s, d, "fragment_like").select("l_orderkey", "l_linenumber", F.coalesce("stage", F.lit("passed")).alias("stage"), F.coalesce("reason", F.lit("")).alias("reason")),
     "qsar_steps": lambda s, d: funnel.stepped(documents(s, d), "text").select("doc_id", F.explode("steps").alias("x")).select("doc_id", "x.step", "x.status"),
     "qsar_summary": lambda s, d: funnel.stepped(documents(s, d), "text").select(F.explode("steps").alias("x")).groupBy("x.step", "x.status").agg(F.count("*").alias("n")),
     "rule_screen": lambda s, d: screen.hits(documents(s, d), c("text"), RULES, "doc_id").select("doc_id", "rule", "concern", "severity", "source"),
     "concern_groups": lambda s, d: screen.unified(screen.hits(documents(s, d), c("text"), RULES, "doc_id"), "doc_id"),
-    "taxonomy_counts": lambda s, d: documents(s, d).select(screen.first_category(c("text"), TOPICS, "other").alias("topic")).groupBy("topic").agg(F.count("*").alias("n")),
+    "taxonomy_counts": lambda s, d: screen.category_counts(documents(s, d), c("text"), TOPICS),
     "suspicious_scan": lambda s, d: screen.suspicious(table(s, d, "pages"), c("html"), "page_id"),
     "identifier_types": identifiers,
     "layer_diff": layer_diff,
@@ -224,7 +224,7 @@ QUERIES = {
 }
 
 _NORM = r"regexp_replace(lower(trim(text)), '[ \t\n\r\f\x0B]+', ' ', 'g')"
-_LEVELS = {"exact": "text", "normalized": _NORM, "prefix": f"substr({_NORM}, 1, 64)", "letters": "regexp_replace(lower(text), '[^a-z]+', '', 'g')"}
+_LEVELS = {"exact": "text", "normalized": _NORM, "words": f"array_to_string(list_sort(list_distinct(string_split({_NORM}, ' '))), ' ')", "letters": "regexp_replace(lower(text), '[^a-z]+', '', 'g')"}
 _GROUPS = " UNION ALL ".join(f"SELECT '{n}' AS level, sha256({e}) AS key, min(doc_id) AS representative, count(*)::BIGINT AS members FROM documents WHERE text IS NOT NULL GROUP BY 2 HAVING count(*) > 1" for n, e in _LEVELS.items())
 _q = lambda n, p: f"quantile_cont({n}, {p})"
 _PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
@@ -239,12 +239,14 @@ _DIFF = """
 """
 
 
-def _funnel(cfg):
-    rings = f"WHEN rings > {cfg.max_rings} THEN 'property:rings' " if cfg.max_rings is not None else ""
-    return f"""WITH {D.SQL}, judged AS (SELECT *, (l_orderkey % 1000) * 8 + l_linenumber AS key, CASE WHEN NOT heavy > 6 THEN 'parse:not parsed' WHEN NOT charge < 2 THEN 'valence:valence' WHEN hba = 13 THEN 'alerts:alert match'
-      WHEN NOT mw BETWEEN {cfg.min_mw} AND {cfg.max_mw} THEN 'property:mw' WHEN NOT logp BETWEEN {cfg.min_logp} AND {cfg.max_logp} THEN 'property:logp' WHEN tpsa > {cfg.max_tpsa} THEN 'property:tpsa'
-      WHEN rotb > {cfg.max_rotb} THEN 'property:rotb' {rings}WHEN sa > {cfg.max_sa} THEN 'sa:sa' END AS r FROM descriptors),
-    final AS (SELECT l_orderkey, l_linenumber, CASE WHEN r IS NOT NULL THEN r WHEN row_number() OVER (PARTITION BY key, r ORDER BY l_orderkey, l_linenumber) > 1 THEN 'dedup:duplicate' ELSE 'passed:' END AS r FROM judged)"""
+def _funnel(bounds):
+    beyond = lambda n, low, high: " OR ".join([*([f"{n} < {low}"] if low is not None else []), *([f"{n} > {high}"] if high is not None else [])])
+    tests = " ".join(f"WHEN {beyond(n, *b)} THEN '{'sa:sa' if n == 'sa' else f'property:{n}'}'" for n, b in bounds.items())
+    return f"""WITH {D.SQL},
+    judged AS (SELECT *, (l_orderkey % 1000) * 8 + l_linenumber AS key, l_orderkey * 8 + l_linenumber AS index, CASE WHEN NOT heavy > 6 THEN 'parse:not parsed' WHEN NOT charge < 2 THEN 'valence:valence' WHEN hba = 13 THEN 'alerts:alert match'
+      {tests} END AS r, qed >= {funnel.NOVELTY} AS known FROM descriptors),
+    firsts AS (SELECT *, min(CASE WHEN r IS NULL THEN index END) OVER (PARTITION BY key) AS first FROM judged),
+    final AS (SELECT l_orderkey, l_linenumber, CASE WHEN r IS NOT NULL THEN r WHEN index <> first THEN 'dedup:Duplicate of row ' || (first + 1) WHEN known THEN 'novelty:known' ELSE 'passed:' END AS r FROM firsts)"""
 
 
 _HITS = " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, '{r.group}' AS concern, '{r.severity}' AS severity, '{r.source}' AS source, {screen.RANK[r.severity]} AS rank FROM documents WHERE regexp_matches(lower(text), '{r.pattern}')" for r in RULES)
@@ -282,7 +284,7 @@ ORACLE_SQL = {
     "subset_reindex": "SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::INTEGER AS new_index FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)",
     "dedup_groups": _GROUPS,
     "dedup_all_levels": f"SELECT level, count(*) AS groups, sum(members - 1)::BIGINT AS duplicates, (SELECT count(*) FROM documents WHERE text IS NOT NULL) - sum(members - 1)::BIGINT AS unique_rows FROM ({_GROUPS}) GROUP BY 1",
-    "dedup_annotate": f"SELECT doc_id, min(doc_id) OVER w AS representative, count(*) OVER w AS members, doc_id <> min(doc_id) OVER w AS duplicate FROM documents WINDOW w AS (PARTITION BY {_NORM})",
+    "dedup_annotate": f"WITH a AS (SELECT doc_id, min(doc_id) OVER w AS representative, count(*) OVER w AS members, doc_id <> min(doc_id) OVER w AS duplicate FROM documents WINDOW w AS (PARTITION BY {_NORM})) SELECT *, dense_rank() OVER (ORDER BY representative) AS group_id FROM a",
     "registration_collisions": f"SELECT sum(n)::BIGINT AS total, count(*) AS unique_hashes, count(*) FILTER (n > 1) AS collisions FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(concat_ws('|', {_NORM}, lang)))",
     "contradictory_labels": "SELECT l_partkey, count(*) AS entries, min(l_quantity) AS least, max(l_quantity) AS most, round(max(l_quantity) / greatest(min(l_quantity), 1e-10), 1) AS fold FROM lineitem WHERE l_quantity > 0 GROUP BY 1 HAVING count(*) >= 2 AND max(l_quantity) / greatest(min(l_quantity), 1e-10) > 10",
     "dataset_diff": f"WITH {_DIFF} SELECT * FROM named",
@@ -295,17 +297,17 @@ ORACLE_SQL = {
     "curated_rows": "SELECT doc_id, lang, array_to_string(list_sort(list_filter([CASE WHEN length(text) <= 100 THEN 'short' END, CASE WHEN regexp_matches(text, '[#*$%&]{3}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '[A-Z]{12}') THEN 'capitals' END], lambda x: x IS NOT NULL)), ',') AS issues FROM documents",
     "funnel_stages": _funnel(funnel.PRESETS["drug_like"])
     + ", n AS (SELECT i, s, (SELECT count(*) FROM final) AS total, (SELECT count(*) FROM final WHERE split_part(r, ':', 1) = s) AS gone FROM (VALUES "
-    + ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(funnel.STAGES))
+    + ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(funnel.ALL_STAGES))
     + ") v(i, s)), m AS (SELECT *, sum(gone) OVER (ORDER BY i) AS upto FROM n) SELECT i::BIGINT AS stage_index, s AS stage, (total - upto + gone)::BIGINT AS n_in, (total - upto)::BIGINT AS n_passed, gone AS n_rejected FROM m",
     "funnel_molecules": _funnel(funnel.PRESETS["fragment_like"]) + " SELECT l_orderkey, l_linenumber, split_part(r, ':', 1) AS stage, split_part(r, ':', 2) AS reason FROM final",
     "qsar_steps": f"WITH {_STEPS} SELECT * FROM steps",
     "qsar_summary": f"WITH {_STEPS} SELECT step, status, count(*) AS n FROM steps GROUP BY 1, 2",
     "rule_screen": f"SELECT doc_id, rule, concern, severity, source FROM ({_HITS})",
     "concern_groups": f"WITH h AS ({_HITS}), m AS (SELECT doc_id, concern, regexp_replace(lower(rule), '[ -]', '_', 'g') AS name, max(rank) AS rank, count(*) AS raw FROM h GROUP BY 1, 2, 3) SELECT doc_id, sum(raw)::BIGINT AS raw, count(*) AS deduped, count(DISTINCT concern) AS concerns, CASE max(rank) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS worst FROM m GROUP BY 1",
-    "taxonomy_counts": "SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{t}'" for p, t in TOPICS) + " ELSE 'other' END AS topic, count(*) AS n FROM documents GROUP BY 1",
+    "taxonomy_counts": "SELECT topic, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS topic FROM documents WHERE regexp_matches(lower(text), '{p}')" for p, t in TOPICS) + " UNION ALL SELECT 'unclassified' FROM documents WHERE NOT (" + " OR ".join(f"regexp_matches(lower(text), '{p}')" for p, _ in TOPICS) + ")) GROUP BY 1",
     "suspicious_scan": f"SELECT page_id, array_to_string(list_sort({_FOUND}), ',') AS findings, len({_FOUND}) AS n FROM pages",
     "identifier_types": f"WITH v AS (SELECT trim(p_name) AS t FROM part UNION ALL SELECT trim(url) FROM pages UNION ALL SELECT 'CHEMBL' || o_orderkey FROM orders UNION ALL SELECT c_custkey::VARCHAR FROM customer UNION ALL SELECT 'DB' || lpad(s_suppkey::VARCHAR, 5, '0') FROM supplier) SELECT CASE WHEN t = '' THEN 'name' {_IDENT} ELSE 'name' END AS type, count(*) AS n FROM v GROUP BY 1",
-    "layer_diff": """WITH p AS (SELECT page_id, list_filter(list_slice(string_split('x/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/'), 2, 1000), lambda x: x <> '') AS parts FROM pages),
+    "layer_diff": """WITH p AS (SELECT page_id, list_filter(string_split('x/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/')[2:], lambda x: x <> '') AS parts FROM pages),
       e AS (SELECT page_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM p),
       k AS (SELECT page_id, i, CASE WHEN regexp_matches(substr(part, 1, 1), '[A-Z0-9]') THEN 'formula' ELSE substr(part, 1, 1) END AS layer, CASE WHEN regexp_matches(substr(part, 1, 1), '[A-Z0-9]') THEN part ELSE substr(part, 2) END AS v FROM e),
       l AS (SELECT page_id, layer, arg_max(v, i) AS v FROM k GROUP BY 1, 2),
@@ -314,7 +316,7 @@ ORACLE_SQL = {
       f AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.layer, b.layer) AS layer, a.v AS x, b.v AS y FROM a FULL JOIN b ON a.pair = b.pair AND a.layer = b.layer)
       SELECT f.pair, layer, coalesce(x, '') AS left_value, coalesce(y, '') AS right_value, x IS NOT DISTINCT FROM y AS same FROM f JOIN ids USING (pair)""",
     "numeric_columns": "SELECT name, round(avg((try_cast(v AS DOUBLE) IS NOT NULL)::INT), 6) AS share, avg((try_cast(v AS DOUBLE) IS NOT NULL)::INT) > 0.8 AS numeric FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {n}::VARCHAR AS v FROM part" for n in ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + ") WHERE v IS NOT NULL AND v <> '' GROUP BY 1",
-    "cross_source_compare": "WITH v AS (SELECT c_nationkey AS nation, max(c_mktsegment) AS value FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, max(s_name) FROM supplier GROUP BY 1 UNION ALL SELECT n_nationkey, n_name FROM nation) SELECT nation, count(value) AS sources, CASE WHEN count(value) < 2 THEN 'no_data' WHEN count(DISTINCT value) = 1 THEN 'consistent' WHEN count(DISTINCT substr(value, 1, 1)) = 1 THEN 'minor' ELSE 'major' END AS verdict FROM v GROUP BY 1",
+    "cross_source_compare": "WITH v AS (SELECT c_nationkey AS nation, max(c_mktsegment) AS value FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, max(s_name) FROM supplier GROUP BY 1 UNION ALL SELECT n_nationkey, n_name FROM nation) SELECT nation, count(value) AS sources, CASE WHEN count(value) < 2 THEN 'no_data' WHEN count(DISTINCT value) = 1 THEN 'consistent' WHEN count(DISTINCT substr(value, 1, 14)) = 1 THEN 'minor' ELSE 'major' END AS verdict FROM v GROUP BY 1",
     "rate_limit_windows": "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2",
     "session_windows": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k",
     "eta_moving": "SELECT event_id, user_id, round(coalesce((event_id - first_value(event_id) OVER w)::DOUBLE / nullif(epoch(date_trunc('second', ts)) - first_value(epoch(date_trunc('second', ts))) OVER w, 0), 0), 8) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",

@@ -23,7 +23,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     counts = F.try_element_at(head, F.lit(4))
     parts = F.split(body, r"\n> +<")
     tag = lambda p: F.struct(F.regexp_extract(p, r"^([^>]*)>", 1).alias("k"), sanitized(F.trim(F.regexp_replace(F.regexp_replace(p, r"^[^>]*>[^\n]*\n", ""), r"\n+$", "")), 10_000).alias("v"))
-    tags = F.transform(F.slice(parts, 2, 10_000), tag)
+    tags = F.transform(F.slice(parts, F.lit(2), F.size(parts)), tag)
     last = F.filter(tags, lambda x, i: ~F.exists(F.slice(tags, i + 2, F.greatest(F.size(tags), F.lit(1))), lambda y: y["k"] == x["k"]))
     number = lambda at: F.trim(F.substring(counts, at, 3)).try_cast("int")
     error = F.when(~body.contains("M  END"), "no end of the connection table").when(number(1).isNull() | number(4).isNull(), "malformed counts line")

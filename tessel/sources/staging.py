@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (or a folder of our own where it is unset) and read again: cuts lineage."""
+    """df written under the folder of spark.checkpoint.dir and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
-        named = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{named.rstrip('/')}/tessel/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows; reads no more than that many and one."""
+    return df.limit(rows + 1).count() <= rows

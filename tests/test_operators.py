@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessel.functions import scoring, structures, text
-from tessel.operators import audit, checks, dedup, funnel, pairs, stats, view
+from tessel.operators import audit, checks, dedup, export_columns, flow, funnel, ordering, pairs, screen, stats, view
 
 
 def rows(spark, data, schema):
@@ -60,16 +60,17 @@ def test_identifiers_and_layers(spark):
 
 def test_dedup_levels_and_annotation(spark):
     df = rows(spark, [(0, "x"), (1, "y"), (2, " X"), (3, "x"), (4, None)], "i long, t string")
-    got = {r["i"]: (r["representative"], r["members"], r["duplicate"]) for r in dedup.annotated(df, "i", "t").collect()}
-    assert got == {0: (0, 3, False), 1: (1, 1, False), 2: (0, 3, True), 3: (0, 3, True), 4: (4, 1, False)}
+    got = {r["i"]: (r["group_id"], r["representative"], r["members"], r["duplicate"]) for r in dedup.annotated(df, "i", "t").collect()}
+    assert got == {0: (1, 0, 3, False), 1: (2, 1, 1, False), 2: (1, 0, 3, True), 3: (1, 0, 3, True), 4: (3, 4, 1, False)}
     totals = {r["level"]: r["unique_rows"] for r in dedup.level_totals(df, "i", "t").collect()}
-    assert totals == {"exact": 3, "normalized": 2, "prefix": 2, "letters": 2}
+    assert totals == {"exact": 3, "normalized": 2, "words": 2, "letters": 2}
 
 
 def test_funnel_counts_only_survivors_as_duplicates(spark):
     df = rows(spark, [(0, 300.0, "a", True), (1, 300.0, "a", True), (2, 900.0, "a", True), (3, 300.0, "b", False)], "i long, mw double, key string, ok boolean").selectExpr("*", "1D as logp", "50D as tpsa", "1 as rotb", "1 as rings", "2D as sa")
-    got = funnel.filtered(df, funnel.PRESETS["drug_like"], F.col("ok"), F.lit(True), F.lit(0), ["key"], ["i"])
+    got = funnel.filtered(df, funnel.PRESETS["drug_like"], F.col("ok"), F.lit(True), F.lit(0), ["key"], "i")
     assert {r["i"]: r["stage"] for r in got.collect()} == {0: None, 1: "dedup", 2: "property", 3: "parse"}
+    assert {r["i"]: r["reason"] for r in got.collect()} == {0: None, 1: "Duplicate of row 1", 2: "mw", 3: "not parsed"}
     assert [(r["n_in"], r["n_passed"]) for r in funnel.stage_counts(got).orderBy("stage_index").collect()] == [(4, 3), (3, 3), (3, 3), (3, 2), (2, 2), (2, 1)]
 
 
@@ -176,3 +177,114 @@ def test_structures_by_notation(spark):
     assert rows(spark, [("CC(=O)[O-].[Na+]",)], "smiles string").select(structures.parent(s)).first()[0] == "CC(=O)[O-]"
     failed = {(r["smiles"], r["name"]) for r in checks.issues(checks.checked(df, structures.checks()), "smiles").collect()}
     assert ("C1CC", "parsability") in failed and ("[NH4+].[Cl-]", "inorganic_filter") in failed and ("[2H]C([2H])O", "isotope_label_detection") in failed and ("CC(=O)Oc1ccccc1C(=O)O", "parsability") not in failed
+
+
+# --- rules against values worked out by hand
+
+
+def values(spark, column, rows_, schema):
+    return [r[0] for r in rows(spark, [(i, *r) for i, r in enumerate(rows_)], f"_i long, {schema}").orderBy("_i").select(column.alias("v")).collect()]
+
+
+def test_sources_agree_by_the_first_fourteen_characters(spark):
+    a, b, z = "ABCDEFGHIJKLMN-OPQ-R", "ABCDEFGHIJKLMN-XYZ-R", "ABCDEFGHIJKLMX-OPQ-R"
+    df = rows(spark, [(1, "x", a), (1, "y", a), (2, "x", a), (2, "y", b), (3, "x", a), (3, "y", z), (4, "x", a), (4, "y", None)], "k long, source string, value string")
+    assert {r["k"]: r["verdict"] for r in audit.compared_sources(df, "k").collect()} == {1: "consistent", 2: "minor", 3: "major", 4: "no_data"}
+
+
+def test_aggregation_risk_has_six_factors(spark):
+    at = [(4.5, 30.0, 4, 600.0, 26.0, 0), (3.5, 50.0, 3, 400.0, 40.0, 1), (1.0, 90.0, 0, 300.0, 20.0, 0), (5.0, 10.0, 5, 900.0, 30.0, 3)]
+    schema = "logp double, tpsa double, arom int, mw double, heavy double, scaffolds int"
+    got = rows(spark, at, schema).select(*(v.alias(n) for n, v in scoring.aggregator_risk(F.col("scaffolds")).items()), "mw").collect()
+    assert {r["mw"]: (r["risk"], r["likelihood"], r["confidence"]) for r in got} == {600.0: (0.95, "high", 0.83), 400.0: (0.45, "moderate", 0.5), 300.0: (0.0, "low", 0.0), 900.0: (1.0, "high", 1.0)}
+
+
+def test_likeness_points_density_and_bands(spark):
+    at = [(0.4, 0.3, 0.0, 0, 0.5, 3, 400.0), (0.7, 0.6, 0.4, 5, 0.1, 0, 100.0), (0.0, 0.0, 0.0, 0, 0.3, 1, 175.0)]
+    schema = "ring_share double, oxygen_share double, nitrogen_share double, halogens int, fsp3 double, chiral int, mw double"
+    assert values(spark, scoring.likeness(), at, schema) == [3.0, -2.4, 0.75]  # 2.3, -1.6 and 0.5 times 1.5, within 3
+    assert values(spark, scoring.likeness_band(F.col("x")), [(2.0,), (1.0,), (0.3,), (-0.3,), (-1.0,), (-2.0,), (-2.1,)], "x double") == ["strongly natural", "natural", "moderately natural", "mixed", "moderately synthetic", "synthetic", "strongly synthetic"]
+    assert values(spark, scoring.density_points(F.col("on"), F.lit(1000)), [(5,), (10,), (300,), (375,), (450,), (600,)], "on int") == [2.5, 5.0, 5.0, 2.5, 0.0, 0.0]
+
+
+def test_radar_bands_and_reference(spark):
+    assert values(spark, scoring.radar_band(F.col("x")), [(6,), (5,), (4,), (3,), (2,), (1,)], "x int") == ["excellent", "good", "good", "moderate", "moderate", "poor"]
+    df = rows(spark, [(7, 2.5, 350.0, 75.0, 0.35, 5, 0, 20.0)], "k long, logp double, mw double, tpsa double, fsp3 double, rotb int, arom int, heavy double")
+    both = {r["is_reference"]: r for r in scoring.radar_comparison(df, "k").collect()}
+    assert both[True]["k"] is None and all(both[True][a] == 1.0 for a in scoring.RADAR_AXES) and both[False]["k"] == 7
+
+
+def test_names_formats_keys_and_severities(spark):
+    t = "t string"
+    assert values(spark, text.notation_or_name(F.col("t")), [("C(=O)O",), ("acetic acid",), ("aspirin",), ("2-methyl-propane",), ("CCO",), ("",), ("propan-2-ol",)], t) == ["smiles", "iupac", "iupac", "ambiguous", "ambiguous", "ambiguous", "iupac"]
+    assert values(spark, text.format_of(F.col("t")), [("InChI=1S/CH4",), ("a\nb",), ("x M  END",), (" CCO ",), ("",), (None,)], t) == ["inchi", "mol", "mol", "smiles", "unknown", "unknown"]
+    assert values(spark, text.column_name_ok(F.col("t")), [("a b",), ("x" * 257,), ("a;b",), ("a`b",), ("a\\b",), ("a/b",), ("",), (None,)], t) == [True, False, False, False, False, False, False, False]
+    assert values(spark, text.severity_of(F.col("t")), [("Beta_Lactam_A",), ("quinone",)], t) == ["critical", "warning"]
+    got = values(spark, text.piped(F.col("t")), [("NIBR|| name ||2||0||0",), ("NIBR||n||0",), ("NIBR||n||x",), ("plain",), ("a||b",)], t)
+    assert [tuple(g) for g in got] == [("name", "critical"), ("n", "info"), ("n", "warning"), ("plain", "warning"), ("a||b", "warning")]
+    import hashlib
+
+    want = "batch:view:7:" + hashlib.md5(b"success|None|score").hexdigest()[:12]
+    assert values(spark, text.view_key(F.lit("7"), F.lit("success"), F.lit(None), F.lit("score")), [("",)], t) == [want]
+
+
+def test_curation_filter_and_duplicates(spark):
+    df = rows(spark, [(2, 30.0, True), (101, 900.0, True), (20, 1500.5, True), (20, 200.0, False), (20, 1500.0, True)], "heavy int, mw double, carbon boolean")
+    got = [r[0] for r in df.select(funnel.composition_reason()).collect()]
+    assert got == ["Too few heavy atoms: 2 < 3 (minimum)", "Too many heavy atoms: 101 > 100 (maximum)", "Molecular weight too high: 1500.5 > 1500.0 (maximum)", "No carbon atoms found (inorganic molecule rejected)", None]
+    df = rows(spark, [(0, "a", False), (1, "a", True), (2, "a", True), (3, None, True)], "i long, k string, ok boolean")
+    assert {r["i"]: (r["status"], r["reason"]) for r in funnel.first_kept(df, F.col("ok"), "k", "i").collect()} == {0: ("rejected", None), 1: ("ok", None), 2: ("duplicate", "Duplicate of molecule 1 (index 1)"), 3: ("ok", None)}
+    assert "stereo" in funnel.CURATION_PRESETS["2d"] and "stereo" not in funnel.CURATION_PRESETS["3d"] and funnel.CURATION_PRESETS["minimal"] == ("desalt", "normalize")
+
+
+def test_sort_keys_keep_ties_in_order(spark):
+    df = rows(spark, [(0, "b", None), (1, "B", 2.0), (2, None, 2.0)], "index long, name string, score double")
+    order = lambda name, down: [r["index"] for r in view.sorted_page(df, name, "index", 1, 9, down).collect()]
+    assert order("name", False) == [2, 0, 1] and order("name", True) == [0, 1, 2] and order("score", True) == [1, 2, 0] and order("score", False) == [0, 1, 2]
+
+
+def test_rules_in_a_table_are_the_rules(spark):
+    rules = [screen.Rule(f"r{i}", f"w{i}$", "g", "critical" if i % 2 else "info") for i in range(7)]
+    df = rows(spark, [(i, f"x w{i}") for i in range(9)], "i long, t string")
+    plain = {tuple(r) for r in screen.hits(df, F.col("t"), rules, "i").collect()}
+    assert {tuple(r) for r in screen.table_hits(df, F.col("t"), screen.rule_table(spark, rules), "i").collect()} == plain and len(plain) == 7
+    assert screen.hits(df, F.col("t"), rules * 100, "i").count() == 700
+
+
+def test_quantiles_and_numbers_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    data = [(rng.choice("abc"), rng.choice([None, *range(40)])) for _ in range(500)] + [("d", 3), ("e", None)]
+    df = rows(spark, data, "g string, v int").repartition(4)
+    got = {r["g"]: (r["n"], list(r["q"])) for r in ordering.quantiles(df, ["g"], "v", (0.25, 0.5, 0.9)).collect()}
+    for g in "abcd":
+        own = [v for h, v in data if h == g and v is not None]
+        assert got[g][0] == len(own) and np.allclose(got[g][1], np.quantile(own, [0.25, 0.5, 0.9]))
+    assert "e" not in got
+    numbers = ordering.numbered(df.where("v is not null").withColumn("id", F.monotonically_increasing_id()), ["v", "id"], "n").orderBy("n").collect()
+    assert [r["n"] for r in numbers] == list(range(len(numbers))) and [r["v"] for r in numbers] == sorted(r["v"] for r in numbers)
+
+
+def test_coordinates_are_projections(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5)) * [5, 3, 1, 1, 1]
+    got = pairs.coordinates(rows(spark, [(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(3), "i", "v").orderBy("i").collect()
+    _, s, ways = np.linalg.svd(x - x.mean(0))
+    for k in (0, 1):
+        want = (x - x.mean(0)) @ (ways[k] * np.sign(ways[k][np.abs(ways[k]).argmax()]))
+        assert np.allclose([r[f"pc{k + 1}"] for r in got], want, atol=1e-3)
+
+
+def test_export_columns_and_flow(spark):
+    df = rows(spark, [(1, 0.0, 5.0, True), (2, 2.0, 5.0, None), (3, None, None, False)], "k long, a double, b double, ok boolean")
+    declared = [export_columns.Declared("s", "v", "a|b", "either"), export_columns.Declared("s", "ok", "ok", "verdict"), export_columns.Declared("t", "a", "a")]
+    assert sorted(tuple(r) for r in export_columns.flat_rows(df, declared, "k").collect()) == [(1, "5.0", "Pass", "0.0"), (2, "2.0", "N/A", "2.0"), (3, "", "Fail", "N/A")]
+    assert export_columns.nested_rows(df, declared, "k").schema["s"].dataType.names == ["v", "ok"]
+    assert {(r["header"], r["present"], r["passed"], r["failed"]) for r in export_columns.totals(df, declared).collect()} == {("v", 3, 0, 0), ("ok", 2, 1, 1), ("a", 2, 0, 0)}
+    checked = flow.processed(df, flow.Options([checks.Check("ok", "error", lambda: F.col("ok"))], rules=[screen.Rule("Five", "5", "g", source="n")], text="k"))
+    assert [r["score"] for r in checked.orderBy("k").collect()] == [100, 80, 80]
