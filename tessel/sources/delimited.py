@@ -9,6 +9,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessel.sources.staging import staged
 
 MAX_COLUMNS, PREVIEW = 1000, 5
 # Column names that hold structures and names, in order of preference, and words that only headers have.
@@ -91,16 +94,16 @@ def _distinct(names: tuple[str, ...]) -> list[str]:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with index: 0-based, in the order of files and lines. Sizes of partitions (a row each) are summed apart."""
-    marked = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    sizes = sorted((r[0], r[1]) for r in marked.groupBy("_part").agg(F.count("*")).collect())
-    before, total = {}, 0
-    for part, n in sizes:
-        before[part], total = total, total + n
-    offset = F.lit(0).cast("long")
-    if before:
-        offset = F.element_at(F.map_from_arrays(F.array(*(F.lit(p).cast("long") for p in before)), F.array(*(F.lit(n).cast("long") for n in before.values()))), F.col("_part"))
-    return marked.withColumn("index", offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    """df with index: 0-based, in the order of files and lines.
+
+    The rows are written with their places within partitions, so that they are split once; sizes of partitions (a row each)
+    are summed in a small table and joined.
+    """
+    marked = staged(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "numbered-lines")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(F.broadcast(before), "_part").withColumn("index", F.col("_before") + own).drop("_before")
 
 
 def prevalidated(spark: SparkSession, path: str) -> DataFrame:

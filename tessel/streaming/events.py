@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 
@@ -45,7 +45,30 @@ def batch_job(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: st
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress(query: StreamingQuery) -> dict:
-    """Rows so far, rows a second of the last trigger, and whether it goes on."""
-    seen = query.recentProgress
-    return {"processed": sum(p["numInputRows"] for p in seen), "rate": seen[-1]["processedRowsPerSecond"] if seen else 0.0, "active": query.isActive}
+class Totals(StreamingQueryListener):
+    """Rows, the last rate and the end of every query, however long it runs (a query itself keeps its last triggers alone)."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.rate: dict[str, float] = {}
+        self.ended: dict[str, str] = {}
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        self.rate[key] = event.progress.processedRowsPerSecond
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended[str(event.id)] = "failed" if event.exception else "complete"
+
+
+def progress(query: StreamingQuery, totals: Totals) -> dict:
+    """Rows so far, rows a second of the last trigger, whether the query goes on, and how it ended."""
+    key = str(query.id)
+    return {"processed": totals.rows.get(key, 0), "rate": totals.rate.get(key, 0.0), "active": query.isActive, "status": totals.ended.get(key)}

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from tessel.streaming import events
 
@@ -8,9 +9,17 @@ def test_dropped_files_run_through_windows_and_jobs(spark, tmp_path):
     rows = [(1, at(0), 1.0), (1, at(1), 2.0), (1, at(2), 3.0), (2, at(30), 4.0), (1, at(2), 3.0)]
     spark.createDataFrame(rows, "user long, ts timestamp, value double").write.parquet(str(tmp_path / "in"))
     stream = lambda: events.dropped_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    totals = events.Totals()
+    spark.streams.addListener(totals)
     job = events.batch_job(stream(), lambda df: df.groupBy("user").sum("value"), str(tmp_path / "out"), str(tmp_path / "cp"))
     job.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and events.progress(job)["processed"] == 5
+    for _ in range(100):  # events come after the query's end
+        if events.progress(job, totals)["status"]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(totals)
+    got = events.progress(job, totals)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and (got["processed"], got["status"], got["active"]) == (5, "complete", False)
     q = events.over_limit(stream(), "ts", "10 minutes", "1 minute", "user", 3).writeStream.format("memory").queryName("over").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["user"], r["n"]) for r in spark.table("over").collect()] == [(1, 4)]
