@@ -6,11 +6,13 @@ entries that were active when it was fetched (an as-of join). A pattern is a dom
 host with a path prefix (whole segments); the longest active pattern decides, block before allow among equals.
 
 Captures are first reduced to distinct (url, day), so a site that is most of the table costs its distinct URLs; their keys
-meet the list in an equi-join whose list side is broadcast only when it has at most BROADCAST_ENTRIES rows.
+meet the list in an equi-join whose list side is broadcast only when it has at most BROADCAST_ENTRIES rows; beyond it keys
+of many captures are dealt over tasks.
 
 A null or unparsable URL or a null day matches nothing and is kept; repeated rows each get a row; several entries of a
 pattern on one day: the last action in the order drop, allow, block holds; null patterns are skipped; an empty list keeps
-everything, an empty table gives an empty result; other columns are ignored.
+everything, an empty table gives an empty result; a very long URL has as many keys as labels and path segments; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import small_enough
+from tessel.llm.common import dealt_join, small_enough
 
 #: The list that the registered query applies: (pattern, action, first day).
 LIST = [
@@ -61,11 +63,11 @@ def keys(url: Column) -> Column:
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, day) with blocked, and the pattern and first day of the entry that decided."""
     active = intervals(entries)
-    if small_enough(active, BROADCAST_ENTRIES):
-        active = F.broadcast(active)
     seen = captures.select("url", "day").where("url is not null and day is not null").distinct()
     keyed = seen.select("url", "day", F.explode(keys(F.col("url"))).alias("pattern"))
-    met = keyed.join(active, "pattern").where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    # a host of a third of all pages is one key: beyond a broadcast its captures are dealt over tasks
+    both = keyed.join(F.broadcast(active), "pattern") if small_enough(active, BROADCAST_ENTRIES) else dealt_join(keyed, active, ["pattern"], "inner")
+    met = both.where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     order = F.struct(F.length("pattern"), (F.col("action") == "block").cast("int"), "pattern", "since")
     verdict = met.groupBy("url", "day").agg(F.max_by(F.struct("pattern", "action", "since"), order).alias("v"))
     return captures.select("page_id", "url", "day").join(verdict, ["url", "day"], "left").select("page_id", "url", "day", F.coalesce((F.col("v.action") == "block").cast("int"), F.lit(0)).alias("blocked"), F.col("v.pattern").alias("pattern"), F.col("v.since").alias("since"))

@@ -576,3 +576,46 @@ def test_edge_cases(spark, edges, labels, empty):
     assert kept.columns == edges.columns and ngram_join.one_of_each(empty).count() == 0
     texts = sorted(r["text"].split()[0] for r in kept.where("length(trim(text)) > 0").collect() if r["text"].strip())
     assert len(texts) == len({r["text"] for r in edges.where("text is not null").collect() if r["text"].strip()})
+
+
+def test_edge_values(spark, edges, labels):
+    """What operators say of null, empty, blank, long and repeated rows, beside columns that have their names."""
+    text = {}
+    for r in edges.collect():
+        text.setdefault(r["doc_id"], []).append(r["text"] or "")
+    rows = sharding.shard(edges).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((i, len(t.encode()) + 1) for i, ts in text.items() for t in ts)
+    scores = toxicity.toxicity(edges, labels).collect()
+    assert all(0 <= r["score"] <= 1 for r in scores) and len({round(r["score"], 9) for r in scores if r["doc_id"] in (1, 2, 3)}) == 1
+    assert {r["score"] for r in toxicity.toxicity(edges, labels.limit(0)).collect()} == {0.0}
+    comps = ngram_join.jaccard_components(edges).collect()
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in comps}
+    assert got[1, 0] == 1 and got[2, 0] == 2 and got[3, 0] == 3 and got[4, 1] == 4 and got[6, 19996] == got[5, 19996] == 5 and got[None, 1] is None
+    gone = {r["doc_id"]: r["n_removed"] for r in run_index.without_repeats(edges).where("doc_id in (1, 2, 3, 4, 5, 6)").collect()}
+    assert gone == {1: 0, 2: 0, 3: 0, 4: 0, 5: len(text[5][0]), 6: len(text[6][0])}
+    rules = quality_rules.quality_rules(edges).collect()
+    assert all(r["base_failed"] and not r["kept"] for r in rules if r["doc_id"] in (1, 2, 3, 4)) and {r["n_words"] for r in rules if r["doc_id"] in (5, 6)} == {20_000}
+    sums = packing.pack(edges).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in sums if r[0] in (1, 2)} == {1: 1, 2: 1} and len(sums) == len(text)
+    assert {r["doc_id"] for r in pii.find(edges).where("size(spans) = 0").collect()} == set(text)
+    assert quality_bayes.scored(edges, labels.limit(0)).where("abs(evidence - 0.5) > 1e-9").isEmpty()
+    bench = spark.createDataFrame([(3, "some words here now maybe"), (4, "one")], "item_id long, text string")
+    assert Counter((r["doc_id"], r["item_id"]) for r in decontamination.leaks(edges, bench).collect()) == Counter({(4, 4): 2})
+    assert {r["doc_id"] for r in decontamination.without_leaks(edges, bench).collect()} == set(text) - {4}
+
+
+def test_clashing_names_do_not_matter(spark):
+    rows = [(i, prose(random.Random(i // 2), 40), i, i, i, i, i, i, i) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _sid long, row_id long, row_key long, gone_id long, key long, sid long")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["_id"] for r in kept.collect()) == [0, 2, 4, 6]
+    assert pii.redact(docs).columns == docs.columns and decontamination.without_leaks(docs, spark.createDataFrame([(1, "zz")], "item_id long, text string")).count() == 8
+
+
+def test_list_edge_cases(spark):
+    day = pd.Timestamp("2024-01-05").date()
+    lst = spark.createDataFrame([("bad.org", "block", day)], "pattern string, action string, day date")
+    seen = spark.createDataFrame([(1, "http://bad.org/x", day, "p"), (1, "http://bad.org/x", day, "q"), (2, "http://a" + ".b" * 3000 + ".org/" + "x/" * 300, day, "r")], "page_id long, url string, day date, pattern string")
+    got = url_filter.evaluated(seen, lst).collect()
+    assert sorted((r["page_id"], r["blocked"]) for r in got) == [(1, 1), (1, 1), (2, 0)] and got[0]["pattern"] in ("bad.org", None)
+    assert url_filter.evaluated(seen.limit(0), lst).count() == 0 and url_filter.evaluated(seen, lst.limit(0)).where("blocked = 1").isEmpty()
