@@ -37,13 +37,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_staged(*tables: DataFrame) -> None:
-    """Delete the files of staged tables (or of plain selections from them) that nothing will read again."""
+    """Delete the files of staged tables (or of plain selections from them) that nothing will read again; of other tables
+    nothing is touched."""
     for df in tables:
         spark = df.sparkSession
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessel")
+        files = own.getFileSystem(spark._jsc.hadoopConfiguration())
+        root = files.makeQualified(own).toUri().getPath()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            if "/tessel/" in folder:
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if path.toUri().getPath().startswith(f"{root}/"):
+                files.delete(path, True)
 
 
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
