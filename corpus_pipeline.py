@@ -2,15 +2,19 @@
 
 Toxic documents go; of documents whose five-word shingles overlap by 0.8 or more one stays; documents that leak a
 benchmark item go; personal data is replaced; what is left is packed into sequences. Stages before the last return the
-columns of documents. Nulls, empty texts and repeated rows are as the operators say. SQL cannot express the first stage
-(a trained network), so there is no ORACLE_SQL; tests hold every stage against a brute-force version.
+columns of documents, whatever those are, and may be named as the operators name theirs.
+
+A null or empty text is kept by every stage and packed as the end token alone; null ids are kept; a very long text is
+scored, compared, searched and packed whole; of rows that repeat an id and a text one stays, of other copies the least
+doc_id; an empty table gives an empty result. SQL cannot express the first stage (a trained network), so there is no
+ORACLE_SQL; a test holds the rows of run() against plain Python.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm.common import staged
+from tessel.llm.common import drop_staged, staged
 from tessel.llm.decontamination import without_leaks
 from tessel.llm.ngram_join import one_of_each
 from tessel.llm.packing import pack
@@ -52,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)
