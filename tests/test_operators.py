@@ -97,7 +97,7 @@ def test_sparse_pairs_over_all_parts_and_crowded_keys(spark):
     parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
     words = {r["p_partkey"]: {*r["p_name"].split(" "), *r["p_brand"].split(" "), *r["p_type"].split(" "), f"s{r['p_size'] // 10}"} for r in parts}
     want = by_pair(words, 0.6)
-    assert any(a % 8 or b % 8 for a, b in want) and found(pair_queries.QUERIES["sparse_sets_whole"](spark, "/root/testdata/sf0.001")) == want
+    assert any(a % 8 or b % 8 for a, b in want) and found(pair_queries.QUERIES["sparse_sets"](spark, "/root/testdata/sf0.001")) == want
     rng = random.Random(4)
     sets = {i: set(rng.sample(range(12), rng.randint(1, 6))) for i in range(120)} | {i: set(range(k)) for i, k in ((200, 20), (201, 11))}
     df = rows(spark, [(i, sorted(s)) for i, s in sets.items()], "i long, bits array<int>")
@@ -121,7 +121,7 @@ def test_matched_pairs_over_all_parts_and_crowded_cores(spark):
     found = lambda df: {(r["a"], r["b"]): (r["core"], r["a_token"], r["b_token"], r["gap"]) for r in df.collect()}
     parts = {r["p_partkey"]: ([r["p_brand"], r["p_type"], str(r["p_size"])], r["p_retailprice"]) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
     want = by_pair(parts)
-    assert any(a % 4 or b % 4 for a, b in want) and found(pair_queries.QUERIES["mmp_pairs_whole"](spark, "/root/testdata/sf0.001")) == want
+    assert any(a % 4 or b % 4 for a, b in want) and found(pair_queries.QUERIES["mmp_pairs"](spark, "/root/testdata/sf0.001")) == want
     crowded = {i: ([str(i % 3), "x", str(i % 17)], float(i)) for i in range(90)}
     df = rows(spark, [(i, t, v) for i, (t, v) in crowded.items()], "i long, t array<string>, v double")
     assert found(pairs.matched_pairs(df, "i", "t", "v", most=4)) == by_pair(crowded)
