@@ -324,7 +324,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
 
 
 def op4_run_length_index(spark, sf_dir):
-    """By the contract's bytes alone; shares_passage is the operator's."""
+    """The contract's columns, and whether a shorter passage is shared, which SQL cannot express."""
+    return without_repeats(documents(spark, sf_dir), keep=False).drop("kept")
+
+
+def repeats_by_contract(spark, sf_dir):
+    """The contract's columns alone, as OP4_SQL has them."""
     return without_repeats(documents(spark, sf_dir), keep=False, passages=False).drop("kept", "shares_passage")
 
 
