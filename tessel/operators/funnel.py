@@ -41,10 +41,10 @@ def outside(bounds: dict[str, tuple]) -> Column:
     return out
 
 
-def rejection(bounds: dict[str, tuple], parsed: Column, valence: Column, alerts: Column, similarity: Column | None = None) -> Column:
-    """(stage, reason) of the first stage but the duplicates' that rejects a row; null for survivors."""
+def rejection(first: Column, parsed: Column, valence: Column, alerts: Column, similarity: Column | None = None) -> Column:
+    """(stage, reason) of the first stage but the duplicates' that rejects a row; null for survivors. first: the first
+    column outside its bounds."""
     fail = lambda stage, reason: F.struct(F.lit(stage).alias("stage"), reason.alias("reason"))
-    first = outside(bounds)
     out = F.when(~F.coalesce(parsed, F.lit(False)), fail("parse", F.lit("not parsed"))).when(~valence, fail("valence", F.lit("valence"))).when(alerts > 0, fail("alerts", F.lit("alert match")))
     out = out.when(first.isNotNull() & (first != "sa"), fail("property", first)).when(first == "sa", fail("sa", F.lit("sa")))
     return out if similarity is None else out.when(similarity >= NOVELTY, fail("novelty", F.lit("known")))
@@ -55,7 +55,8 @@ def filtered(df: DataFrame, bounds: dict[str, tuple], parsed: Column, valence: C
 
     Duplicates are settled before novelty, so a duplicate is one whether or not it is known.
     """
-    df = df.withColumn("_r", rejection(bounds, parsed, valence, alerts, similarity))
+    df = df.withColumn("_out", outside(bounds))
+    df = df.withColumn("_r", rejection(F.col("_out"), parsed, valence, alerts, similarity)).drop("_out")
     alive = F.col("_r").isNull() | (F.col("_r.stage") == "novelty")
     first = df.where(alive).groupBy(*key).agg(F.min(index).alias("_first"))
     kept = df.where(alive).join(first, key)
