@@ -4,17 +4,12 @@ A text's windows of LENGTH bytes are keyed by content: the window's least GRAM-b
 its anchor, and the windows in a row that share an anchor make a stretch, with the bytes they cover as its context. Equal
 windows have equal anchors at equal offsets, so only stretches with a common anchor gram can hold repeats. Equal contexts
 (128 bits of hash) are counted first; where an anchor has several different contexts, these are indexed together: their
-Burrows-Wheeler transform is kept as runs, with text positions sampled at the ends of runs and the common prefixes at those
+Burrows-Wheeler transform is cut into runs, and kept of it are text positions sampled at the ends of runs and the common prefixes at those
 ends. Matching statistics then stream through the contexts from the samples, as between samples they fall by one a byte
 (towards the neighbour above from heads of runs, below from tails), and starts that match LENGTH bytes elsewhere are marked.
 Anchors with more than MOST contexts (a passage in thousands of surroundings) are cut into
 narrower stretches, whose common bytes are a longer key, down to single windows: no group is large, and none is dropped.
 
-The statistics also tell of matches that are shorter than LENGTH: with `passages`, `shares_passage` says whether a match of more than
-PASSAGE_WORDS whole words was met (anchors with more
-than MOST contexts are indexed MOST at a time for it). It removes nothing, and is a lower bound, as contexts of one anchor
-alone are compared.
-
 Texts are UTF-8 bytes; null and empty ones have nothing to remove; a very long text is many stretches, dealt by anchor;
 matches never cross documents; repeated rows match each other; ties between anchors go to the leftmost; null ids are kept;
 an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -30,19 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import _SPACE, dealt_join, documents, drop_staged, mix, prefix_hash, span_hash, staged, string_buffers, text_only
+from tessel.llm.common import dealt_join, documents, drop_staged, mix, prefix_hash, span_hash, staged, string_buffers, text_only
 
 LENGTH, GRAM = 400, 64
 #: Different contexts of an anchor that are indexed together; beyond it stretches are cut to these widths.
 MOST, WIDTHS = 128, (32, 1)
 #: Bytes of contexts in an index, about.
 INDEX_BYTES = 1 << 20
-#: Whole words above which a match is a passage.
-PASSAGE_WORDS = 50
 STRETCH = "row long, core long, ctx long, sig long, first int, last int, at int"
 BODY = "row long, core long, ctx long, sig long, n long, first int, last int, at int, body binary"
-#: Ranges of repeated window starts; words: of the longest match of a context, whose range is then empty.
-MARK = "row long, first int, last int, words int"
+#: Ranges of repeated window starts.
+MARK = "row long, first int, last int"
 KEY = ["core", "ctx", "sig"]
 _C1 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -176,7 +169,7 @@ class RunIndex:
             width *= 2
         before = data[order - 1]  # the transform, in the order of suffixes
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        self.symbol, self.start = before[heads], heads
+        self.runs = len(heads)
         above, below = order[heads[1:] - 1], order[heads[1:]]
         common = self._common(levels, data, above, below)
         # a sample for each end of a run: (position, common prefix with the neighbour beyond the end)
@@ -214,34 +207,24 @@ class RunIndex:
         return out
 
 
-def repeats(bodies: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Starts in each body of strings of `length` that start in another place of the bodies too, and the most whole
-    words that a match of each body has."""
+def repeats(bodies: list[bytes], length: int) -> list[np.ndarray]:
+    """Starts in each body of strings of `length` that start in another place of the bodies too."""
     index = RunIndex(bodies)
-    begin = np.append(0, index.end[:-1])
-    match = index.statistics()
-    hit = np.flatnonzero(match >= length)
+    hit = np.flatnonzero(index.statistics() >= length)
     owner = np.searchsorted(index.end, hit, "right")
-    solid = ~_SPACE[np.frombuffer(b" ".join(bodies) + b" ", np.uint8)]
-    starts = np.cumsum(np.append(solid[0], solid[1:] & ~solid[:-1]))
-    ends = np.append(0, np.cumsum(np.append(solid[:-1] & ~solid[1:], solid[-1])))
-    whole = ends[np.arange(index.n) + match] - np.append(0, starts[:-1])
-    return [hit[owner == i] - b for i, b in enumerate(begin)], np.maximum.reduceat(whole, begin)
+    return [hit[owner == i] - b for i, b in enumerate(np.append(0, index.end[:-1]))]
 
 
 def indexed(length: int):
     def marked(table: pa.Table) -> pa.Table:
         rows = table.select(["row", "n", "first", "body"]).to_pylist()
         out = []
-        for r, starts, words in zip(rows, *repeats([r["body"] for r in rows], length), strict=True):
-            if words > PASSAGE_WORDS:
-                out.append((r["row"], 0, -1, int(words)))
+        for r, starts in zip(rows, repeats([r["body"] for r in rows], length), strict=True):
             if r["n"] == 1 and len(starts):
                 edge = np.flatnonzero(np.diff(starts) != 1) + 1
-                for part in np.split(starts, edge):
-                    out.append((r["row"], r["first"] + int(part[0]), r["first"] + int(part[-1]), 0))
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.table({"row": pa.array(cols[0], pa.int64()), **{n: pa.array(c, pa.int32()) for n, c in zip(("first", "last", "words"), cols[1:], strict=True)}})
+                out += [(r["row"], r["first"] + int(part[0]), r["first"] + int(part[-1])) for part in np.split(starts, edge)]
+        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+        return pa.table({"row": pa.array(cols[0], pa.int64()), **{n: pa.array(c, pa.int32()) for n, c in zip(("first", "last"), cols[1:], strict=True)}})
 
     return marked
 
@@ -252,13 +235,13 @@ def from_index(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks))).groupBy("task").applyInArrow(indexed(length), MARK)
 
 
-def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, passages: bool = True) -> DataFrame:
-    """(row, first, last, words): ranges of window starts of texts (row, text) that are repeated, and words of matches."""
+def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(row, first, last): ranges of window starts of texts (row, text) that are repeated."""
     all_ = staged(texts.mapInArrow(anchored(length, gram), STRETCH), "stretches")
     counted = all_.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
     groups = counted.groupBy("core").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1").select("core", "m")
     contexts = staged(counted.join(groups, "core").select(*KEY, "n", "m", "one.*"), "contexts")
-    ranges = lambda df: df.select("row", "first", "last", F.lit(0).alias("words"))
+    ranges = lambda df: df.select("row", "first", "last")
     # a context may hold any share of all stretches
     out = [ranges(dealt_join(all_, contexts.where("n > 1").select(*KEY), KEY, "inner"))]
     wanted = contexts.where("m > 1").groupBy("row").agg(F.collect_list(F.struct(*KEY, "n", "first", "last", "at")).alias("want"))
@@ -266,9 +249,7 @@ def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, passages: bo
     bodies = staged(dealt_join(bodies, contexts.where("m > 1").select("core", "m").distinct(), ["core"], "inner"), "bodies")
     out.append(from_index(bodies.where(F.col("m") <= MOST), length))
     hot = bodies.where(F.col("m") > MOST)
-    if passages and not hot.isEmpty():
-        some = F.xxhash64("core", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / MOST)))
-        out.append(from_index(hot.withColumn("core", some), length))
+    used = [all_, contexts, bodies]
     for width in WIDTHS:
         if hot.isEmpty():
             break
@@ -276,7 +257,9 @@ def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, passages: bo
         counted = cut.groupBy(*KEY).agg(F.sum("n").alias("all"))
         groups = counted.groupBy("core").agg(F.count("*").alias("m"), F.sum("all").alias("total")).where("total > 1").select("core", "m")
         known = staged(counted.join(groups, "core"), "narrow-groups")
-        cut = staged(dealt_join(cut, known, KEY, "inner"), "narrow-contexts")
+        pieces, cut = cut, staged(dealt_join(cut, known, KEY, "inner"), "narrow-contexts")
+        drop_staged(pieces)
+        used += [known, cut]
         out.append(ranges(cut.where("n = 1 and all > 1")))
         rest = cut.where("m > 1").drop("n").withColumnRenamed("all", "n").dropDuplicates(KEY)
         out.append(from_index(rest.where(F.col("m") <= MOST), length))
@@ -285,11 +268,11 @@ def marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, passages: bo
     for more in out[1:]:
         found = found.unionByName(more)
     found = staged(found, "marks")
-    drop_staged(all_, contexts, bodies)
+    drop_staged(*used)
     return found
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def cutter(length: int, keep: bool):
@@ -297,7 +280,7 @@ def cutter(length: int, keep: bool):
         for batch in batches:
             raw, off = string_buffers(batch.column("text"))
             rows = []
-            for i, (doc, ranges, most) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ranges"), batch.column("words").to_pylist(), strict=True)):
+            for i, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ranges"), strict=True)):
                 text = raw[off[i] : off[i + 1]]
                 edge = np.zeros(len(text) + 1, np.int64)
                 for r in ranges.as_py() or ():
@@ -306,31 +289,28 @@ def cutter(length: int, keep: bool):
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                 left = text[~gone].tobytes()
-                rows.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), int(spans > 0 or (most or 0) > PASSAGE_WORDS), left if keep else None))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+                rows.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep else None))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return cut
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True, passages: bool = True) -> DataFrame:
-    """Each row's bytes, removed bytes and runs, what is left (its SHA-256; the bytes if keep), and whether it shares a
-    passage (some bytes were removed, or a shorter match of more than PASSAGE_WORDS words was met)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
+    """Each row's bytes, removed bytes and runs, and what is left (its SHA-256; the bytes if keep)."""
     texts = staged(text_only(docs).withColumn("row", F.monotonically_increasing_id()), "texts")  # written, so ids stay
-    found = marks(texts.select("row", "text"), length, gram, passages)
-    span = F.struct("first", "last")
-    found = found.groupBy("row").agg(F.collect_set(F.when(F.col("last") >= F.col("first"), span)).alias("ranges"), F.max("words").alias("words"))
-    return texts.join(found, "row", "left").select("doc_id", "text", "ranges", "words").mapInArrow(cutter(length, keep), RESULT)
+    found = marks(texts.select("row", "text"), length, gram)
+    ranges = found.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    out = texts.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(cutter(length, keep), RESULT)
+    if keep:
+        return out
+    out = staged(out.drop("kept"), "repeats")
+    drop_staged(texts, found)
+    return out
 
 
 def op4_run_length_index(spark, sf_dir):
-    """The contract's columns, and whether a shorter passage is shared, which SQL cannot express."""
-    return without_repeats(documents(spark, sf_dir), keep=False).drop("kept")
-
-
-def repeats_by_contract(spark, sf_dir):
-    """The contract's columns alone, as OP4_SQL has them."""
-    return without_repeats(documents(spark, sf_dir), keep=False, passages=False).drop("kept", "shares_passage")
+    return without_repeats(documents(spark, sf_dir), keep=False)
 
 
 OP4_SQL = f"""
