@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessel.functions import scoring, structures, text
-from tessel.operators import audit, checks, dedup, export_columns, flow, funnel, ordering, pairs, screen, stats, view
+from tessel.operators import audit, checks, dedup, export_columns, flow, funnel, neighbours, ordering, pairs, screen, stats, view
 
 
 def rows(spark, data, schema):
@@ -84,7 +84,7 @@ def test_sparse_pairs_and_clusters_match_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in pairs.sparse_pairs(df, "i", "bits", 0.5).collect()} == want
     assert pairs.sphere_clusters(df, "i", pairs.sparse_pairs(df, "i", "bits", 0.5)).count() == 80
     dense = df.select("i", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.when(F.array_contains("bits", k), 1.0).otherwise(-1.0)).alias("v"))
-    assert {(r["a"], r["b"]) for r in pairs.dense_pairs(dense, "i", "v", 0.5, 16).collect()} == want
+    assert {(r["a"], r["b"]) for r in neighbours.dense_pairs(dense, "i", "v", 0.5).collect()} == want
 
 
 def test_sparse_pairs_over_all_parts_and_crowded_keys(spark):
