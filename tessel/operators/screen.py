@@ -1,20 +1,29 @@
 """Rule screening: rows against a table of patterns, concern groups, worst severities, categories.
 
-Rules are few and bounded (MAX_RULES): they become one array expression over each row, so screening is a map without a
-join. Beyond the bound they are a broadcast table of checked size.
+Few rules (MAX_RULES) become one array expression over each row. More are indexed by the literals that their matches must
+hold: one pass of an automaton over a text gives the rules whose literals it holds, and only these are tried. The index is
+made once a task, of rules of a checked number, and no pattern is compiled by row.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from re import _constants as ops
+from re import _parser as parser
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.sources.staging import small_enough
 
-#: Rules in one expression; more are a broadcast table of so many at most.
-MAX_RULES, BROADCAST_RULES = 500, 100_000
+#: Rules in one expression; more are indexed, so many at most.
+MAX_RULES, INDEXED_RULES = 50, 100_000
+#: Characters of a literal that is worth looking for.
+LEAST_LITERAL = 3
 RANK = {"critical": 2, "warning": 1, "info": 0}
 
 
@@ -30,7 +39,7 @@ class Rule:
 def hits(df: DataFrame, text: Column, rules: list[Rule], *keys: str) -> DataFrame:
     """A row for each rule that a row's text (lower-cased) matches."""
     if len(rules) > MAX_RULES:
-        return table_hits(df, text, rule_table(df.sparkSession, rules), *keys)
+        return indexed_hits(df, text, rules, *keys)
     df, low = df.select(*keys, F.lower(text).alias("_low")), F.col("_low")
     found = F.filter(F.array(*(F.when(low.rlike(r.pattern), F.struct(F.lit(r.name).alias("rule"), F.lit(r.group).alias("concern"), F.lit(r.severity).alias("severity"), F.lit(RANK[r.severity]).alias("rank"), F.lit(r.source).alias("source"))) for r in rules)), lambda x: x.isNotNull())
     return df.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
@@ -44,11 +53,91 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def table_hits(df: DataFrame, text: Column, rules: DataFrame, *keys: str) -> DataFrame:
-    """The same over a table of rules (RULE_SCHEMA), of BROADCAST_RULES at most: every row is read against every rule."""
-    if not small_enough(rules, BROADCAST_RULES):
-        raise ValueError(f"more than {BROADCAST_RULES} rules; screen them in parts")
-    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in RANK.items() for x in p)), F.col("severity")), F.lit(0))
-    return df.select(*keys, F.lower(text).alias("_low")).join(F.broadcast(rules), F.expr("_low rlike pattern")).select(*keys, "rule", "concern", "severity", rank.alias("rank"), "source")
+    """The same over a table of rules (RULE_SCHEMA), of INDEXED_RULES at most."""
+    if not small_enough(rules, INDEXED_RULES):
+        raise ValueError(f"more than {INDEXED_RULES} rules; screen them in parts")
+    return indexed_hits(df, text, [Rule(r["rule"], r["pattern"], r["concern"], r["severity"], r["source"]) for r in rules.collect()], *keys)
+
+
+def _needed(tokens: Iterable) -> set[str]:
+    """Literals of which any match of a parsed pattern holds one, the shortest as long as can be; none if nothing is sure."""
+    found, run = [], ""
+    for op, arg in [*tokens, (None, None)]:
+        if op is ops.LITERAL:
+            run += chr(arg)
+            continue
+        found.append({run})
+        run = ""
+        if op is ops.SUBPATTERN:
+            found.append(_needed(arg[3]))
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT) and arg[0] > 0:
+            found.append(_needed(arg[2]))
+        elif op is ops.BRANCH:
+            ways = [_needed(x) for x in arg[1]]
+            found.append(set().union(*ways) if all(ways) else set())
+    return max((x for x in found if x), key=lambda x: min(map(len, x)), default=set())
+
+
+def literals(pattern: str) -> set[str]:
+    """Lower-case literals of which a text must hold one to match a pattern; empty if it has to be tried on every text."""
+    out = _needed(parser.parse(pattern))
+    if "(?" in pattern and re.search(r"\(\?[a-z]*i", pattern):
+        out = {x.lower() for x in out} if all(x.isascii() for x in out) else set()
+    return out if out and min(map(len, out)) >= LEAST_LITERAL else set()
+
+
+class RuleIndex:
+    """An automaton over the rules' literals, the rules of each literal, and compiled patterns."""
+
+    def __init__(self, patterns: list[str]):
+        import ahocorasick
+
+        self.patterns = [re.compile(p) for p in patterns]
+        self.always, by = [], {}
+        for i, p in enumerate(patterns):
+            needed = literals(p)
+            for x in needed:
+                by.setdefault(x, []).append(i)
+            if not needed:
+                self.always.append(i)
+        self.automaton = ahocorasick.Automaton()
+        for x, rules in by.items():
+            self.automaton.add_word(x, rules)
+        if by:
+            self.automaton.make_automaton()
+
+    def candidates(self, text: str) -> list[int]:
+        some = {i for _, rules in self.automaton.iter(text) for i in rules} if len(self.automaton) else set()
+        return sorted(some.union(self.always))
+
+    def matches(self, text: str) -> list[int]:
+        return [i for i in self.candidates(text) if self.patterns[i].search(text)]
+
+
+def indexed_hits(df: DataFrame, text: Column, rules: list[Rule], *keys: str) -> DataFrame:
+    """The same as `hits` through an index of the rules. Patterns are tried by Python's engine: those that mean something
+    else there than in the JVM's have to be screened in an expression."""
+    rows = df.select(*keys, F.lower(text).alias("_low")).where(F.col("_low").isNotNull())
+    told = [(r.name, r.group, r.severity, RANK.get(r.severity, 0), r.source) for r in rules]
+    patterns = [r.pattern for r in rules]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+    names = [*keys, "rule", "concern", "severity", "rank", "source"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = RuleIndex(patterns)
+        for batch in batches:
+            at, hit = [], []
+            for i, low in enumerate(batch.column("_low")):
+                mine = index.matches(low.as_py())
+                at += [i] * len(mine)
+                hit += mine
+            own = batch.select(list(keys)).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([told[h][k] for h in hit], kind) for k, kind in enumerate(kinds))], names)
+
+    schema = rows.select(*keys).schema
+    for name, kind in zip(names[len(keys) :], ("string", "string", "string", "integer", "string"), strict=True):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(found, schema)
 
 
 def categories(text: Column, table: list[tuple[str, str]]) -> Column:
@@ -90,6 +179,7 @@ SUSPICIOUS = {
     "object tag": "<object",
     "embed tag": "<embed",
     "html data": "data:text/html",
+    "null byte": r"\x00",
 }
 
 

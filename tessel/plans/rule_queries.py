@@ -126,6 +126,13 @@ def rule_table_screen(spark, sf_dir):
     return screen.table_hits(documents(spark, sf_dir), c("text"), screen.rule_table(spark, RULES), "doc_id").select("doc_id", "rule", "concern", "severity", "source")
 
 
+def rule_index_screen(spark, sf_dir):
+    """Documents against a rule for each benchmark item: its first three words, lower-cased, with blanks between."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 3)
+    rules = table(spark, sf_dir, "benchmark").select(c("item_id").cast("string").alias("rule"), F.array_join(words, r"\s+").alias("pattern"), F.lit("benchmark").alias("concern"), F.lit("warning").alias("severity"), F.lit("items").alias("source"))
+    return screen.table_hits(documents(spark, sf_dir), c("text"), rules.where("length(pattern) > 0"), "doc_id").select("doc_id", "rule")
+
+
 EXPORT = [
     export_columns.Declared("identity", "name", "c_name"),
     export_columns.Declared("identity", "segment", "c_mktsegment"),
@@ -160,7 +167,7 @@ def audit_flow(spark, sf_dir):
     return audit.dataset_audit(d, F.length("text") > 40, c("text").rlike(r"\.$"), c("lead"), c("text").rlike("[#*$%&]{3}"), c("text") == F.trim("text"), "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (name_kinds, pattern_severities, view_keys, likeness, radar_comparison, likeness_breakdown, column_sets, curation_duplicates, curation_composition, preset_scores, alert_counts, alert_filter, sorted_view, report_statistics, reference_histogram, suggestions, rule_table_screen, export_flat, batch_flow, audit_flow)}
+QUERIES = {f.__name__: f for f in (name_kinds, pattern_severities, view_keys, likeness, radar_comparison, likeness_breakdown, column_sets, curation_duplicates, curation_composition, preset_scores, alert_counts, alert_filter, sorted_view, report_statistics, reference_histogram, suggestions, rule_table_screen, rule_index_screen, export_flat, batch_flow, audit_flow)}
 
 _D = f"WITH {D.SQL} "
 _NORM = r"regexp_replace(lower(trim(text)), '[ \t\n\r\f\x0B]+', ' ', 'g')"
@@ -216,6 +223,7 @@ ORACLE_SQL = {
     "reference_histogram": "WITH h AS (SELECT b.bin, count(l.l_orderkey) AS n FROM (SELECT unnest(range(1, 21)) AS bin) b LEFT JOIN lineitem l ON l.l_extendedprice BETWEEN 0 AND 50000 AND least(floor(l.l_extendedprice / 2500.0) + 1, 20) = b.bin GROUP BY 1), s AS (SELECT *, n / sum(n) OVER ()::DOUBLE AS own, CASE WHEN bin < 20 THEN (21 - bin) / 210.0::DOUBLE ELSE 0.0 END AS expected FROM h) SELECT bin, n, round(own, 6) AS share, expected, round(own - expected, 6) AS gap FROM s",
     "suggestions": f"SELECT doc_id, array_to_string(list(rule ORDER BY -length(rule), rule)[1:3], ',') AS top FROM ({_HIT}) GROUP BY 1",
     "rule_table_screen": _HIT,
+    "rule_index_screen": r"WITH r AS (SELECT item_id::VARCHAR AS rule, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:3], '\s+') AS pattern FROM benchmark) SELECT doc_id, rule FROM documents JOIN r ON length(pattern) > 0 AND regexp_matches(lower(text), pattern)",
     "export_flat": f"""{_D}, n AS (SELECT d.*, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, {_SCORE} AS score, c_name, c_mktsegment FROM descriptors d JOIN lineitem USING (l_orderkey, l_linenumber) LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey)
       SELECT l_orderkey, l_linenumber, coalesce(c_name, 'N/A') AS identity_name, coalesce(c_mktsegment, 'N/A') AS identity_segment, score::VARCHAR AS validation_score, CASE WHEN l_quantity <= 45 THEN 'Pass' ELSE 'Fail' END AS validation_quantity, CASE WHEN l_discount < 0.08 THEN 'Pass' ELSE 'Fail' END AS validation_discount,
         CASE WHEN l_tax < 0.06 THEN 'Pass' ELSE 'Fail' END AS validation_tax, CASE WHEN l_returnflag <> 'R' THEN 'Pass' ELSE 'Fail' END AS validation_returned, CASE WHEN l_linestatus = 'O' THEN 'Pass' ELSE 'Fail' END AS validation_open,
