@@ -98,18 +98,25 @@ def _matches(df: DataFrame, patterns: dict[str, str], tag: str) -> DataFrame:
     df = df.withColumns({f"b_{k}": _block_sums(f"l_{k}") for k in kinds})
     df = df.withColumns({f"c_{k}": _sums_before(f"b_{k}") for k in kinds})
 
+    # a slice copies its whole array, so the parts are cut into blocks first, each with its first match's neighbour
+    def blocks(k: str) -> Column:
+        own = lambda b, n: F.slice(f"p_{k}", b * 64 + 1, F.lit(n))
+        one = lambda c, b: F.struct(own(b, 65).alias("p"), F.transform(own(b, 64), lambda x: F.length(x).cast("long")).alias("l"), c.alias("c"))
+        return F.when(F.size(f"p_{k}") >= 3, F.transform(f"c_{k}", one))
+
+    df = df.withColumns({f"d_{k}": blocks(k) for k in kinds})
+
     def spans(k: str) -> Column:
-        def one(i: Column) -> Column:
-            block = F.floor(i / 64).cast("int")
-            start = F.element_at(f"c_{k}", block + 1) + _sum(F.slice(f"l_{k}", block * 64 + 1, F.pmod(i, F.lit(64))))
-            text = F.element_at(f"p_{k}", i + 1)
-            return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"), F.right(F.element_at(f"p_{k}", i), F.lit(CONTEXT)).alias("before"), F.left(F.element_at(f"p_{k}", i + 2), F.lit(CONTEXT)).alias("after"))
+        def one(d: Column, i: Column) -> Column:
+            start, text = d["c"] + _sum(F.slice(d["l"], F.lit(1), i)), F.element_at(d["p"], i + 1)
+            return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"), F.right(F.element_at(d["p"], i), F.lit(CONTEXT)).alias("before"), F.left(F.element_at(d["p"], i + 2), F.lit(CONTEXT)).alias("after"))
 
         none = F.array().cast("array<struct<start:long,end:long,text:string,before:string,after:string>>")
-        return F.when(F.size(f"p_{k}") < 3, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(f"p_{k}") - 2, F.lit(1)), F.lit(2)), one))
+        matches = F.transform(f"d_{k}", lambda d: F.when(F.size(d["p"]) < 3, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(d["p"]) - 2, F.lit(1)), F.lit(2)), lambda i: one(d, i))))
+        return F.coalesce(F.flatten(matches), none)
 
     df = df.withColumns({f"{tag}_{k}": spans(k) for k in kinds})
-    return df.drop(*(f"{x}_{k}" for x in "plbc" for k in kinds))
+    return df.drop(*(f"{x}_{k}" for x in "plbcd" for k in kinds))
 
 
 def _digits(s: Column) -> Column:
@@ -311,14 +318,57 @@ def _place(s: Column, kind: str) -> list[Column]:
     return [s["start"].alias("start"), F.lit(ALL.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")]
 
 
-def chosen(candidates: Column, base: Column) -> Column:
-    """Candidates (score, start, rank, end, kind), best first, that meet no base span and no better one that is chosen."""
+#: Code points of a block of a text that is redacted.
+BLOCK = 1024
+SPAN = "struct<start:long,end:long,base:boolean,loss:double,rank:int,kind:string>"
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def in_groups(spans: Column) -> Column:
+    """Spans (sorted by start) in groups: those of one group meet each other by a chain, and no span of another group.
+
+    A group begins where no span before reaches; the farthest end before a span comes from blocks, as an aggregate that
+    carries an array copies it at every step.
+    """
+    size = 64
+    last = lambda xs: F.coalesce(F.array_max(xs), F.lit(-1).cast("long"))
+    ends = lambda xs: F.transform(xs, lambda x: x["end"])
+    block = lambda s, b: F.slice(s, b * size + 1, F.lit(size))
+    far = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / size).cast("int")), lambda b: last(ends(block(s, b))))
+
+    def firsts(s: Column, most: Column) -> Column:
+        before = F.transform(most, lambda m, b: F.struct(block(s, b).alias("own"), last(F.slice(most, F.lit(1), b)).alias("end")))
+        begins = lambda d, x, i: x["start"] >= F.greatest(d["end"], last(ends(F.slice(d["own"], F.lit(1), i))))
+        return F.flatten(F.transform(before, lambda d, b: F.array_compact(F.transform(d["own"], lambda x, i: F.when(begins(d, x, i), b * size + i + 1)))))
+
+    cut = lambda s, g: F.transform(g, lambda a, k: F.slice(s, a, F.coalesce(F.try_element_at(g, k + 2), F.size(s) + 1) - a))
+    return F.when(F.size(spans) > 0, let(spans, lambda s: let(let(far(s), lambda most: firsts(s, most)), lambda g: cut(s, g))))
+
+
+def _greedy(group: Column) -> Column:
+    """Of a group the candidates, best first, that meet no base span and no better one that is taken."""
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    ranked = F.array_sort(F.transform(F.filter(candidates, lambda c: ~F.exists(base, lambda b: meets(b, c))), lambda c: F.struct((-c["score"]).alias("loss"), c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    base = F.filter(group, lambda s: s["base"])
+    free = F.filter(group, lambda s: ~s["base"] & ~F.exists(base, lambda b: meets(b, s)))
+    ranked = F.array_sort(F.transform(free, lambda s: F.struct(s["loss"].alias("loss"), s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     none = F.array().cast("array<struct<loss:double,start:long,rank:int,end:long,kind:string>>")
     return F.aggregate(ranked, none, lambda got, c: F.when(F.exists(got, lambda g: meets(g, c)), got).otherwise(F.concat(got, F.array(c))))
 
 
+def chosen(candidates: Column, base: Column) -> Column:
+    """Candidates (score, start, rank, end, kind), best first, that meet no base span and no better one that is chosen.
+
+    Only spans that meet by a chain can rule each other out, so each such group is settled by itself.
+    """
+    span = lambda s, own, loss: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), F.lit(own).alias("base"), loss.alias("loss"), s["rank"].alias("rank"), s["kind"].alias("kind")).cast(SPAN)
+    spans = F.concat(F.transform(base, lambda b: span(b, True, F.lit(0.0))), F.transform(candidates, lambda c: span(c, False, -c["score"])))
+    return F.flatten(F.transform(in_groups(F.array_sort(spans)), _greedy))
+
+
 def find(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, text, base spans and all spans (arrays by start, then kind) of each row, and more columns of docs."""
     fitted = model(docs.sparkSession)
@@ -352,33 +402,32 @@ def joined(spans: Column) -> Column:
 
 def merged(spans: Column) -> Column:
     """Spans (by start) with overlapping ones as one, of the kind of the first."""
-    none = F.array().cast("array<struct<start:long,end:long,kind:string>>")
-
-    def step(got: Column, s: Column) -> Column:
-        last = F.element_at(got, -1)
-        fresh = F.concat(got, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-        wider = F.concat(F.slice(got, F.lit(1), F.size(got) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when(F.size(got) == 0, fresh).when(s["start"] >= last["end"], fresh).otherwise(wider)
-
-    return F.aggregate(spans, none, step)
+    return F.transform(in_groups(spans), lambda g: F.struct(g[0]["start"].alias("start"), F.array_max(F.transform(g, lambda s: s["end"])).alias("end"), g[0]["kind"].alias("kind")))
 
 
 def redacted(df: DataFrame, name: str) -> DataFrame:
     """df (text, spans) with a column of the text in which each span, overlapping ones as one, is <kind> of its first.
 
-    The text's code points are cut at the spans, each of them copied once.
+    The text is cut into blocks, of which the parts between spans are made: a slice or a substring reads all that is before it.
     """
     some = F.size("spans") > 0
-    df = df.withColumn("_cut", F.when(some, merged(F.col("spans")))).withColumn("_points", F.when(some, F.split("text", "")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / BLOCK).cast("int")), lambda b: F.col("text").substr(b * BLOCK + 1, F.lit(BLOCK)))
+    df = df.withColumn("_cut", F.when(some, merged(F.col("spans")))).withColumn("_blocks", F.when(some, blocks))
+
+    def between(a: Column, z: Column) -> Column:
+        """Code points a to z of the text, z not included."""
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(z / BLOCK).cast("int")
+        first, last = F.element_at("_blocks", i + 1), F.element_at("_blocks", j + 1)
+        from_ = (a - i * BLOCK + 1).cast("int")
+        return F.when(i == j, first.substr(from_, (z - a).cast("int"))).otherwise(F.concat(first.substr(from_, F.lit(BLOCK)), F.array_join(F.slice("_blocks", i + 2, F.greatest(j - i - 1, F.lit(0))), ""), last.substr(F.lit(1), (z - j * BLOCK).cast("int"))))
 
     def piece(s: Column, i: Column) -> Column:
         since = F.when(i > 0, F.element_at("_cut", F.greatest(i, F.lit(1)))["end"]).otherwise(0)
-        return F.concat(F.array_join(F.slice("_points", (since + 1).cast("int"), (s["start"] - since).cast("int")), ""), F.lit("<"), s["kind"], F.lit(">"))
+        return F.concat(between(since, s["start"]), F.lit("<"), s["kind"], F.lit(">"))
 
-    end = F.element_at("_cut", -1)["end"]
-    tail = F.array_join(F.slice("_points", (end + 1).cast("int"), F.greatest(F.size("_points") - end, F.lit(0)).cast("int")), "")
+    tail = between(F.element_at("_cut", -1)["end"], F.length("text"))
     clean = F.when(some, F.concat(F.array_join(F.transform("_cut", piece), ""), tail)).otherwise(F.col("text"))
-    return df.withColumn(name, clean).drop("_cut", "_points")
+    return df.withColumn(name, clean).drop("_cut", "_blocks")
 
 
 def redact(docs: DataFrame) -> DataFrame:

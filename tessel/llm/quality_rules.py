@@ -93,16 +93,16 @@ def _host(docs: DataFrame) -> Column:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Measures and hashed lines of each document, staged."""
+    """Measures and hashed lines of each row, its number, and the document that it is (rows without an id are one each)."""
     rows = text_only(docs, _host(docs)).mapInArrow(measured, SCHEMA).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row"))))
     return staged(rows, "line-rules")
 
 
 def _found(rows: DataFrame, line_docs: int, line_share: float) -> DataFrame:
     """Frequent lines of each row: host, line, row, chars."""
-    # a document has a line once, so counts of rows are counts of documents
-    counts = rows.select("host", F.explode("lines").alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count("*").alias("docs"))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    counts = rows.select("host", "doc", F.explode("lines").alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count_distinct("doc").alias("docs"))
+    hosts = rows.groupBy("host").agg(F.count_distinct("doc").alias("host_docs"))
     often = counts.where(F.col("docs") > line_docs)
     frequent = often.join(hosts, "host").where(F.col("docs") > line_share * F.col("host_docs")).select("host", "line")
     frequent = staged(frequent, "frequent-lines")

@@ -2,9 +2,11 @@
 
 Records hash into a fixed number of slots, the bytes of each slot are summed, and a versioned slot-to-shard map says
 where a slot lives. Only the map is edited when shards are added or loads drift; records never hash again. The map has
-n_slots rows at most, however large the table, so it is the one thing that the driver sees.
+n_slots rows at most, however large the table, so it is the one thing that the driver sees. Named maps are kept by version
+in the shared folder, and the latest one is what the next edit begins with.
 
-Nulls count as empty texts (size 1); a very long text is one large row of its slot; repeated rows share a slot and are
+Nulls count as empty texts (size 1); a very long text is one large row of its slot; rows that repeat an id and a text share a
+slot (so the shard that has it is larger than the others by their bytes, where these are more than a shard's share) and are
 numbered one after another (ties between their numbers are theirs alone, as the rows are equal); an empty table gives an
 empty result; other columns of the input are ignored, whatever their names.
 """
@@ -12,13 +14,14 @@ empty result; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessel.llm.common import documents, staged, text_only
+from tessel.llm.common import documents, shared_dir, staged, text_only
 
 N_SLOTS, N_SHARDS = 4096, 8
 MAP = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("vslot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("slot_bytes", T.LongType()), T.StructField("slot_rows", T.LongType()), T.StructField("base", T.LongType())])
@@ -80,14 +83,36 @@ def rebalanced(loads: list[tuple[int, int, int]], at: dict[int, int], n_shards:
         out[move[1]] = low
 
 
-def map_table(rows: DataFrame, at: dict[int, int], loads: list[tuple[int, int, int]], version: int) -> DataFrame:
-    """The map as a stored table; base numbers a slot's first row within its shard."""
+def _home(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tessel/slot-maps/{name}"
+
+
+def versions(spark: SparkSession, name: str) -> list[int]:
+    """Versions that a named map has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark, name))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(p.getName()[2:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def stored_map(spark: SparkSession, name: str, version: int | None = None) -> DataFrame:
+    """A version of a named map, the latest if none is asked for."""
+    known = versions(spark, name)
+    if not known or version not in (None, *known):
+        raise KeyError(f"there is no version {version or 1} of the map {name}")
+    return spark.read.schema(MAP).parquet(f"{_home(spark, name)}/v={version or known[-1]}")
+
+
+def map_table(rows: DataFrame, at: dict[int, int], loads: list[tuple[int, int, int]], version: int, name: str) -> DataFrame:
+    """The map, stored under its name and version; base numbers a slot's first row within its shard."""
     out, base = [], {}
     for slot, size, count in sorted(loads):
         shard = at[slot]
         out.append((version, slot, shard, size, count, base.get(shard, 0)))
         base[shard] = base.get(shard, 0) + count
-    return staged(rows.sparkSession.createDataFrame(out, MAP).coalesce(1), f"slot-map-v{version}")
+    spark = rows.sparkSession
+    spark.createDataFrame(out, MAP).coalesce(1).write.mode("overwrite").parquet(f"{_home(spark, name)}/v={version}")
+    return stored_map(spark, name, version)
 
 
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -100,18 +125,29 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, stored: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, name: str | None = None) -> DataFrame:
     """Rows with shard, number there and the version of the map that says so.
 
-    stored: a map (version, vslot, shard) of before; it is edited to today's loads and stored as the next version, so that
-    only the slots that drifted, or that go to new shards, move. Without one, the first version is made.
+    name: of a map that is kept. Its latest version is edited to today's loads and stored as the next one, so that only the
+    slots that drifted, or that go to new shards, move; the first version is made. Without a name the map is a new one.
     """
+    spark, name = docs.sparkSession, name or uuid.uuid4().hex
     rows = staged(slotted(docs, n_slots), "slotted")
     loads = slot_loads(rows)
-    if stored is None:
-        return placed(rows, map_table(rows, new_map(loads, n_shards), loads, 1))
-    old = stored.select("vslot", "shard", "version").collect()  # n_slots rows at most
-    return placed(rows, map_table(rows, rebalanced(loads, {r[0]: r[1] for r in old}, n_shards), loads, 1 + max((r[2] for r in old), default=0)))
+    known = versions(spark, name)
+    if not known:
+        return placed(rows, map_table(rows, new_map(loads, n_shards), loads, 1, name))
+    at = {r["vslot"]: r["shard"] for r in stored_map(spark, name).select("vslot", "shard").collect()}  # n_slots rows at most
+    return placed(rows, map_table(rows, rebalanced(loads, at, n_shards), loads, known[-1] + 1, name))
+
+
+def slot_map_growth(spark, sf_dir):
+    """Documents whose map is edited: the shard of version 1, and of version 2 when a shard is added."""
+    name = uuid.uuid4().hex
+    shard(documents(spark, sf_dir), name=name)
+    now = shard(documents(spark, sf_dir), N_SHARDS + 1, name=name)
+    before = stored_map(spark, name, 1).select("vslot", F.col("shard").alias("shard_before"))
+    return now.join(F.broadcast(before), "vslot").select("doc_id", "size", "shard_before", F.col("shard").alias("shard_after"), "map_version", (F.col("shard") != F.col("shard_before")).alias("moved"))  # N_SLOTS rows at most
 
 
 def op9_virtual_slots(spark, sf_dir):

@@ -367,7 +367,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     hashed = F.xxhash64("doc_id")
     bounded = [known.where(f"toxic = {v}").orderBy(hashed, "doc_id").limit(rows) for v in (0, 1)]
     sample = bounded[0].union(bounded[1])  # 2 * rows at most are broadcast
-    texts = text_only(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(5)) == 0)
+    texts = text_only(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(5)) == 0)
     texts = staged(texts.repartition(PARTS, "doc_id"), "labelled-texts")
     fit, held = texts.where("not held"), texts.where("held")
     seen = fit.groupBy("toxic").count().collect()

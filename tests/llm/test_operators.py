@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import components, decontamination, ngram_join, packing, pii, quality_bayes, quality_rules, run_index, sharding, toxicity, url_filter
 
@@ -244,16 +246,58 @@ def test_shards_hold_near_equal_bytes_and_gapless_slots(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_a_stored_map_is_edited(spark):
+def test_a_named_map_is_edited(spark):
     rng = random.Random(15)
     docs = table(spark, [prose(rng, rng.randint(0, 200)) for _ in range(3000)])
-    first = sharding.shard(docs)
-    stored = first.select(first["map_version"].alias("version"), "vslot", "shard").distinct()
-    again = by_id(sharding.shard(docs, stored=stored))
-    assert all(again[r["doc_id"]]["shard"] == r["shard"] and again[r["doc_id"]]["map_version"] == 2 for r in first.collect())
-    grown = by_id(sharding.shard(docs, 9, stored=stored))
-    moved = [r for r in first.collect() if grown[r["doc_id"]]["shard"] != r["shard"]]
-    assert moved and np.mean([grown[r["doc_id"]]["shard"] == 8 for r in moved]) > 0.9 and len(moved) < 0.15 * 3000
+    first = by_id(sharding.shard(docs, name="mine"))
+    again = by_id(sharding.shard(docs, name="mine"))
+    assert all(again[i]["shard"] == r["shard"] and (r["map_version"], again[i]["map_version"]) == (1, 2) for i, r in first.items())
+    grown = by_id(sharding.shard(docs, 9, name="mine"))
+    moved = [i for i, r in first.items() if grown[i]["shard"] != r["shard"]]
+    assert moved and np.mean([grown[i]["shard"] == 8 for i in moved]) > 0.9 and len(moved) < 0.15 * 3000
+    assert sharding.versions(spark, "mine") == [1, 2, 3] and sharding.versions(spark, "other") == []
+    at = {r["vslot"]: r["shard"] for r in sharding.stored_map(spark, "mine").collect()}
+    assert {r["vslot"]: r["shard"] for r in grown.values()} == at != {r["vslot"]: r["shard"] for r in sharding.stored_map(spark, "mine", 1).collect()}
+    with pytest.raises(KeyError):
+        sharding.stored_map(spark, "mine", 4)
+
+
+def test_repeated_rows_are_one_document_of_a_line(spark):
+    rng = random.Random(16)
+    rows = [(7, "Same line here\n" + prose(rng, 40), "a")] * 60 + [(100 + i, prose(rng, 30), "a") for i in range(20)] + [(None, "Own line there\n" + prose(rng, 40), "b") for _ in range(60)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), line_docs=50).collect()
+    assert all(r["frequent_chars"] == 0 and r["kept"] for r in got if r["doc_id"] is not None)
+    assert all(r["frequent_chars"] > 0 for r in got if r["doc_id"] is None)
+
+
+def test_spans_are_chosen_as_by_the_plain_greedy(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(120):
+        place = lambda: (a := rng.randint(0, 60 + k), a + rng.randint(1, 12))
+        rows.append((k, [(*place(), "email") for _ in range(rng.randint(0, 5))], [(rng.choice([0.5, 1.0, rng.random()]), *place(), rng.randint(0, 3)) for _ in range(rng.randint(0, 40))]))
+    kind = "k int, base array<struct<start:long,end:long,kind:string>>, c array<struct<score:double,start:long,end:long,rank:int>>"
+    df = spark.createDataFrame(rows, kind).select("k", F.transform("base", lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("rank"), b["end"].alias("end"), b["kind"].alias("kind"))).alias("base"), F.transform("c", lambda c: F.struct(c["score"].alias("score"), c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), F.lit("x").alias("kind"))).alias("c"))
+    got = {r["k"]: {(s["start"], s["end"], s["rank"]) for s in r["s"]} for r in df.select("k", pii.chosen(F.col("c"), F.col("base")).alias("s")).collect()}
+    for k, base, candidates in rows:
+        taken = []
+        for score, a, z, rank in sorted(candidates, key=lambda c: (-c[0], c[1], c[3], c[2])):
+            if not any(a < y and x < z for x, y, *_ in [*base, *taken]):
+                taken.append((a, z, rank))
+        assert got[k] == set(taken)
+
+
+def test_many_spans_of_a_text_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.example.org +49 170 {1000000 + i}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        began = time.time()
+        assert pii.find(df).select(F.size("spans")).first()[0] >= 2 * n
+        return time.time() - began
+
+    seconds(10)
+    few, many = seconds(1000), seconds(4000)
+    assert many < 4 * few + 4
 
 
 def test_new_slots_go_to_the_emptiest_shard():
