@@ -25,7 +25,7 @@ def inspected(spark: SparkSession, path: str, kind: str) -> DataFrame:
     for code, name in SIGNATURES.items():
         signature = F.when(start.startswith(code), name).otherwise(signature)
     text = F.lower(F.decode("head", "ISO-8859-1"))
-    found = F.array_sort(F.filter(F.array(F.when(text.contains("\0"), F.lit("null byte")), *(F.when(text.rlike(p), F.lit(n)) for n, p in SUSPICIOUS.items())), lambda x: x.isNotNull()))
+    found = F.array_sort(F.filter(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in SUSPICIOUS.items())), lambda x: x.isNotNull()))
     first = F.decode(F.substring("head", 1, PRINTABLE_HEAD), "ISO-8859-1")
     share = F.coalesce(F.try_divide(F.length(F.regexp_replace(first, r"[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")).cast("double"), F.length(first)), F.lit(0.0))
     rows = files.select("path", signature.alias("signature"), F.array_join(found, ",").alias("findings"), share.alias("unprintable"), (F.length(first) > 0).alias("filled"))
