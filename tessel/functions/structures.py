@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessel.functions import notation_scan
 from tessel.operators.checks import Check
 
 ATOM = r"\[[^\]]*\]|Br|Cl|[BCNOPSFIbcnops*]"
@@ -47,9 +48,8 @@ def formal_charge(s: Column) -> Column:
 
 
 def ring_closures_paired(s: Column) -> Column:
-    """Whether each ring-closure digit outside brackets is there an even number of times."""
-    bare = F.regexp_replace(F.regexp_replace(s, r"\[[^\]]*\]", ""), r"%[0-9][0-9]", "")
-    return ~F.exists(F.array(*map(F.lit, "0123456789")), lambda d: F.pmod(F.length(bare) - F.length(F.replace(bare, d, F.lit(""))), F.lit(2)) == 1)
+    """Whether each ring closure has its partner: digits, %nn and %(n) outside brackets, told by a scan."""
+    return ~F.exists(notation_scan.scanned(s)["faults"], lambda f: f["kind"] == "unclosed_ring")
 
 
 def brackets_paired(s: Column) -> Column:
@@ -79,7 +79,7 @@ def checks(column: str = "smiles") -> list[Check]:
     """The registered checks that notation alone decides."""
     s = F.col(column)
     return [
-        Check("parsability", "critical", lambda: (s != "") & brackets_paired(s) & ring_closures_paired(s) & ~s.rlike("[<>\"';` ]")),
+        Check("parsability", "critical", lambda: (s != "") & notation_scan.well_formed(s) & ~s.rlike("[<>\"';` ]")),
         Check("connectivity", "warning", lambda: F.size(fragments(s)) == 1),
         Check("mixture_detection", "warning", lambda: F.size(F.filter(fragments(s), lambda f: fragment_kind(f) == "drug")) <= 1),
         Check("solvent_contamination", "warning", lambda: ~F.exists(fragments(s), lambda f: f.isin(*SOLVENTS)) | (F.size(fragments(s)) == 1)),
