@@ -77,6 +77,17 @@ def column_sets(primary: DataFrame, comparison: DataFrame) -> DataFrame:
     return primary.sparkSession.createDataFrame(rows, "name string, state string")
 
 
+def property_sets(primary: DataFrame, comparison: DataFrame, properties: str) -> DataFrame:
+    """Names in the property maps of two versions' rows: common, removed or added, and how many rows have each.
+
+    Names of a map whose value is null count; null maps have none.
+    """
+    named = lambda df, n: df.select(F.explode(F.map_keys(properties)).alias("name")).groupBy("name").agg(F.count("*").alias(n))
+    both = named(primary, "n_primary").join(named(comparison, "n_comparison"), "name", "full_outer")
+    state = F.when(F.col("n_primary").isNull(), "added").when(F.col("n_comparison").isNull(), "removed").otherwise("common")
+    return both.select("name", state.alias("state"), *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_primary", "n_comparison")))
+
+
 def dataset_audit(df: DataFrame, parsed: Column, complete: Column, key: Column, flagged: Column, stable: Column, value: str, numeric_share: float = 0.8) -> DataFrame:
     """The stages of a dataset's audit in one row: health, contradictory labels of `value`, and columns that read as numbers."""
     score = health(df, parsed, complete, key, flagged, stable)

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions import structures
+from tessel.operators import screen
+
 STAGES = ("parse", "valence", "alerts", "property", "sa", "dedup")
 #: With the optional last stage, for rows too like a reference set.
 ALL_STAGES = (*STAGES, "novelty")
@@ -121,3 +124,46 @@ def stepped(df: DataFrame, text: str, steps: tuple[Step, ...] = TEXT_STEPS) -> D
         df = df.withColumn(f"_t{i + 1}", s.run(F.col(f"_t{i}")))
     marks = F.array(*(F.struct(F.lit(s.name).alias("step"), F.when(F.col(f"_t{i}").isNull(), "skipped").when(F.col(f"_t{i + 1}").isNull(), "error").when(F.col(f"_t{i}") == F.col(f"_t{i + 1}"), "no_change").otherwise("applied").alias("status")) for i, s in enumerate(steps)))
     return df.withColumn("steps", marks).withColumn("clean", F.col(f"_t{len(steps)}")).drop(*(f"_t{i}" for i in range(len(steps) + 1)))
+
+
+#: Curation steps that notation alone decides; the others need a chemistry kernel and are skipped.
+NOTATION_STEPS = {"desalt": structures.parent, "stereo": structures.without_stereo, "isotope": structures.without_isotopes}
+
+
+def curation_steps(preset: str) -> list[Step]:
+    """All steps of curation in order; those that the preset leaves out, or that notation cannot do, do nothing."""
+    if preset not in CURATION_PRESETS:
+        raise ValueError(f"no preset {preset}; there are {', '.join(CURATION_PRESETS)}")
+    return [Step(n, NOTATION_STEPS.get(n) if n in CURATION_PRESETS[preset] else None) for n in CURATION]
+
+
+def curated_by(df: DataFrame, column: str, preset: str = "default") -> DataFrame:
+    """df with curated (the text after the preset's steps) and steps: step, place from 1, status, before and after.
+
+    skipped: left out by the preset, not decidable by notation, or nothing left to run on; error: the step gave nothing, and
+    curated is null. before and after are null for skipped steps.
+    """
+    names, states = [column], []
+    df = df.withColumn("_s0", F.col(column))
+    for i, s in enumerate(curation_steps(preset)):
+        was, now = F.col(f"_s{i}"), F.col(f"_s{i + 1}")
+        df = df.withColumn(f"_s{i + 1}", was if s.run is None else s.run(was))
+        run = F.lit(s.run is not None) & was.isNotNull()
+        status = F.when(~run, "skipped").when(now.isNull(), "error").when(now == was, "no_change").otherwise("applied")
+        states.append(F.struct(F.lit(s.name).alias("step"), F.lit(i + 1).alias("place"), status.alias("status"), F.when(run, was).alias("before"), F.when(run, now).alias("after")))
+        names.append(f"_s{i + 1}")
+    return df.withColumn("steps", F.array(*states)).withColumn("curated", F.col(names[-1])).drop("_s0", *names[1:])
+
+
+def preset_rules(rules: list[screen.Rule], preset: str) -> list[screen.Rule]:
+    """The rules of the catalogues that a preset screens, by their source, case aside."""
+    return [r for r in rules if r.source.lower() in CATALOGUES[preset]]
+
+
+def preset_alerts(df: DataFrame, text: str, rules: list[screen.Rule], index: str, preset: str) -> DataFrame:
+    """df with alerts: how many rules of the preset's catalogues its text hits (0 without any)."""
+    own = preset_rules(rules, preset)
+    if not own:
+        return df.withColumn("alerts", F.lit(0).cast("long"))
+    n = screen.hits(df, F.col(text), own, index).groupBy(index).agg(F.count("*").alias("alerts"))
+    return df.join(n, index, "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))

@@ -187,3 +187,9 @@ def suspicious(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     """All findings of each row, joined by commas in order, and their number."""
     found = F.filter(F.array(*(F.when(F.lower(text).rlike(p), F.lit(n)) for n, p in SUSPICIOUS.items())), lambda x: x.isNotNull())
     return df.select(*keys, F.array_join(F.array_sort(found), ",").alias("findings"), F.size(found).cast("long").alias("n"))
+
+
+def catalogue_listing(rules: DataFrame) -> DataFrame:
+    """Of each catalogue (source) its rules, how many are of each severity, and the concerns that they stand for, in order."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    return rules.groupBy("source").agg(F.count("*").alias("rules"), n("critical"), n("warning"), n("info"), F.array_join(F.array_sort(F.collect_set("concern")), ",").alias("concerns"))
