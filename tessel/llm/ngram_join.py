@@ -390,7 +390,7 @@ def _unpacked(row: dict, side: str = "") -> tuple:
 def leaf_joiner(percent: int, pairs: bool):
     def joined(batches):
         for batch in batches:
-            for i in range(batch.num_rows):  # a leaf, or two, at a time: a batch may hold many of megabytes each
+            for i in range(batch.num_rows):  # a leaf, or two, at a time: a batch may hold many
                 row = batch.slice(i, 1).to_pylist()[0]
                 out = tree_links(*_unpacked(row), percent, _unpacked(row, "_b") if pairs else None)
                 if out:
