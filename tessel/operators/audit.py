@@ -70,6 +70,23 @@ def compared_sources(values: DataFrame, key: str, layer: int = 14) -> DataFrame:
     return agg.select(key, "sources", verdict.alias("verdict"))
 
 
+def compared_layers(values: DataFrame, key: str) -> DataFrame:
+    """Verdict for each key over layered strings of sources (source, value), and where they part.
+
+    missing: fewer than two values; match: all equal; minor_difference: one formula (the first layer) among them, and they
+    part at the connectivity (the second layer, if it starts with c) or in later layers; mismatch: the formulas differ, or
+    none has one. Least and greatest are compared, so that a hot key is aggregated before it is shuffled.
+    """
+    part = F.split("value", "/")
+    formula, bonds = F.try_element_at(part, F.lit(2)), F.try_element_at(part, F.lit(3))
+    one = lambda v: F.min(v) == F.max(v)
+    agg = values.groupBy(key).agg(F.count("value").alias("found"), one(F.col("value")).alias("same"), one(formula).alias("formula"), one(F.when(bonds.startswith("c"), bonds)).alias("bonds"))
+    formula_ok = F.coalesce("formula", F.lit(False))
+    status = F.when(F.col("found") < 2, "missing").when(F.col("same"), "match").when(formula_ok, "minor_difference").otherwise("mismatch")
+    parts = F.when(status.isin("missing", "match"), "none").when(~formula_ok, "formula").when(F.coalesce("bonds", F.lit(True)), "later_layers").otherwise("connectivity")
+    return agg.select(key, "found", status.alias("status"), parts.alias("parts_at"))
+
+
 def column_sets(primary: DataFrame, comparison: DataFrame) -> DataFrame:
     """Columns that both versions have, and those of either alone."""
     a, b = primary.columns, comparison.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.operators import ordering
+from tessel.operators import issues, ordering
 
 
 def normalized(text: Column) -> Column:
@@ -43,7 +43,14 @@ def annotated(df: DataFrame, index: str, text: str, level: str = "normalized") -
     key = F.coalesce(F.sha2(LEVELS[level](F.col(text)), 256), F.concat(F.lit("row:"), F.col(index).cast("string")))
     rows = df.select(index, key.alias("key"))
     groups = ordering.numbered(rows.groupBy("key").agg(F.min(index).alias("representative"), F.count("*").alias("members")), ["representative"], "group_id", 1)
-    return rows.join(groups, "key").select(index, "group_id", "representative", "members", (F.col(index) != F.col("representative")).alias("duplicate"))
+    return issues.joined_by_key(rows, groups, "key", "members").select(index, "group_id", "representative", "members", (F.col(index) != F.col("representative")).alias("duplicate"))
+
+
+def summary(df: DataFrame, index: str, text: str, annotations: DataFrame) -> DataFrame:
+    """One row a group of annotated rows: number, representative and its text, size. The members themselves are the
+    annotated rows (a group may hold any share of them, so they are not gathered in a row)."""
+    heads = annotations.where("NOT duplicate").select("group_id", "representative", "members")
+    return heads.join(df.select(F.col(index).alias("representative"), F.col(text).alias("representative_text")), "representative")
 
 
 def registration(df: DataFrame, parts: list[Column]) -> DataFrame:

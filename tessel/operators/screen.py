@@ -45,6 +45,22 @@ def hits(df: DataFrame, text: Column, rules: list[Rule], *keys: str) -> DataFram
     return df.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
 
 
+def verdicts(df: DataFrame, text: Column, rules: list[Rule], *keys: str) -> DataFrame:
+    """For each row and source of rules: matches (rules that the lower-cased text matches) and passed; all_passed: whether
+    the row passes every source. A row stays without any match; a null text matches nothing. No shuffle.
+
+    Rules are MAX_RULES at most; more of them are screened by `indexed_hits`.
+    """
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules; use indexed_hits")
+    df, low = df.select(*keys, F.lower(text).alias("_low")), F.col("_low")
+    sources = sorted({r.source for r in rules})
+    each = [F.struct(F.lit(s).alias("source"), sum((F.coalesce(low.rlike(r.pattern), F.lit(False)).cast("long") for r in rules if r.source == s), F.lit(0).cast("long")).alias("matches")) for s in sources]
+    kept = df.select(*keys, F.array(*each).alias("_by"))
+    kept = kept.withColumn("all_passed", F.forall("_by", lambda x: x["matches"] == 0))
+    return kept.select(*keys, "all_passed", F.explode("_by").alias("_s")).select(*keys, "_s.source", "_s.matches", (F.col("_s.matches") == 0).alias("passed"), "all_passed")
+
+
 RULE_SCHEMA = "rule string, pattern string, concern string, severity string, source string"
 
 

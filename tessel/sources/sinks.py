@@ -49,12 +49,16 @@ def _sdf(df: DataFrame, path: str) -> None:
 
 
 def dedup_report(df: DataFrame, index: str, text: str, path: str) -> None:
-    """A table of groups and one of rows."""
-    rows = dedup.annotated(df, index, text)
-    rows.write.parquet(f"{path}/annotated")
-    rows.where("members > 1").groupBy("representative").agg(F.count("*").alias("members"), F.array_sort(F.collect_list(index)).alias("rows")).write.parquet(f"{path}/summary")
+    """A table of groups (number, representative and its text, size) and one of rows, with their group's number."""
+    dedup.annotated(df, index, text).write.parquet(f"{path}/annotated")
+    rows = df.sparkSession.read.parquet(f"{path}/annotated")
+    dedup.summary(df, index, text, rows).write.parquet(f"{path}/summary")
+
+
+def bit_columns(df: DataFrame, key: str, bits: str, width: int) -> DataFrame:
+    """The key and one column of 0 or 1 for each bit; null bits give nulls."""
+    return df.select(key, *(F.array_contains(bits, i).cast("tinyint").alias(f"bit_{i}") for i in range(width)))
 
 
 def fingerprint_matrix(df: DataFrame, key: str, bits: str, width: int, path: str) -> None:
-    """One column of 0 or 1 for each bit."""
-    df.select(key, *(F.array_contains(bits, i).cast("tinyint").alias(f"bit_{i}") for i in range(width))).write.parquet(path)
+    bit_columns(df, key, bits, width).write.parquet(path)
