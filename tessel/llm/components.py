@@ -51,15 +51,28 @@ def compact(batches):
         yield ties()
 
 
+def settled(batches):
+    """(node, comp) of each node of all links of a task, roots too."""
+    held = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    if held:
+        got = compacted(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        root = np.unique(got[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(got[:, 0], root)), pa.array(np.append(got[:, 1], root))], ["node", "comp"])
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp) for each node of links (a, b: long): comp is the smallest node that links reach.
 
-    A round compacts the links of each partition, so that a node has one tie per partition at most, hangs each node below
+    Up to TOGETHER links are what a task compacts at a time anyway: they need no rounds. Of more, a round compacts the links of each partition, so that a node has one tie per partition at most, hangs each node below
     the least of its ties, ties its other ends to that one, and moves the node up to where its own parent hangs. Rows are
     keyed by the greater end, which no hub is; the step up meets hubs, whose rows are dealt over several tasks.
     """
     # as they come: read again in fewer, larger partitions, they are compacted before the first shuffle
     links = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), label)
+    if links.count() <= TOGETHER:
+        found = staged(links.coalesce(1).mapInArrow(settled, "node long, comp long"), f"{label}-settled")
+        drop_staged(links)
+        return found
     while True:
         near = links.mapInArrow(compact, "a long, b long")
         least = near.groupBy("a").agg(F.min("b").alias("m"))

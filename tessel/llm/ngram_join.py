@@ -10,7 +10,7 @@ needs, or if both hold one component already; surviving pairs of points are veri
 A tree over unrelated texts prunes nothing (the greatest counts of 32 random points exceed every need), so the join would
 be all pairs. Sets are therefore first dealt into families, by banded minima of hashes: two linked sets agree on a whole
 band but for a chance of MISS. Families of up to LEAF sets are one tree each, many in a task. A larger family is cut into
-leaves of LEAF sets by a range-partitioned sort over size and counts, each leaf a tree of its own; representatives of the
+leaves of about LEAF sets by a range-partitioned sort over size and counts, each leaf a tree of its own; representatives of the
 leaves' components are cut anew and joined until nothing joins (so a crowd of near copies collapses in a few rounds); then
 the boxes of the leaves, and of nodes above them, are descended level by level as tables, and the leaves left in pairs are
 joined. No link that could join two components is lost but for MISS.
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import blocks, dealt_join, documents, drop_staged, free_name, mix, shingles, small_enough, staged, string_buffers, text_only, words
@@ -382,6 +382,37 @@ def pack_leaves(batches, leaf: int, span: int):
         yield _leaf_batch([_leaf(now, node, *zip(*(h[1:] for h in held), strict=True))])
 
 
+def leaf_filler(leaf: int, span: int):
+    """The leaves of a group as one leaf, or few."""
+
+    def together(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+        sids, comps, items = zip(*(_unpacked(r) for r in rows), strict=True)
+        sids = np.concatenate(sids)
+        cols = (np.full(len(sids), rows[0]["family"], np.int64), sids, np.concatenate(comps), [i.tobytes() for some in items for i in some])
+        # a group begins `leaf` sets after the one before it, so it is a little more or less than that
+        out = pa.Table.from_batches(pack_leaves([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["family", "sid", "comp", "items"])], leaf + leaf // 4, span))
+        return out.set_column(out.column_names.index("node"), "node", pa.array([rows[0]["group"] // span] * len(out), pa.int64()))
+
+    return together
+
+
+def filled(leaves: DataFrame, leaf: int, span: int) -> DataFrame:
+    """Leaves (with their place in the order), those of many small partitions put together: pairs of leaves are made of
+    them, so half-empty ones cost the square of their number, however many partitions the sort has."""
+    load = F.greatest(F.octet_length("sids") / (8 * leaf), F.octet_length("items") / LEAF_BYTES)
+    thin = leaves.select("family", "place", load.alias("load"))
+    made = thin.groupBy("family").agg(F.count("*").alias("n"), F.ceil(F.sum("load")).alias("full")).agg(F.sum("n").alias("n"), F.sum("full").alias("full")).first()
+    if (made["n"] or 0) <= 2 * (made["full"] or 0):
+        return leaves.drop("place")
+    before = Window.partitionBy("family").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    groups = thin.select("family", "place", F.floor(F.coalesce(F.sum("load").over(before), F.lit(0.0))).alias("group"))
+    groups = F.broadcast(groups) if small_enough(thin, BROADCAST_ROWS) else groups
+    out = staged(leaves.join(groups, ["family", "place"]).groupBy("family", "group").applyInArrow(leaf_filler(leaf, span), LEAVES), "filled-leaves")
+    drop_staged(leaves)
+    return out
+
+
 def _unpacked(row: dict, side: str = "") -> tuple:
     ends = np.frombuffer(row[f"ends{side}"], np.int64)
     return np.frombuffer(row[f"sids{side}"], np.int64), np.frombuffer(row[f"comps{side}"], np.int64), np.split(np.frombuffer(row[f"items{side}"], np.uint64), ends[:-1])
@@ -412,7 +443,8 @@ def leafed(points: DataFrame, comps: DataFrame | None, leaf: int, span: int) ->
     size = F.octet_length("items")
     tile = [F.floor(F.log2(size) * 4), F.ascii(F.substring("items", 1, 1))]  # size in steps of a fifth; then the least shingle
     now = now.repartitionByRange(max(1, total // (SORTED * leaf)), "family", *tile, size, "sid").sortWithinPartitions("family", *tile, size, "sid")
-    return staged(now.select("family", "sid", "comp", "items").mapInArrow(leaf_packer(leaf, span), LEAVES), "leaves")
+    packed = now.select("family", "sid", "comp", "items").mapInArrow(leaf_packer(leaf, span), LEAVES)
+    return filled(staged(packed.withColumn("place", F.monotonically_increasing_id()), "leaves"), leaf, span)
 
 
 NODES = "family long, node long, parent long, kids binary, boxes binary, lows binary, highs binary, low_comps binary, high_comps binary"
