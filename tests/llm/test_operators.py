@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,28 @@ def test_repeats_are_exact(spark, monkeypatch, most, length, gram):
         assert hashlib.sha256(r["kept"]).hexdigest() == want[3]
 
 
+def test_contexts_are_cut_a_few_at_a_time():
+    """A passage in thousands of surroundings: a worker holds the cells of few contexts, whatever the batch, and loses none."""
+    rng = random.Random(5)
+    length, gram, passage = 400, 64, prose(rng, 90).encode()[:464]
+    bodies = [prose(rng, 60).encode()[:136] + passage + prose(rng, 60).encode()[:136] for _ in range(2000)]
+    row = {"core": 1, "ctx": 2, "sig": 3, "n": 1, "first": 7, "last": 7 + len(bodies[0]) - length, "at": 200}
+    contexts = pa.RecordBatch.from_pylist([row | {"row": i, "body": b} for i, b in enumerate(bodies)])
+    for width in run_index.WIDTHS:
+        got = list(run_index.narrowed(length, gram, width)([contexts]))
+        assert max(b.nbytes for b in got) < 6 << 20
+        cells = pa.Table.from_batches(got).to_pylist()
+        assert Counter(w for c in cells if c["row"] == 9 for w in range(c["first"], c["last"] + 1)) == Counter(range(7, row["last"] + 1))
+        assert {c["row"] for c in cells} == set(range(2000)) and all(c["first"] == c["last"] and c["body"] is None for c in cells if width == 1)
+        assert width == 1 or all(c["body"] == bodies[c["row"]][c["first"] - 7 : c["last"] - 7 + length] for c in cells)
+    wants = [row | {"first": i, "last": i + 300} for i in range(5000)]
+    text = prose(rng, 2000)
+    got = list(run_index.fetcher(length)([pa.RecordBatch.from_pydict({"row": [4, 5], "text": [text, text], "want": [wants, wants[:3]]})]))
+    assert max(b.nbytes for b in got) < 1 << 20
+    made = pa.Table.from_batches(got).to_pylist()
+    assert [(r["row"], r["first"], r["body"]) for r in made] == [(k, w["first"], text.encode()[w["first"] : w["last"] + length]) for k, ws in ((4, wants), (5, wants[:3])) for w in ws]
+
+
 def test_matching_statistics_stream_from_run_ends():
     rng = random.Random(3)
     bodies = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(12)] + [b"abab" * 12, b"abab" * 9 + b"b"]
