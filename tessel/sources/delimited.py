@@ -5,9 +5,12 @@ Only the first lines come to the driver; the rest is read as a DataFrame with th
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,9 +37,22 @@ def looks_like_structure(cell: str) -> bool:
     return bool(cell) and cell.lower() not in HEADER_WORDS and set(cell) <= allowed and any(ch in "BCNOPSFIbcnops" for ch in cell)
 
 
+def first_rows(spark: SparkSession, path: str, most: int, read: Callable[[str], DataFrame]) -> list[Row]:
+    """The first rows of a file, or of a folder's files in order of name; files after them are not read.
+
+    Spark itself starts with the largest file of a folder.
+    """
+    found: list[Row] = []
+    for f in sorted(map(unquote, spark.read.text(path).inputFiles())):
+        found += read(re.sub(r"([\\\[\]{}*?])", r"\\\1", f)).limit(most - len(found)).collect()
+        if len(found) == most:
+            break
+    return found
+
+
 def sniff(spark: SparkSession, path: str) -> Layout:
     """Delimiter, header and columns from the first two lines that are not blank. Tab if a line has as many as commas."""
-    first = [r[0] for r in spark.read.text(path).where("trim(value) <> ''").limit(2).collect()]
+    first = [r[0] for r in first_rows(spark, path, 2, lambda f: spark.read.text(f).where("trim(value) <> ''"))]
     if not first:
         raise ValueError("the file is empty")
     delimiter = "\t" if first[0].count("\t") and first[0].count("\t") >= first[0].count(",") else ","

@@ -102,13 +102,15 @@ def _valid(name: str) -> bool:
 
 def columns(spark: SparkSession, path: str) -> DataFrame:
     """position, column, sample (the first value that is not blank of the first five rows, of the first twenty columns, at
-    most a hundred characters) and role: `structure` or `name` where a column is suggested as such.
+    most a hundred characters) and role: `structure` or `name` where a column is suggested as such. Of a folder, the files
+    come in order of name.
 
     Columns whose names no export takes are left out; a file without any other, or without lines, is an error.
     """
     layout = delimited.sniff(spark, path)
     unique = delimited._distinct(layout.columns)
-    rows = spark.read.csv(path, sep=layout.delimiter, header=layout.header, schema=", ".join(f"`{n.replace('`', '')}` string" for n in unique)).limit(SAMPLE_ROWS).collect()
+    schema = ", ".join(f"`{n.replace('`', '')}` string" for n in unique)
+    rows = delimited.first_rows(spark, path, SAMPLE_ROWS, lambda f: spark.read.csv(f, sep=layout.delimiter, header=layout.header, schema=schema))
     kept = [(i, n) for i, n in enumerate(unique) if _valid(n)]
     if not kept:
         raise ValueError("no column has a valid name")

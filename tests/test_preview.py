@@ -22,6 +22,16 @@ def test_columns_have_samples_and_roles(spark, tmp_path):
         preview.columns(spark, write(tmp_path, "", "z.csv"))
 
 
+def test_samples_come_from_the_first_files_by_name(spark, tmp_path):
+    """Spark reads the largest file first; a file of only a header, or of few rows, is followed by the next ones."""
+    folder = tmp_path / "a b%20[c]*"
+    folder.mkdir()
+    for n, rows in enumerate(([], [("", "CCO")], [("x1", "CCN"), ("x2", "CCS")], [(f"y{i}", "C" * 50) for i in range(200)])):
+        write(folder, "".join(f"{a},{b}\n" for a, b in (("compound", "structure"), *rows)), f"part-{n}.csv")
+    path = str(folder).replace("[", "\\[").replace("]", "\\]").replace("*", "\\*")
+    assert [tuple(r) for r in preview.columns(spark, path).orderBy("position").collect()] == [(0, "compound", "x1", "name"), (1, "structure", "CCO", "structure")]
+
+
 @pytest.mark.parametrize(("text", "rows"), [("", 0), ("a\n", 0), ("a\n1\n2", 2), ("a\r\n1\r\n2\r\n", 2), ("a\r1\r2\r", 2)])
 def test_small_files_are_counted(spark, tmp_path, text, rows):
     got = preview.estimated_rows(spark, write(tmp_path, text), True)
