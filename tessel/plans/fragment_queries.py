@@ -59,7 +59,7 @@ QUERIES = {
     "fragment_roles": fragment_roles,
     "desalted_parts": desalted_parts,
     "layer_verdicts": lambda s, d: audit.compared_layers(layered(s, d), "p_partkey"),
-    "mmp_ranked": lambda s, d: pairs.ranked_matches(pairs.matched_pairs(parts(s, d), "p_partkey", "tokens", "p_retailprice"), 1000),
+    "mmp_ranked": lambda s, d: pairs.best_matches(parts(s, d), "p_partkey", "tokens", "p_retailprice", 1000),
     "dedup_summary": dedup_summary,
     "fingerprint_columns": lambda s, d: sinks.bit_columns(vectors(s, d), "vec_id", "bits", 16),
     "screen_verdicts": lambda s, d: screen.verdicts(documents(s, d), c("text"), RULES, "doc_id"),

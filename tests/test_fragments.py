@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import fragments
 from tessel.operators import audit, dedup, pairs, screen
+from tessel.plans import fragment_queries
 from tessel.sources import sinks
 
 
@@ -59,6 +60,61 @@ def test_ranked_matches_count_repeated_tokens_once(spark):
     assert pairs.ranked_matches(pairs.matched_pairs(df, "i", "t", "v"), 1).count() == 1
 
 
+def starred(seed, n):
+    """Token lists of a few words, the star of a core among them, some of them empty or longer."""
+    import random
+
+    pick = random.Random(seed)
+    return [(i, pick.choices(("a", "b", "c", "d", "e", "", "*")[: 5 if seed % 2 else 7], k=pick.choice((1, 2, 3, 3, 3)))) for i in pick.sample(range(-50, 1000), n)]
+
+
+def by_hand(rows):
+    """Matched pairs as their SQL has them: the first core of each pair."""
+    cuts = {i: [(" ".join("*" if p == at else u for p, u in enumerate(t)), t[at]) for at in range(len(t))] for i, t in rows}
+    out = {}
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and (met := sorted((c, s, u) for c, s in cuts[a] for d, u in cuts[b] if c == d and s != u)):
+                out[a, b] = (*met[0], round(len({*x} & {*y}) / len({*x, *y}), 6))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_matches_are_the_first_of_all_pairs(spark, seed):
+    rows = starred(seed, 90)
+    want = by_hand(rows)
+    df = spark.createDataFrame(rows, "i int, t array<string>").withColumn("v", F.lit(1.0))
+    assert {(r["a"], r["b"]): (r["core"], r["a_token"], r["b_token"]) for r in pairs.matched_pairs(df, "i", "t", "v", most=7).collect()} == {k: x[:3] for k, x in want.items()}
+    ranked = sorted(want, key=lambda k: (-want[k][3], k))
+    for most in (2, 9, len(want) + 1):
+        got = [((r["a"], r["b"]), (r["core"], r["a_token"], r["b_token"], r["similarity"])) for r in pairs.best_matches(df, "i", "t", "v", most).collect()]
+        assert got == [(k, want[k]) for k in ranked[:most]]
+
+
+def joined_rows(df):
+    """Rows that the joins of df make when it is run."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if "Join" in kind:
+            found.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        todo += [inner] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_ranked_query_does_not_list_all_pairs(spark, tmp_path):
+    """Four million pairs at one core; only those of the first thousand ends are made."""
+    part = spark.range(3000).selectExpr("id AS p_partkey", "concat('Brand#', id) AS p_brand", "'LARGE' AS p_type", "7 AS p_size", "cast(id AS double) AS p_retailprice")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    found = fragment_queries.QUERIES["mmp_ranked"](spark, str(tmp_path))
+    made = joined_rows(found)
+    assert made and max(made) < 3_000_000
+    assert [(r["a"], r["b"], r["gap"]) for r in found.collect()] == [(0, b, float(b)) for b in range(1, 1001)]
+
+
 def test_verdicts_keep_every_row(spark):
     rules = [screen.Rule("x", "x", "g", source="one"), screen.Rule("y", "y", "g", source="two"), screen.Rule("z", "z", "g", source="two")]
     df = spark.createDataFrame([(0, "X y z"), (1, "y"), (2, ""), (3, None)], "i int, t string")
