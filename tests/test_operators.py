@@ -106,6 +106,34 @@ def test_sparse_pairs_over_all_parts_and_crowded_keys(spark):
             assert found(pairs.sparse_pairs(df, "i", "bits", threshold, couples, most=5)) == by_pair(sets, threshold)
 
 
+def test_short_sets_meet_only_where_they_are_similar(spark):
+    """Joins that make next to no rows but the pairs, with copies of each set too."""
+    from tessel.plans import pair_queries
+    from tests.test_fragments import joined_rows
+
+    rule = "spark.sql.optimizer.excludedRules"  # else conditions are part of the joins, which then tell matches only
+    spark.conf.set(rule, "org.apache.spark.sql.catalyst.optimizer.PushDownPredicates")
+    try:
+        made = max(joined_rows(pair_queries.QUERIES["sparse_sets"](spark, "/root/testdata/sf0.01")))
+    finally:
+        spark.conf.unset(rule)
+    assert made < 30_000  # 2000 parts have 1958 pairs
+    rng = random_sets(spark, 5)
+    copied = rng.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).select((F.col("i") * 12 + F.col("copy")).alias("i"), "bits", F.col("i").alias("of"))
+    alone = {(r["a"], r["b"]): r["similarity"] for r in pairs.sparse_pairs(rng, "i", "bits", 0.6, couples=True).collect()}
+    found = pairs.sparse_pairs(copied.orderBy(F.desc("i")), "i", "bits", 0.6, couples=True, most=5)
+    want = {(x * 12 + i, y * 12 + j): s for (x, y), s in alone.items() for i in range(12) for j in range(12)} | {(x * 12 + i, x * 12 + j): 1.0 for x in range(40) for i in range(12) for j in range(i + 1, 12)}
+    got = [((r["a"], r["b"]), r["similarity"]) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def random_sets(spark, seed):
+    import random
+
+    pick = random.Random(seed)
+    return rows(spark, [(i, sorted(pick.sample(range(14), pick.randint(1, 12)))) for i in range(40)], "i long, bits array<int>")
+
+
 def test_matched_pairs_over_all_parts_and_crowded_cores(spark):
     from tessel.plans import pair_queries
 
