@@ -115,6 +115,15 @@ def test_ranked_query_does_not_list_all_pairs(spark, tmp_path):
     assert [(r["a"], r["b"], r["gap"]) for r in found.collect()] == [(0, b, float(b)) for b in range(1, 1001)]
 
 
+def test_matched_pairs_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, ["a", "b"])], "i int, t array<string>").withColumn("v", F.lit(1.0))
+    node, above = pairs.matched_pairs(df, "i", "t", "v")._jdf.queryExecution().optimizedPlan(), []
+    while (kind := node.getClass().getSimpleName()) != "Join":
+        above.append(kind)
+        node = node.children().head()
+    assert {*above} <= {"Union", "Project", "Filter"}
+
+
 def test_verdicts_keep_every_row(spark):
     rules = [screen.Rule("x", "x", "g", source="one"), screen.Rule("y", "y", "g", source="two"), screen.Rule("z", "z", "g", source="two")]
     df = spark.createDataFrame([(0, "X y z"), (1, "y"), (2, ""), (3, None)], "i int, t string")
