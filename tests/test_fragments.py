@@ -122,6 +122,7 @@ def test_matched_pairs_are_not_shuffled(spark):
         above.append(kind)
         node = node.children().head()
     assert {*above} <= {"Union", "Project", "Filter"}
+    assert "strategy=merge" in node.hint().toString()  # no side goes whole to the driver, whatever its bytes
 
 
 def test_verdicts_keep_every_row(spark):
